@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import star_components
+from tidemark.llm.grouped import by_group
 from tidemark.llm.scratch import written
 from tidemark.llm.textkit import mix, shingle_set, word_hashes
 
@@ -166,23 +167,6 @@ def _classes(sets: list[np.ndarray], percent: int) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
-    """The rows of each run of equal keys; the input is sorted by it."""
-    held: dict[str, list] | None = None
-    for batch in batches:
-        rows = batch.to_pydict()
-        keys = rows[key]
-        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
-        for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
-            if held and hi > lo and held[key][0] != keys[lo]:
-                yield held
-                held = None
-            part = {c: v[lo:hi] for c, v in rows.items()}
-            held = {c: held[c] + v for c, v in part.items()} if held else part
-    if held and held[key]:
-        yield held
-
-
 def _token_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return [shingle_set(h, width) for h in word_hashes(texts)]
 
@@ -191,7 +175,7 @@ def _solve_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """rows: block, comp, node, text. The class of each node within its block, named by its first node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _by_group(batches, "block"):
+        for g in by_group(batches, "block"):
             sets = _token_sets(g["text"], width)
             ok = [i for i, (s, node) in enumerate(zip(sets, g["node"])) if digest(s) == node]  # an id that stands for several texts brings them all
             ok = sorted({g["node"][i]: i for i in ok}.values(), key=lambda i: g["node"][i])
@@ -208,7 +192,7 @@ def _open_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """rows: task, label, text, query. The labels of queries and members that a link joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _by_group(batches, "task"):
+        for g in by_group(batches, "task"):
             asks = [i for i, q in enumerate(g["query"]) if q]
             has = [i for i, q in enumerate(g["query"]) if not q]
             if not asks or not has:
