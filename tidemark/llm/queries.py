@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import format_chats, read_back
 from tidemark.llm.exact import exact_duplicates
 from tidemark.llm.jaccard import jaccard_components
+from tidemark.llm.langid import held_out, identify_languages, train_language_model
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.sharding import shard
 
@@ -22,6 +23,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_language_model(docs.where(~held_out(F.col("doc_id"), 5, 0)))
+    return identify_languages(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("<|im_end|><|im_start|>assistant ok"))
@@ -51,6 +58,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_language_id": op3_language_id,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
