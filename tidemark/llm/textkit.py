@@ -17,6 +17,7 @@ _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])  # breaks for words of letters and digits
 _powers: list[np.ndarray] = []
 
 
@@ -41,13 +42,14 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = _SPACE[raw]
+def spans(raw: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end: runs of bytes that ``breaks`` does not mark."""
+    space = breaks[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     return edge[0::2], edge[1::2]
 
 
-def _hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, _U)
     np.cumsum((raw.astype(_U) + _U(1)) * up[: len(raw)], out=sums[1:])
@@ -74,7 +76,7 @@ def words(text: str | None) -> list[bytes]:
     return lowered(text).split()
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+def word_hashes(texts: list[str | None], breaks: np.ndarray = _SPACE) -> list[np.ndarray]:
     """The hashes of each text's words, in order; short texts are hashed together."""
     out: list[np.ndarray] = []
     batch: list[bytes] = []
@@ -84,8 +86,8 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
         nonlocal batch, size
         if batch:
             raw = np.frombuffer(b"\n".join(batch), np.uint8)
-            start, end = _spans(raw)
-            hashes = _hash_spans(raw, start, end)
+            start, end = spans(raw, breaks)
+            hashes = hash_spans(raw, start, end)
             cuts = np.searchsorted(start, np.cumsum([len(b) + 1 for b in batch[:-1]]))
             out.extend(np.split(hashes, cuts))
             batch, size = [], 0
@@ -98,7 +100,7 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
             parts = []
             for piece in _pieces(data):
                 raw = np.frombuffer(piece, np.uint8)
-                parts.append(_hash_spans(raw, *_spans(raw)))
+                parts.append(hash_spans(raw, *spans(raw, breaks)))
             out.append(np.concatenate(parts))
         else:
             batch.append(data)
