@@ -12,7 +12,9 @@ from tidemark.llm.exact import exact_duplicates
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.langid import held_out, identify_languages, train_language_model
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.quality import score_quality, train_quality
 from tidemark.llm.sharding import shard
+from tidemark.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train_language_model(docs.where(~held_out(F.col("doc_id"), 5, 0)))
@@ -56,13 +63,23 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = F.col("doc_id")
+    model = train_toxicity(docs.join(labels.where(~held_out(out, 4, 2)), "doc_id"))
+    return score_toxicity(docs, model).select("doc_id", held_out(out, 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

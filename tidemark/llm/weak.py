@@ -34,9 +34,12 @@ class VoteModel:
         return right / np.maximum(cast, 1e-12)
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, prior: float = 0.1) -> VoteModel:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, prior: float = 0.1, better: float = 1.0) -> VoteModel:
     """Expectation-maximisation over distinct vote patterns and how often each occurs.
 
+    Estimation starts from the odds ``prior`` and the balance of the votes, a NO
+    counting for several YES as it is cast more seldom. With ``better`` over 1, a
+    vote is that many times likelier, at least, under the label it names.
     ``known`` holds the label (0 or 1) of patterns of labelled rows, or -1.
     Voters are taken as independent given the label; then the correlations that
     this leaves are measured, and a voter's evidence is divided among those it
@@ -45,7 +48,7 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None =
     counts = counts.astype(float)
     m = votes.shape[1]
     known = np.full(len(votes), -1) if known is None else known
-    start = np.where(votes == YES, 1.0, 0.0).sum(1) - np.where(votes == NO, 1.0, 0.0).sum(1)
+    start = (votes == YES).sum(1) - (3.0 if better > 1 else 1.0) * (votes == NO).sum(1)
     post = 1 / (1 + np.exp(-(start + np.log(prior / (1 - prior)))))
     weight, corr = np.ones(m), np.eye(m)
     model = VoteModel(prior, np.zeros((2, m, 3)), weight, corr)
@@ -54,7 +57,11 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None =
             post = np.where(known >= 0, known, post)
             by = np.stack([counts * (1 - post), counts * post])
             table = np.stack([np.stack([(by * (votes[:, j] == v)).sum(1) for v in range(3)], 1) for j in range(m)], 1) + 0.5
-            model = VoteModel(float(np.clip(by[1].sum() / max(1.0, counts.sum()), 1e-4, 1 - 1e-4)), np.log(table / table.sum(2, keepdims=True)), weight, corr)
+            log_p = np.log(table / table.sum(2, keepdims=True))
+            if better > 1:
+                log_p[1, :, NO] = np.minimum(log_p[1, :, NO], log_p[0, :, NO] - np.log(better))
+                log_p[0, :, YES] = np.minimum(log_p[0, :, YES], log_p[1, :, YES] - np.log(better))
+            model = VoteModel(float(np.clip(by[1].sum() / max(1.0, counts.sum()), 1e-4, 1 - 1e-4)), log_p, weight, corr)
             post = model.posterior(votes)
         if attempt == 0:
             says = (votes == YES) * 1.0 - (votes == NO)
@@ -64,7 +71,7 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None =
             cov = (rest * counts[:, None]).T @ rest
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             corr = cov / scale[:, None] / scale[None, :]
-            weight = 1 / (1 + (np.abs(corr) * (np.abs(corr) > DEPENDENT)).sum(1) - 1)
+            weight = 1 / np.maximum(1, (np.abs(corr) * (np.abs(corr) > DEPENDENT)).sum(1))
     return VoteModel(model.prior, model.log_p, weight, corr)
 
 
