@@ -29,43 +29,47 @@ _CLASS[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = ord("a")
 _CLASS[ord("A") : ord("Z") + 1] = ord("A")
 _CLASS[ord("0") : ord("9") + 1] = ord("0")
 _CLASS[[9, 11, 12, 13]] = ord(" ")
-_IS = np.zeros((6, 256), bool)  # letter, capital, digit, mark, bang, bar
-_IS[0, [ord("a"), ord("A")]] = True
-_IS[1, ord("A")] = True
-_IS[2, ord("0")] = True
-_IS[3] = ~np.isin(np.arange(256), [*map(ord, "aA0 \n.,;:!?'\"-()")])
-_IS[4, ord("!")] = True
-_IS[5, ord("|")] = True
+_MARKS = ~np.isin(np.arange(256), [*map(ord, "aA0 \n.,;:!?'\"-()")])
 REPEATS = 1 << BITS  # the feature after the hashed ones: words that repeat the one before
 VOTERS = 11
 
 
+def votes(text: str | None) -> list[int]:
+    """What each heuristic says of a whole text."""
+    return _look(text)[2]
+
+
 def shapes(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Features (hashed shapes and pairs, with their share of all words) and the votes on a whole text.
 
     A word's shape is its byte classes with repeats collapsed, so ``Then###`` is ``Aa#``.
     """
+    raw, own, said = _look(text)
+    if not len(own):
+        return np.zeros(0, np.int64), np.zeros(0), said
+    short = raw[np.flatnonzero(raw[1:] != raw[:-1])]
+    short = np.append(short, raw[-1])
+    h = hash_spans(short, *spans(short))
+    pairs = mix(h[:-1] * _U(3) + h[1:])
+    n = np.bincount((np.concatenate((h, pairs)) >> _U(64 - BITS)).astype(np.int64), minlength=REPEATS + 1)
+    n[REPEATS] = (own[1:] == own[:-1]).sum()
+    at = np.flatnonzero(n)
+    return at, n[at] / len(own), said
+
+
+def _look(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Byte classes, word hashes and votes."""
     data = (text or "").encode("utf-8", "surrogatepass")
     raw = _CLASS[np.frombuffer(data, np.uint8)]
-    if not len(raw) or not (raw != 32).any():
-        return np.zeros(0, np.int64), np.zeros(0), [NO] + [ABSTAIN] * (VOTERS - 1)
-    short = raw[np.flatnonzero(np.diff(raw, prepend=255) != 0)] if len(raw) > 1 else raw
-    start, end = spans(short)
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0), [NO] + [ABSTAIN] * (VOTERS - 1)
-    h = hash_spans(short, start, end)
-    pairs = mix(h[:-1] * _U(3) + h[1:])
-    at, n = np.unique(np.concatenate((h, pairs)) >> _U(64 - BITS), return_counts=True)
-    words = len(spans(raw)[0])
-    letter, capital, digit, mark, bang, bar = (int(c[raw].sum()) for c in _IS)
-    total = int((raw != 32).sum())
-    lines = int((raw == 10).sum()) + 1
-    stops = data.count(b".") + data.count(b"?") + data.count(b"!")
-    lower = letter - capital
     own = word_hashes([text])[0]
+    if not len(own):
+        return raw, own, [NO] + [ABSTAIN] * (VOTERS - 1)
+    seen = np.bincount(raw, minlength=256)
+    words, total, lines = len(own), len(raw) - int(seen[32]), int(seen[10]) + 1
+    capital, lower, digit, bar, bang, mark = int(seen[65]), int(seen[97]), int(seen[48]), int(seen[124]), int(seen[33]), int(seen[_MARKS].sum())
+    letter, stops = capital + lower, int(seen[[46, 63, 33]].sum())
     repeats = int((own[1:] == own[:-1]).sum())
-    at, n = np.append(at.astype(np.int64), REPEATS), np.append(n, repeats)
-    votes = [
+    return raw, own, [
         NO if mark * 20 > total else ABSTAIN,
         NO if bar * 12 > words else ABSTAIN,
         NO if capital * 2 > letter else ABSTAIN,
@@ -78,7 +82,6 @@ def shapes(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
         YES if stops and 2 <= words / stops <= 60 and mark * 50 < total and not bar else ABSTAIN,
         NO if repeats * 8 > words > 4 else ABSTAIN,
     ]
-    return at, n / words, votes
 
 
 @dataclass(frozen=True)
@@ -87,15 +90,12 @@ class QualityModel:
     votes: VoteModel | None
 
 
-def _voted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    pick = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
+def _voted(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shapes(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, v)) for _, _, v in got]), batch.column(1)], names=["votes", "pick"])
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, votes(t))) for t in batch.column(0).to_pylist()])], names=["votes"])
 
-    return docs.select(F.col(text_col).alias("text"), pick.alias("pick")).mapInArrow(run, "votes string, pick double")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "votes string")
 
 
 def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
@@ -104,7 +104,7 @@ def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The driver gets one row per pattern of votes and the texts' features of the
     fitted rows only. An empty table gives a model that scores everything 0.
     """
-    table = _voted(docs, id_col, text_col).groupBy("votes").count().toPandas()
+    table = _voted(docs, text_col).groupBy("votes").count().toPandas()
     if not len(table):
         return QualityModel(None, None)
     counts = table["count"].to_numpy()
