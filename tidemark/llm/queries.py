@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat import format_chats, read_back
+from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.exact import exact_duplicates
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.langid import held_out, identify_languages, train_language_model
@@ -63,6 +64,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only contaminated documents have rows: one for each benchmark item found in them."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
