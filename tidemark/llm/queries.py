@@ -12,6 +12,7 @@ from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.exact import exact_duplicates
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.langid import held_out, identify_languages, train_language_model
+from tidemark.llm.lines import line_classes
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import score_quality, train_quality
 from tidemark.llm.sharding import shard
@@ -51,6 +52,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), share=1.5, weights=(5, 2, 1), cap=2.0).drop("first_slot")
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_line_dedup": op5_line_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
