@@ -7,19 +7,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.jaccard import jaccard_components
+from tidemark.llm.langid import UNKNOWN, identify_languages, train_language_model
+from tidemark.llm.mixing import mix_sources
 from tidemark.llm.scratch import written
+from tidemark.llm.sharding import shard
+
+SHARDS = 40
+LEAST_SHARE = 0.5  # of a document's words in its main language
+SENT_IDS = 1_000_000  # ids sent to every task; more are joined by a shuffle
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids``, null included."""
+    ids = written(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    ids = ids if ids.count() > SENT_IDS else F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters, and those whose main language has less than half their words."""
+    found = identify_languages(docs, train_language_model(docs))
+    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SHARE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each class at five words and similarity 0.8."""
-    classes = jaccard_components(docs, width=5, percent=80)
-    return docs.join(classes.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return _without(docs, jaccard_components(docs, width=5, percent=80).where("doc_id <> component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a benchmark item is found."""
+    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix takes it, to the nearest whole time (rows of one id alike)."""
+    mix = mix_sources(docs).select(F.col("doc_id").alias("mixed"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times"))
+    mix = written(mix.where("times > 0").groupBy("mixed").agg(F.max("times").alias("times")), "mix")
+    mix = mix if mix.count() > SENT_IDS else F.broadcast(mix)
+    joined = docs.join(mix, docs["doc_id"].eqNullSafe(mix["mixed"]))
+    return joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Give every row of the mix its shard and slot."""
+    return shard(docs, SHARDS, keep=("lang", "source", "n_chars"))
 
 
 STAGES = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
 ]
 
 ORACLE_SQL = None  # language identification and retrieval are not expressible in SQL

@@ -12,7 +12,6 @@ CHUNK = 1 << 16  # slots ranked together
 RUN_WORDS = 1 << 20  # words of a source that are laid out together, on average
 SENT_SOURCES = 100_000  # sources sent to every task; more are joined by a shuffle
 GOLDEN = 0.6180339887498949
-PRIME = 2147483647  # steps through a source's blocks; larger than any number of blocks
 
 
 def word_count(text: Column) -> Column:
@@ -85,21 +84,18 @@ def slot_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
 def block_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(place, block, pass, used, slot): which block fills which slot, and how many of its words are used.
 
-    A pass steps through a source's full blocks by a stride that is prime to
-    their number, so it meets each once in shuffled order; the short block, if
-    any, ends the pass. The last block is cut where the target is reached. Slots
-    beyond the target stay empty; blocks without a slot follow after all slots.
+    Blocks are cut from the source's shuffled stream of documents, so taking them
+    in order keeps documents whole; the last one is cut where the target is
+    reached. Slots beyond the target stay empty; blocks without a slot follow
+    after all slots.
     """
-    full = F.floor(F.col("source_size") / block_words)
-    short = F.col("source_size") - full * block_words
-    per_pass = full + (short > 0).cast("long")
+    per_pass = F.ceil(F.col("source_size") / block_words)
     want = F.round("target").cast("long")
     passes = targets.where("source_size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.floor(want / F.col("source_size")))))
     passes = passes.withColumn("words", F.least(F.col("source_size"), want - F.col("pass") * F.col("source_size"))).where("words > 0")
     passes = passes.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("words") / block_words) - 1)))
-    shuffled = F.when(F.col("step") < full, F.pmod(F.col("step") * F.lit(PRIME) + F.pmod(F.hash("place", "pass").cast("long"), full), full)).otherwise(full)
     blocks = passes.select(
-        "place", "pass", shuffled.alias("block"),
+        "place", "pass", F.col("step").alias("block"),
         F.least(F.lit(block_words).cast("long"), F.col("words") - F.col("step") * block_words).alias("used"),
         (F.col("pass") * per_pass + F.col("step")).alias("rank"),
     )

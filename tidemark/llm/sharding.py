@@ -35,7 +35,7 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")) + RECORD_BYTES
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Put each record into a shard so that the shards' bytes are near equal.
 
     Returns one row per input row: ``id_col``, size (UTF-8 bytes plus 16),
@@ -49,12 +49,13 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 
     A null text has no bytes and the crc32 of the empty text. Null ids come
     first; repeated rows are records of their own, in an arbitrary order among
-    themselves. Other columns are ignored. An empty table gives an empty result.
+    themselves. Columns named in ``keep`` are carried along, others ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
+    carried = F.struct(*[F.col(c) for c in keep]).alias("carried") if keep else F.lit(0).alias("carried")
     keyed = written(
-        docs.select(F.col(id_col).alias("id"), record_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
+        docs.select(carried, F.col(id_col).alias("id"), record_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
         .withColumn("cell", F.shiftrightunsigned("key", 64 - CELL_BITS).cast("int")),
         "keyed",
     )
@@ -74,8 +75,8 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         .withColumn("row", F.col("row0") + F.coalesce(F.count("*").over(inside), F.lit(0)))
         .withColumn("byte", F.col("byte0") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .withColumn("shard", F.least(F.floor((F.col("byte") + F.col("size") / 2) * shards / F.lit(max(1, total))), F.lit(shards - 1)).cast("int"))
-        .select("id", "size", "text_crc32", "shard", "row")
+        .select("id", "size", "text_crc32", "shard", "row", "carried")
     )
     ordered = written(ordered, "ordered")
     first = ordered.groupBy("shard").agg(F.min("row").alias("row1"))
-    return ordered.join(F.broadcast(first), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("row") - F.col("row1")).alias("slot"))
+    return ordered.join(F.broadcast(first), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("row") - F.col("row1")).alias("slot"), *[F.col(f"carried.`{c}`") for c in keep])
