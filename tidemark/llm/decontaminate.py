@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.textkit import NOT_WORD, word_hashes
 
-BITS = 20  # hashed words
+BITS = 18  # hashed words
 RANK = 128
 ROUNDS = 2  # of the range finder
 CAPTURED = 0.5  # share of an item's squared length that its latent vector must keep; else it gets a space of its own
@@ -233,8 +233,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     schema = f"id {id_type.simpleString()}, item {item_type.simpleString()}, share double, cosine double"
     wanted = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.length(F.trim("text")) > 0)
     frequency, rows = document_frequency(docs, text_col)
-    idf = np.log((rows + 1) / (frequency + 1)).astype(np.float64)
-    telling = np.where(frequency > FREQUENT * rows, 0.0, idf)
+    idf = np.log((rows + 1) / (frequency + 1)).astype(np.float32)
+    telling = np.where(frequency > FREQUENT * rows, np.float32(0), idf)
     needed = _needed(wanted, telling)
     telling[needed] = np.maximum(idf[needed], 0.01)
     out, block = spark.createDataFrame([], schema), []
