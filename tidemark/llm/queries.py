@@ -16,7 +16,7 @@ from tidemark.llm.lines import line_classes
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import score_quality, train_quality
 from tidemark.llm.sharding import shard
-from tidemark.llm.toxicity import score_toxicity, train_toxicity
+from tidemark.llm.toxicity import score_toxicity, train_toxicity, with_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     out = F.col("doc_id")
-    model = train_toxicity(docs.join(labels.where(~held_out(out, 4, 2)), "doc_id"))
+    model = train_toxicity(with_labels(docs, labels.where(~held_out(out, 4, 2))))
     return score_toxicity(docs, model).select("doc_id", held_out(out, 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
