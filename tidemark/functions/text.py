@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 NOISE = ["cd", "ls", "pwd", "clear", "history", "exit", "q", "docker ps", "docker images", "docker logs", "docker stop", "docker restart", "docker system prune -a", "git status", "git branch", "git log", "git diff", "git stash", "top", "htop", "whoami"]
 NOISE_STARTS = ["cd", "ls"]
 NOISE_PREFIXES = ["docker logs", "docker exec", "docker stop", "docker restart", "tail", "head", "cat", "grep", "wc", "sed", "echo", "find", "awk", "sort", "ssh", "scp", "mkdir", "touch", "rm", "mv", "cp", "chmod", "chown"]
-HOOKS = ["command -v", "_zsh_", "__vsc_", "precmd", "preexec"]
+HOOKS = ["_zellij", "zellij setup", "tmux set-environment", "prompt_command", "__vte_prompt_command", "kitty +kitten"]
 COMMAND_CLASSES = {"git": ["git", "gh"], "docker": ["docker", "docker-compose"], "npm": ["npm", "yarn", "pnpm", "npx"], "python": ["python", "python3", "pip", "pip3", "pytest", "poetry"], "maven": ["mvn", "maven"], "vim": ["vim", "vi", "nano", "emacs"]}
 FOCUS_LAYERS = {
     "UI Grid": ["tui", "ui", "css", "html", "style", "view", "window", "screen"],
@@ -80,7 +80,7 @@ def clean_command(text: Column) -> Column:
     joined = F.regexp_replace(strip_ansi(text), r"\\\n", " ")
     flat = F.trim(F.regexp_replace(joined, r"\s+", " "))
     cleaned = F.when(quotes_balanced(flat), strip_continuation(flat)).otherwise(flat)
-    return F.when(~F.lower(cleaned).rlike("|".join(h.replace(" ", r"\s") for h in HOOKS)), cleaned)
+    return F.when(~F.lower(cleaned).rlike("|".join(h.replace("+", r"\+") for h in HOOKS)), cleaned)
 
 
 def split_chain(text: Column) -> Column:
