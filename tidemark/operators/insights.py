@@ -56,8 +56,8 @@ def project_breakdown(sessions: DataFrame, commands: DataFrame, projects: DataFr
     the times of its activity.
     """
     s = sessions.groupBy("project_id").agg(F.count("*").alias("sessions"), F.sum("duration_seconds").alias("duration"), F.min("start_time").alias("s0"), F.max(F.coalesce("end_time", "start_time")).alias("s1"))
-    c = commands.groupBy("project_id").agg(F.count("*").alias("commands"), F.min("timestamp").alias("c0"), F.max("timestamp").alias("c1"))
-    both = s.join(c, s.project_id.eqNullSafe(c.project_id), "full").select(F.coalesce(s.project_id, c.project_id).alias("project_id"), "sessions", "commands", "duration", "s0", "s1", "c0", "c1")
+    c = commands.groupBy(F.col("project_id").alias("of_commands")).agg(F.count("*").alias("commands"), F.min("timestamp").alias("c0"), F.max("timestamp").alias("c1"))
+    both = s.join(c, F.col("project_id").eqNullSafe(F.col("of_commands")), "full").select(F.coalesce("project_id", "of_commands").alias("project_id"), "sessions", "commands", "duration", "s0", "s1", "c0", "c1")
     p = projects.select(F.col("id").alias("project_id"), "name", "first_seen", "last_seen")
     named = p.join(both, "project_id", "full")
     named = named.withColumn("name", display_name(F.col("name"))).fillna(0, ["sessions", "commands", "duration"])

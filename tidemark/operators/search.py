@@ -96,7 +96,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataF
     terms = [t.lower() for t in query]
     words = tokens(F.col(text_col))
     sized = docs.select(F.col(id_col).alias("__id"), words.alias("__w"), F.size(words).alias("__n"))
-    stats = sized.agg(F.count("*").alias("N"), F.sum("__n").alias("total"))
+    stats = sized.agg(F.count("*").alias("docs"), F.sum("__n").alias("total"))
     wanted = F.array(*map(F.lit, sorted(set(terms))))
     kept = sized.select("__id", "__n", F.explode(F.filter("__w", lambda w: F.array_contains(wanted, w))).alias("term"))
     tf = kept.groupBy("__id", "__n", "term").agg(F.count("*").alias("tf"))
@@ -105,8 +105,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataF
     for t in sorted(set(terms)):
         weight = F.when(F.col("term") == t, terms.count(t)).otherwise(weight)
     scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1 + 1e-9)
-    mean = F.col("total") / (F.col("N") + 1e-9)
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1 + 1e-9)
+    mean = F.col("total") / (F.col("docs") + 1e-9)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("__n") / mean)) * weight
     return scored.groupBy("__id").agg(F.sum(part).alias("score")).withColumnRenamed("__id", id_col)
 
@@ -135,13 +135,13 @@ def ask(documents: DataFrame, query: str, limit: int = 10) -> DataFrame:
     words = tokens(F.col("text"))
     docs = documents.withColumn("w", words).where(prefix_match(F.col("text"), query, every=False))
     docs = docs.withColumn("all", F.concat("w", bigrams(F.col("w")))).withColumn("n", F.size("w"))
-    stats = docs.agg(F.count("*").alias("N"), F.sum("n").alias("total"))
+    stats = docs.agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     hit = lambda t: (lambda x: x == t) if "_" in t else (lambda x: x.startswith(t))
     counts = docs.select("id", "start_time", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.size(F.filter("all", hit(t))).alias("tf")) for i, t in enumerate(terms)])).alias("x")).select("id", "start_time", "n", "x.i", "x.tf").where("tf > 0")
     df = counts.groupBy("i").agg(F.count("*").alias("df"))
     scored = counts.join(F.broadcast(df), "i").crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1 + 1e-9)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / (F.col("total") / (F.col("N") + 1e-9))))
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1 + 1e-9)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / (F.col("total") / (F.col("docs") + 1e-9))))
     return scored.groupBy("id", "start_time").agg(F.sum(part).alias("score")).orderBy(F.col("score").desc(), F.col("start_time").desc(), "id").limit(limit)
 
 

@@ -16,9 +16,9 @@ _BASH = re.compile(r"^#(\d{10})$")
 Record = tuple[int | None, int | None, str]
 
 
-def _joined(lines: list[str], at: int, mark: str, stop: re.Pattern | None) -> tuple[str | None, int]:
+def _joined(lines: list[str], at: int, mark: str, stop: re.Pattern | None, first: str | None = None) -> tuple[str | None, int]:
     """The command that starts with line ``at`` and goes on while lines end with ``mark``; null if a hook cuts in."""
-    parts = [lines[at]]
+    parts = [lines[at] if first is None else first]
     at += 1
     while at < len(lines) and parts[-1].rstrip().endswith(mark):
         if stop and stop.match(lines[at]):
@@ -38,7 +38,7 @@ def _zsh(lines: list[str]) -> Iterator[Record]:
         found = _ZSH.match(lines[at])
         if found:
             stamped = True
-            text, at = _joined([*lines[:at], found[3], *lines[at + 1 :]] if lines[at] != found[3] else lines, at, "\\", _ZSH)
+            text, at = _joined(lines, at, "\\", _ZSH, found[3])
             if text:
                 yield int(found[1]), int(found[2]), text
         elif stamped and not lines[at].startswith("::"):

@@ -19,9 +19,8 @@ def stream_sessions(commands: DataFrame, keys: list[str], gap: str = "30 minutes
     """
     if not keys:
         raise ValueError("a stream of sessions needs keys")
-    one_more = F.expr(f"INTERVAL {gap}")
     rows = commands.withWatermark("ts", late)
-    return rows.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n_commands")).select(*keys, "start", "end", "n_commands", (F.col("w.end") - one_more).alias("last_seen")).drop("last_seen")
+    return rows.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n_commands")).drop("w")
 
 
 def stream_distinct(commands: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
