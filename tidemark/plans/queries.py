@@ -432,10 +432,9 @@ def _redact_documents(c: Core) -> DataFrame:
     return c.table("documents").select("doc_id", F.sha2(R.redact(F.col("text")).cast("binary"), 256).alias("sha256"), R.redaction_counts(F.col("text")).alias("counts"))
 
 
-@query("redact_addresses", "SELECT doc_id, regexp_replace(text, '(?:\\d{1,3}\\.){3}\\d{1,3}', '[REDACTED_IP]', 'g') AS t FROM documents WHERE regexp_matches(text, '^[^0-9]*(?:\\d{1,3}\\.){3}\\d{1,3}[^0-9.]*$')", bare=True)
+@query("redact_addresses", "SELECT doc_id, regexp_replace(text, '(^|[^\\d.])(?:\\d{1,3}\\.){3}\\d{1,3}($|[^\\d.])', '\\1[REDACTED_IP]\\2', 'g') AS t FROM documents", bare=True)
 def _addresses(c: Core) -> DataFrame:
-    rows = c.table("documents").where(F.col("text").rlike(r"^[^0-9]*(?:\d{1,3}\.){3}\d{1,3}[^0-9.]*$"))
-    return rows.select("doc_id", F.regexp_replace("text", R.ADDRESSES[0][1], R.ADDRESSES[0][2]).alias("t"))
+    return c.table("documents").select("doc_id", F.regexp_replace("text", R.ADDRESSES[0][1], R.ADDRESSES[0][2]).alias("t"))
 
 
 @query("gate_sessions", """b AS (SELECT DISTINCT session_id FROM commands WHERE regexp_matches(command, '(?i)\\b(?:password|passwd|pwd|secret)\\b\\s*[=:]\\s*\\S+'))

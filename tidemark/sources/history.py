@@ -101,7 +101,8 @@ def decoder_for(path: str):
 def read_histories(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, mtime, position, timestamp, duration, command: all histories, cleaned, hooks dropped.
 
-    The format follows from the file's name. One file is one row of the scan,
+    The format follows from the file's name, which must not start with a dot or
+    underscore, as Spark skips such files. One file is one row of the scan,
     so a file must fit a task; files are spread over tasks.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", F.unix_timestamp("modificationTime").alias("mtime"), "content")
