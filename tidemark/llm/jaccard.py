@@ -11,14 +11,18 @@ Finding what may be similar. Two sets of n and m tokens with similarity
 tokens. The token space of a size band is cut into more than d parts by hash
 range; sets that similar then agree on all tokens of some part, so a hash of
 each part's tokens is shuffled instead of the tokens (about a sixth as many
-rows at 90 %). Parts that many sets share (common passages) are not needed by
-a set that keeps more than d rarer ones; a set that does not keeps them all,
-so no link is lost.
-
-Hot groups. Exact copies count once. Candidates connected by parts are split
-into blocks of at most BLOCK sets; blocks are solved alone, then by the leaders
-of their classes, and what is still outside the largest class is compared with
-all blocks, so that no task gets more than two blocks.
+rows at 90 %). A set needs only its d + 1 rarest parts, in one order for all
+sets (by how many sets share a part, then by key): the first part in that order
+on which two similar sets agree is among those of both. So the parts of common
+passages are spared, and no link is lost.
+
+Hot groups. Exact copies count once. A set's leader is the least set that it
+shares a part with. Small connected components of candidates are blocks; larger
+ones fall apart by leader, and a leader's sets by hash, into blocks of at most
+BLOCK sets. Blocks are solved alone; then the leaders of the classes of one
+candidate leader are; last, each set is compared with the other blocks in which
+a set of another class shares a part with it, unless that made them one class.
+No task gets more than a block and as many sets that ask for it.
 """
 
 from __future__ import annotations
@@ -37,7 +41,8 @@ from tidemark.llm.textkit import mix, shingle_set, word_hashes
 
 BLOCK = 400  # sets in a task's block
 BLOCK_TOKENS = 2_000_000  # tokens in a task's block, if it has more than one set
-COMMON = 64  # sets that share a part before it counts as common
+SPARES = 1 << 16  # most parts that a set is counted to spare
+MARGIN = 15  # percent of parts beyond those needed, so that the most common ones can be spared
 SENT_IDS = 1_000_000  # candidate ids sent to every task (16 MB); beyond that they are joined by a shuffle
 SLICE = 256  # documents hashed together
 _U = np.uint64
@@ -49,7 +54,7 @@ def _bands(percent: int, top: int) -> list[tuple[int, int, int]]:
     while low <= top:
         high = max(low + 1, -(-low * 3 // 2)) if out else max(2, 100 // (100 - percent))
         differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
-        out.append((low, differ + 1 + -(-(differ + 1) * 15 // 100) if differ else 1, differ))
+        out.append((low, differ + 1 + -(-(differ + 1) * MARGIN // 100) if differ else 1, differ))
         low = high
     return out
 
@@ -208,20 +213,30 @@ def _open_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a binary, b binary")
 
 
-def _blocks(rows: DataFrame, per: list[str]) -> DataFrame:
-    """Adds ``blocks`` (how many the group needs) and ``block`` (this row's, over all groups)."""
-    need = rows.groupBy(*per).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("long").alias("blocks"))
-    return rows.join(need, per).withColumn("block", F.xxhash64(*per, F.pmod(F.xxhash64("node"), "blocks")))
+def _pieces(rows: DataFrame, per: list[str], sets: int, tokens: int) -> DataFrame:
+    """Adds ``piece``, which stands for a group of at most about so many sets and tokens."""
+    need = rows.groupBy(*per).agg(F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("n") / tokens)).cast("long").alias("pieces"))
+    return rows.join(need, per).withColumn("piece", F.xxhash64(*per, F.pmod(F.xxhash64("node"), "pieces"))).drop("pieces")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b): links sets that agree on a part with the least set that does; a and b are 64-bit hashes of node."""
+def _into_blocks(rows: DataFrame) -> DataFrame:
+    """rows: node, n, comp, leader and more. Adds ``block`` and whether the component is ``large``."""
+    size = rows.groupBy("comp").agg(((F.count("*") > BLOCK) | (F.sum("n") > BLOCK_TOKENS)).alias("large"))
+    rows = rows.join(size, "comp")
+    apart = _pieces(rows.where("large"), ["comp", "leader"], BLOCK, BLOCK_TOKENS).withColumnRenamed("piece", "block")
+    return rows.where("NOT large").withColumn("block", F.col("comp")).unionByName(apart)
+
+
+def shared_parts(sets: DataFrame) -> DataFrame:
+    """(key, a, b): the parts that each set needs and shares, with the least set that has the part; a and b are 64-bit hashes of node."""
     nodes = sets.groupBy("node").agg(F.first("bands").alias("bands")).select(F.xxhash64("node").alias("a"), F.explode("bands").alias("x"))
-    parts = nodes.select("a", "x.band", "x.spare", F.explode("x.keys").alias("key"))
-    shared = parts.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.count("*").alias("sets")).where("b < top")
-    common = F.col("sets") > COMMON
-    needed = F.sum(common.cast("int")).over(Window.partitionBy("a", "band")) > F.col("spare")
-    return parts.join(shared, "key").withColumn("needed", needed).where(~common | F.col("needed")).select("a", "b").distinct()
+    # Both sides of the join below come from this one shuffle, so they must have the same columns.
+    parts = nodes.select("a", (F.col("x.band") * SPARES + F.greatest(F.lit(0), F.least(F.col("x.spare"), F.lit(SPARES - 1)))).alias("band"), F.explode("x.keys").alias("key")).repartition("key")
+    shared = parts.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.count("*").alias("sets"), F.max("band").alias("__same_columns"))
+    shared = shared.where("b < top AND __same_columns IS NOT NULL").select("key", "b", "sets")
+    most_common_first = Window.partitionBy("a", "band").orderBy(F.col("sets").desc(), F.col("key").desc())
+    kept = parts.join(shared, "key").withColumn("__rank", F.row_number().over(most_common_first))
+    return kept.where(F.col("__rank") > F.pmod("band", F.lit(SPARES))).select("key", "a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -238,16 +253,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     sets = written(_sets(docs, id_col, text_col, width, percent), "sets")
     nodes = sets.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("id")).withColumn("a", F.xxhash64("node"))
-    comps = written(star_components(written(candidates(sets.where("n > 0")), "candidates"), "a", "b"), "comps")
-    chosen = nodes.join(comps.select(F.col("node").alias("a"), F.col("root").alias("comp")), "a").drop("a")
-    chosen = written(_blocks(chosen, ["comp"]), "chosen")
+    parts = written(shared_parts(sets.where("n > 0")), "parts")
+    comps = star_components(parts, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("comp"))
+    leaders = parts.groupBy("a").agg(F.min("b").alias("leader"))
+    chosen = written(_into_blocks(nodes.join(comps, "a").join(leaders, "a")), "chosen")
     ids = chosen if chosen.count() > SENT_IDS else F.broadcast(chosen)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(ids, F.col("doc").eqNullSafe(F.col("id"))).drop("doc", "id")
     texts = written(texts, "texts")
     labels = written(_solve_blocks(texts, width, percent), "labels")
-    large = written(texts.where("blocks > 1"), "large")
-    if not large.isEmpty():
-        labels = _join_blocks(labels, large, width, percent)
+    if not texts.where("large").isEmpty():
+        labels = _join_blocks(labels, texts.where("large"), parts, width, percent)
     named = nodes.select("node", "id").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of_node = named.join(least, "label").select("node", "component_id")
@@ -260,17 +275,18 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(roots, "label", "left").select("comp", "node", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def _join_blocks(labels: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
+def _join_blocks(labels: DataFrame, large: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
     """Joins classes of different blocks of one candidate component."""
-    leaders = large.drop("blocks", "block").join(labels.where("node = label").select("node"), "node", "left_semi")
-    found = _solve_blocks(_blocks(leaders, ["comp"]), width, percent)
+    heads = large.join(labels.where("node = label").select("node"), "node", "left_semi").drop("block")
+    found = _solve_blocks(_pieces(heads, ["comp", "leader"], BLOCK, BLOCK_TOKENS).withColumnRenamed("piece", "block"), width, percent)
     labels = _relabel(labels, found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    rows = large.join(labels.select("node", "label"), "node")
-    most = rows.groupBy("comp", "label").agg(F.count("*").alias("c")).groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
-    rows = written(rows.join(most, "comp"), "members")
-    asks = _blocks(rows.where("label <> most").drop("block", "blocks"), ["comp"]).select("comp", "label", "text", F.col("block").alias("asks"))
-    groups = rows.select("comp", "block").distinct()
-    pairs = asks.select("comp", "asks").distinct().join(groups, "comp").withColumn("task", F.xxhash64("asks", "block"))
-    queries = asks.join(pairs, ["comp", "asks"]).select("task", "label", "text", F.lit(True).alias("query"))
-    members = rows.join(pairs, ["comp", "block"]).select("task", "label", "text", F.lit(False).alias("query"))
-    return _relabel(labels, _open_groups(queries.unionByName(members), width, percent))
+    members = written(large.select("a", "node", "n", "block", "text").join(labels.select("node", "label"), "node"), "members")
+    places = parts.select("key", "a").join(members.select("a", "block", "label"), "a")
+    there = places.groupBy("key", F.col("block").alias("other"), F.col("label").alias("there")).agg(F.lit(1).alias("one"))
+    pairs = places.join(there, "key").where("block > other AND label <> there").select("a", F.col("other").alias("block")).distinct()
+    asks = members.select("a", "node", "n", "label", "text").join(pairs, "a")
+    asks = written(_pieces(asks, ["block"], BLOCK, BLOCK_TOKENS).select("piece", "block", "label", "text"), "asks")
+    tasks = asks.select("block", "piece").distinct()
+    queries = asks.select(F.col("piece").alias("task"), "label", "text", F.lit(True).alias("query"))
+    groups = members.join(tasks, "block").select(F.col("piece").alias("task"), "label", "text", F.lit(False).alias("query"))
+    return _relabel(labels, _open_groups(queries.unionByName(groups), width, percent))

@@ -17,6 +17,7 @@ from tidemark.llm.scratch import written
 
 EDITS = 2  # at most
 CHARS_PER_EDIT = 20  # a line has an edit for each so many characters, up to EDITS
+BLANK = " \t\r\x0b\x0c"  # trimmed from both ends of a line
 BLOCK = 64  # lines that a probing line is compared with in one row
 SENT_IDS = 1_000_000  # candidate lines whose ids are sent to every task; more are joined by a shuffle
 
@@ -25,39 +26,48 @@ def allowed_edits(length: Column) -> Column:
     return F.least(F.lit(EDITS), F.floor(length / CHARS_PER_EDIT).cast("int"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0): nearly equal ones, the longer last."""
-    base, longer = F.floor(length / (edits + 1)).cast("int"), F.pmod(length, F.lit(edits + 1))
-    short = edits + 1 - longer
-    return base * i + F.greatest(F.lit(0), F.lit(i) - short) + 1, base + (F.lit(i) >= short).cast("int")
+def _probes() -> list[tuple[int, int, int, int]]:
+    """(edits, shorter, i, move): for a line to be met that is ``shorter`` characters shorter and allows ``edits``, where its segment i can be.
+
+    Edits before the segment move it by at most i, those after it leave edits - i.
+    """
+    return [
+        (edits, shorter, i, move)
+        for edits in range(1, EDITS + 1)
+        for shorter in range(edits + 1)
+        for i in range(edits + 1)
+        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)
+    ]
 
 
-def segment_keys(line: Column, length: Column) -> Column:
-    """Array of (key, own): own keys stand in the index and probe equal lengths, the others only probe."""
-    out = []
-    for edits in range(1, EDITS + 1):
-        for shorter in range(edits + 1):
-            size = length - shorter
-            for i in range(edits + 1):
-                start, width = _segment(size, i, edits)
-                # Edits before the segment move it by at most i, those after it leave edits - i.
-                for move in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                    key = F.xxhash64(size, F.lit(edits * 10 + i), F.substring(line, start + move, width))
-                    fits = (allowed_edits(size) == edits) & (start + move >= 1) & (start + move + width - 1 <= length)
-                    out.append(F.when(fits, F.struct(key.alias("key"), F.lit(shorter == 0 and move == 0).alias("own"))))
-    return F.array_compact(F.array(*out))
+def segment_keys(lines: DataFrame) -> DataFrame:
+    """(id, key, own) from (line, n): own keys stand in the index and probe equal lengths, the others only probe.
+
+    Segments are nearly equal, the longer ones last. The probes are rows of a
+    constant array, so that one short expression does for all of them.
+    """
+    names = ("edits", "shorter", "i", "move")
+    each = F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, p)]) for p in _probes()]))
+    rows = lines.select("line", "n", F.xxhash64("line").alias("id"), each).withColumn("size", F.col("n") - F.col("shorter")).where(allowed_edits(F.col("size")) == F.col("edits"))
+    parts = F.col("edits") + 1
+    short = parts - F.pmod("size", parts)
+    base = F.floor(F.col("size") / parts).cast("int")
+    rows = rows.withColumn("start", base * F.col("i") + F.greatest(F.lit(0), F.col("i") - short) + 1 + F.col("move")).withColumn("width", base + (F.col("i") >= short).cast("int"))
+    rows = rows.where((F.col("start") >= 1) & (F.col("start") + F.col("width") - 1 <= F.col("n")))
+    key = F.xxhash64("size", F.col("edits") * 10 + F.col("i"), F.substring("line", F.col("start"), F.col("width")))
+    return rows.select("id", key.alias("key"), ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("own"))
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line_no, line): trimmed lines that are not empty, numbered from 0."""
     exploded = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return exploded.select("doc", "line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
+    return exploded.select("doc", "line_no", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
 
 
 def _links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(a, b): digests of different lines within the allowed edits."""
     lines = split_lines(docs, id_col, text_col).select("line").withColumn("n", F.char_length("line"))
-    keys = lines.where(F.col("n") >= CHARS_PER_EDIT).select(F.xxhash64("line").alias("id"), F.explode(segment_keys(F.col("line"), F.col("n"))).alias("k")).select("id", "k.key", "k.own")
+    keys = segment_keys(lines.where(F.col("n") >= CHARS_PER_EDIT))
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("own").alias("indexed")).where("lo < hi AND indexed").select("key")
     chosen = written(keys.join(shared, "key").groupBy("key", "id").agg(F.max("own").alias("own")), "keys")
     ids = written(chosen.select("id").distinct(), "ids")
