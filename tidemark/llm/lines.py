@@ -64,10 +64,11 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.select("doc", "line_no", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
 
 
-def _links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): digests of different lines within the allowed edits."""
-    lines = split_lines(docs, id_col, text_col).select("line").withColumn("n", F.char_length("line"))
-    keys = segment_keys(lines.where(F.col("n") >= CHARS_PER_EDIT))
+def _links(rows: DataFrame) -> DataFrame:
+    """(a, b): digests of different lines (line) within the allowed edits."""
+    lines = rows.select("line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
+    # Both sides of the join below come from this one shuffle, so they must have the same columns.
+    keys = segment_keys(lines).repartition("key")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("own").alias("indexed")).where("lo < hi AND indexed").select("key")
     chosen = written(keys.join(shared, "key").groupBy("key", "id").agg(F.max("own").alias("own")), "keys")
     ids = written(chosen.select("id").distinct(), "ids")
@@ -97,9 +98,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no lines; repeated rows with an id have equal places, and both firsts stay.
     Other columns are ignored; an empty table gives an empty result.
     """
-    lines = split_lines(docs, id_col, text_col).select("doc", "line_no", F.sha2(F.col("line").cast("binary"), 256).alias("digest"))
-    lines = written(lines, "occurrences")
-    links = written(_links(docs, id_col, text_col), "links")
+    rows = written(split_lines(docs, id_col, text_col), "occurrences")
+    links = written(_links(rows), "links")
+    lines = rows.select("doc", "line_no", F.sha2(F.col("line").cast("binary"), 256).alias("digest"))
     roots = star_components(links, "a", "b").select(F.col("node").alias("digest"), F.col("root").alias("class_id"))
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("line_no").alias("line_no"))
     per_line = lines.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first"))
