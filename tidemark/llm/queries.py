@@ -123,6 +123,19 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op6_source_mixing": f"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size FROM documents),
+g AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM g),
+w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight, source_size * 2::DOUBLE AS most FROM r),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+a AS (SELECT arg_min(level, (most / weight, place)) AS level FROM l WHERE level <= most / weight),
+t AS (SELECT l.source, l.source_size, least(l.most, l.weight * a.level) AS target FROM l, a),
+p AS (SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS want,
+  coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (SELECT sum(greatest(0, least(size, least(source_size, want - n * source_size) - first))) FROM range(3) q(n))::BIGINT AS taken FROM p""",
     "op7_exact_dedup": f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(x) AS text_sha256
