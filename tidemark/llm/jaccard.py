@@ -43,7 +43,7 @@ BLOCK = 400  # sets in a task's block
 BLOCK_TOKENS = 2_000_000  # tokens in a task's block, if it has more than one set
 SPARES = 1 << 16  # most parts that a set is counted to spare
 MARGIN = 15  # percent of parts beyond those needed, so that the most common ones can be spared
-SENT_IDS = 1_000_000  # candidate ids sent to every task (16 MB); beyond that they are joined by a shuffle
+SENT_IDS = 1_000_000  # ids sent to every task (16 MB); beyond that they are joined by a shuffle
 SLICE = 256  # documents hashed together
 _U = np.uint64
 
@@ -227,16 +227,23 @@ def _into_blocks(rows: DataFrame) -> DataFrame:
     return rows.where("NOT large").withColumn("block", F.col("comp")).unionByName(apart)
 
 
+def _once(sets: DataFrame) -> DataFrame:
+    """One row of each set: those of exact copies but the one with the smallest id go."""
+    first = sets.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    copies = written(sets.select("node", "id").join(first, "node").where("id > first").select("node", "id").distinct(), "copies")
+    copies = copies if copies.count() > SENT_IDS else F.broadcast(copies)
+    return sets.join(copies, ["node", "id"], "left_anti")
+
+
 def shared_parts(sets: DataFrame) -> DataFrame:
     """(key, a, b): the parts that each set needs and shares, with the least set that has the part; a and b are 64-bit hashes of node."""
-    nodes = sets.groupBy("node").agg(F.first("bands").alias("bands")).select(F.xxhash64("node").alias("a"), F.explode("bands").alias("x"))
-    # Both sides of the join below come from this one shuffle, so they must have the same columns.
-    parts = nodes.select("a", (F.col("x.band") * SPARES + F.greatest(F.lit(0), F.least(F.col("x.spare"), F.lit(SPARES - 1)))).alias("band"), F.explode("x.keys").alias("key")).repartition("key")
-    shared = parts.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.count("*").alias("sets"), F.max("band").alias("__same_columns"))
-    shared = shared.where("b < top AND __same_columns IS NOT NULL").select("key", "b", "sets")
+    nodes = _once(sets).select(F.xxhash64("node").alias("a"), F.explode("bands").alias("x"))
+    spare = F.greatest(F.lit(0), F.least(F.col("x.spare"), F.lit(SPARES - 1)))
+    parts = nodes.select("a", (F.col("x.band") * SPARES + spare).alias("band"), F.explode("x.keys").alias("key"))
+    same = Window.partitionBy("key")
+    shared = parts.withColumn("b", F.min("a").over(same)).withColumn("top", F.max("a").over(same)).withColumn("sets", F.count("*").over(same)).where("b < top")
     most_common_first = Window.partitionBy("a", "band").orderBy(F.col("sets").desc(), F.col("key").desc())
-    kept = parts.join(shared, "key").withColumn("__rank", F.row_number().over(most_common_first))
-    return kept.where(F.col("__rank") > F.pmod("band", F.lit(SPARES))).select("key", "a", "b")
+    return shared.withColumn("__rank", F.row_number().over(most_common_first)).where(F.col("__rank") > F.pmod("band", F.lit(SPARES))).select("key", "a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
