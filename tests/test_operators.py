@@ -215,3 +215,23 @@ def test_interrupted(spark):
 def test_leader_clusters_are_sequential(spark):
     d = spark.createDataFrame([(0, i, v) for i, v in enumerate([[1.0, 0.0], [0.9, 0.1], [0.0, 1.0]])], "g long, i long, v array<double>")
     assert [r.cluster for r in search.leader_clusters(d, ["g"], "v", "i").orderBy("i").collect()] == [0, 0, 1]
+
+
+def test_moods_and_bugs(spark):
+    from tidemark.operators import reports
+
+    rows = spark.createDataFrame([(2, 0, 5, "x"), (0, 1, 9, "x"), (1, 1, 0, "x"), (0, 0, 4, "x"), (0, 0, 3, "x"), (0, 0, 0, "x"), (9, 9, 9, "Fix it")], "k int, c int, e int, m string")
+    got = [r[0].split()[0] for r in rows.select(reports.emotion(F.col("k"), F.col("c"), F.col("e"), F.col("m"))).collect()]
+    assert got == ["FURY", "RECOMPILING", "BUILD", "RAGE", "FRUSTRATION", "TRIUMPH", "EXHAUSTION"]
+    chaotic = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    c = spark.createDataFrame([(1, "docker ps"), (1, "git commit --amend"), (2, "pytest -k 'not slow'"), (3, "ls")], "session_id long, command string")
+    assert {r.id: r.bug.split()[0] for r in reports.likely_bugs(chaotic, c).collect()} == {1: "Detached", 2: "Silently", 3: "Sleep-Deprived"}
+
+
+def test_header_counts_no_project_and_ties_go_late(spark):
+    from tidemark.operators import reports
+
+    s = spark.createDataFrame([(1, 7, 0, 0, 0, None), (1, 8, 0, 0, 0, 3)], "user_id long, id long, start_time long, end_time long, duration_seconds long, project_id long")
+    linked = spark.createDataFrame([], "user_id long, session_id long")
+    r = reports.header(s, linked, KEYS).first()
+    assert (r.projects, r.commits, r.peak) == (2, 0, "afternoon")

@@ -39,7 +39,7 @@ CLASSES = {
     "Database Necromancer": ["sqlite3", "psql", "mysql", "mongo", "prisma", "sql"],
     "Systems Ranger": ["make", "cmake", "gcc", "clang", "cargo", "rustc", "go"],
 }
-TIERS = [(50, "Elder Vampire"), (20, "Vampire"), (5, "Night Owl")]
+TIERS = [(50, "Dracula Level Vampire"), (20, "Late-Night Bat"), (5, "Midnight Caffeinator")]
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 # End of fixed values.
 
@@ -174,7 +174,7 @@ def late_night_index(commands: DataFrame, commits: DataFrame, keys: list[str]) -
     m = commits.dropDuplicates([*keys, "hash"]).groupBy(*keys).agg(F.count("*").alias("commits"), F.count_if(night).alias("late_commits"))
     both = c.join(m, keys, "full").fillna(0, ["commands", "late_commands", "commits", "late_commits"])
     pct = F.col("late_commands") / F.greatest("commands", F.lit(1)) * 100
-    return both.withColumn("percent", pct).withColumn("tier", X.one_of(F.col("percent"), [(F.col("percent") >= at, name) for at, name in TIERS], "Day Walker"))
+    return both.withColumn("percent", pct).withColumn("tier", X.one_of(F.col("percent"), [(F.col("percent") >= at, name) for at, name in TIERS], "Solar Coder"))
 
 
 def chaotic_sessions(sessions: DataFrame, commands: DataFrame, desperate: str = r"(?i)kill -9|rm -rf|reset --hard|--force|git push -f", many: int = 10, failures: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.adapters import COMMANDS_SQL, Core
 from tidemark.functions import redact as R
 from tidemark.functions import text as X
 from tidemark.functions import time as C
-from tidemark.operators import attribution, insights, joins, predict, recovery, search, sessions, store
+from tidemark.operators import attribution, insights, joins, predict, recovery, reports, search, sessions, store
 from tidemark.sources import sinks
 
 Plan = Callable[[Core], DataFrame]
@@ -637,3 +637,53 @@ def _orphans(c: Core) -> DataFrame:
 @query("report_meta", f"""SELECT 500 AS "limit", least(count(*), 500) AS returned, count(*) AS total, count(*) > 500 AS truncated FROM sessions WHERE start_time BETWEEN {CUTOFF} AND {NOW}""")
 def _report(c: Core) -> DataFrame:
     return store.report_tables(c.sessions, c.commands, CUTOFF, NOW)["meta"].withColumn("returned", F.col("returned").cast("long"))
+
+
+@query("commit_moods", """f AS (SELECT m.hash, count(c.id) AS failures FROM commits m LEFT JOIN commands c ON c.user_id = m.user_id AND c.project_id = m.project_id AND c.exit_code <> 0 AND c.timestamp >= m.timestamp - 43200 AND c.timestamp < m.timestamp GROUP BY 1)
+SELECT hash, failures, CASE WHEN failures > 3 THEN 'RAGE & DESPAIR' WHEN failures >= 1 THEN 'FRUSTRATION / WORKAROUND' ELSE 'TRIUMPH / SMOOTH SAILING' END AS emotion FROM f""")
+def _moods(c: Core) -> DataFrame:
+    failures = joins.failures_before_commits(c.commits, c.sessions, c.commands, KEYS, 43200)
+    clusters = sessions.rebuild_clusters(c.commands, KEYS, X.is_build(F.col("command")))
+    return reports.commit_moods(c.commits, failures, clusters, KEYS, 43200).select("hash", "failures", "emotion")
+
+
+@query("likely_bugs")
+def _bugs(c: Core) -> DataFrame:
+    return reports.likely_bugs(insights.chaotic_sessions(c.sessions, c.commands), c.commands)
+
+
+@query("chronicle")
+def _chronicle(c: Core) -> DataFrame:
+    return reports.chronicle(c.sessions, c.commands, c.projects)
+
+
+@query("main_achievements")
+def _achievements(c: Core) -> DataFrame:
+    return reports.main_achievements(c.sessions, c.commands, linked(c))
+
+
+@query("timeframe_header", f"""{LINKED_SQL},
+s AS (SELECT user_id, sum(duration_seconds)::BIGINT AS seconds, count(DISTINCT coalesce(project_id, -1)) AS projects FROM sessions GROUP BY 1),
+m AS (SELECT s.user_id, count(*) AS commits FROM linked l JOIN sessions s ON s.id = l.session_id GROUP BY 1)
+SELECT user_id, seconds, projects, coalesce(commits, 0) AS commits FROM s LEFT JOIN m USING (user_id)""")
+def _header(c: Core) -> DataFrame:
+    return reports.header(c.sessions, joins.sessions_with_commits(c.sessions, c.commits, KEYS), KEYS).select("user_id", "seconds", F.col("projects").cast("long").alias("projects"), "commits")
+
+
+@query("day_report")
+def _day(c: Core) -> DataFrame:
+    return reports.day_report(c.sessions, insights.session_memory(c.commands, linked(c)), c.projects, F.lit("2024-01-16").cast("date"))
+
+
+@query("recent_sessions", """f AS (SELECT session_id, arg_min(command, (timestamp, id)) AS first FROM commands GROUP BY 1)
+SELECT s.id, CASE WHEN length(first) > 40 THEN left(first, 37) || '...' ELSE first END AS first FROM sessions s JOIN f ON f.session_id = s.id ORDER BY end_time DESC, start_time DESC, s.id DESC LIMIT 20""")
+def _recent(c: Core) -> DataFrame:
+    return reports.recent_sessions(c.sessions, c.commands).select("id", "first")
+
+
+@query("commit_digest", f"""{LINKED_SQL},
+o AS (SELECT project_id, lower(l.message) AS low, arg_min(l.message, (t, hash)) AS message, min((t, hash)) AS seen FROM linked l JOIN sessions s ON s.id = l.session_id GROUP BY 1, 2)
+SELECT project_id, message, row_number() OVER (PARTITION BY project_id ORDER BY seen) AS rank FROM o QUALIFY rank <= 20""")
+def _digest(c: Core) -> DataFrame:
+    rows = linked(c).join(c.sessions.select(F.col("id").alias("session_id"), "project_id"), "session_id")
+    return reports.commit_digest(rows, ["project_id"])
