@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import small_batches
 from tidemark.llm.textkit import NOT_WORD, word_hashes
 
 BITS = 18  # hashed words
@@ -229,6 +230,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     give an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     id_type, item_type = docs.schema[id_col].dataType, items.schema[item_col].dataType
     schema = f"id {id_type.simpleString()}, item {item_type.simpleString()}, share double, cosine double"
     wanted = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.length(F.trim("text")) > 0)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import small_batches
+
 BUCKETS = 1 << 16  # hashed trigrams
 SMOOTHING = 0.5
 ROUNDS = 6  # of expectation-maximisation for each set of languages
@@ -71,6 +73,7 @@ def train_language_model(docs: DataFrame, text_col: str = "text", lang_col: str
     Each task sums its counts before the shuffle; what comes to the driver is
     one number per bucket and language, however many rows there are.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import small_batches
 from tidemark.llm.textkit import hash_spans, mix, spans, word_hashes
 from tidemark.llm.weak import ABSTAIN, NO, YES, Linear, VoteModel, fit_linear, fit_votes
 
@@ -104,6 +105,7 @@ def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The driver gets one row per pattern of votes and the texts' features of the
     fitted rows only. An empty table gives a model that scores everything 0.
     """
+    small_batches(docs.sparkSession)
     table = _voted(docs, text_col).groupBy("votes").count().toPandas()
     if not len(table):
         return QualityModel(None, None)

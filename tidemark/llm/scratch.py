@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 512  # rows that a Python worker gets at a time
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only where none is set (tests)."""
@@ -21,9 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows to a Python batch than Spark's default of 10,000, as rows hold whole texts; a setting of one's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame over the written rows."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
