@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -83,6 +84,25 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.where(F.lit(False))).count() == 0
 
 
+def test_mixing_keeps_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_WORDS", 200)
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 3, 40]), rng.choice(["a", "b"])) for i in range(90)]
+    rows += [(None, rng.choice([0, 7, 50]), rng.choice(["a", "b"])) for _ in range(60)] + [(7, 11, "b")] * 40 + [(7, 30, "b"), (None, 5, None)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], KIND + ", source string")
+    want, order = [], ["a", "b", None]
+    sizes = [sum(n for _, n, s in rows if s == o) for o in order]
+    for o, size, target in zip(order, sizes, targets_by_hand(sizes, [5, 2, 1], 1.5, 2.0)):
+        first = 0
+        for i, n, _ in sorted((r for r in rows if r[2] == o), key=lambda r: (r[0] is None, hashlib.md5(str(r[0]).encode()).hexdigest(), r[1])):
+            want.append((str(i), n, size, sum(max(0, min(n, min(size, math.floor(target + 0.5) - k * size) - first)) for k in range(3))))
+            first += n
+    got = mixing.mix_sources(docs, block_words=16).collect()
+    assert len(got) == len(rows)
+    assert sorted((str(r.doc_id), r["size"], r.source_size, r.taken) for r in got) == sorted(want)
+
+
 def test_slots_follow_the_weights(spark):
     t = spark.createDataFrame([(1, 6000.0, 3000), (2, 3000.0, 3000), (3, 1000.0, 3000)], "place int, target double, source_size long")
     slots = [r.place for r in mixing.slot_schedule(t, 10).orderBy("slot").collect()]

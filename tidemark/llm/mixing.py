@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import written
 
 BLOCK_WORDS = 256  # words in a block; only a source's last one is shorter
-CHUNK = 1 << 16  # slots ranked together
+CHUNK = 1 << 16  # slots ranked, or equal documents opened, together
 RUN_WORDS = 1 << 20  # words of a source that are laid out together, on average
 SENT_SOURCES = 100_000  # sources sent to every task; more are joined by a shuffle
 GOLDEN = 0.6180339887498949
@@ -42,19 +42,26 @@ def source_targets(sizes: DataFrame, share: float, weights: list[int], cap: floa
 
 
 def _layout(docs: DataFrame) -> DataFrame:
-    """Each document's first word in its source's shuffled stream.
+    """Each document's first word in its source's shuffled stream; ``docs`` have words.
 
-    The shuffle is by a hash of the id. Runs of neighbouring hashes are laid out
-    on their own and offset by the words before them, so that a source with most
-    of the rows takes many tasks.
+    The shuffle is by a hash of the id, null ids last. Documents equal in id and
+    size are laid out as one row, so that a null or repeated id has no more rows
+    than it has sizes. Runs of neighbouring hashes are laid out on their own and
+    offset by the words before them, so that a source with most of the rows
+    takes many tasks.
     """
     runs = F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / RUN_WORDS))
-    spread = docs.withColumn("hash", F.md5(F.col("id").cast("string")))
-    spread = spread.withColumn("run", F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * runs / F.lit(float(1 << 32))))
+    spread = docs.groupBy("place", "id", "size", "source_size", "target").agg(F.count("*").alias("n"))
+    spread = spread.withColumn("hash", F.md5(F.col("id").cast("string"))).withColumn("words", F.col("n") * F.col("size"))
+    spread = spread.withColumn("run", F.coalesce(F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * runs / F.lit(float(1 << 32))), runs))
     before = Window.partitionBy("place").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    start = spread.groupBy("place", "run").agg(F.sum("size").alias("words")).select("place", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    start = spread.groupBy("place", "run").agg(F.sum("words").alias("words")).select("place", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("place", "run").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return spread.join(start, ["place", "run"]).withColumn("first", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("run", "start", "hash")
+    laid = spread.join(start, ["place", "run"]).withColumn("first", F.col("start") + F.coalesce(F.sum("words").over(inside), F.lit(0))).drop("run", "start", "hash", "words")
+    # Equal documents follow one another; many of them are opened by many tasks.
+    laid = laid.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long")))).repartition("place", "first", "from")
+    laid = laid.withColumn("nth", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK, "n") - 1)))
+    return laid.withColumn("first", F.col("first") + F.col("nth") * F.col("size")).drop("n", "from", "nth")
 
 
 def slot_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -122,15 +129,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = written(source_targets(sizes, share, list(weights), cap), "targets")
     small = targets.count() <= SENT_SOURCES
     named = sized.join(F.broadcast(targets) if small else targets, sized.source.eqNullSafe(targets.source)).drop("source")
-    laid = written(_layout(named), "laid")
+    laid = written(_layout(named.where("size > 0")), "laid")
     bounds = F.floor(F.col("first") / block_words), F.floor((F.col("first") + F.col("size") - 1) / block_words)
-    pieces = laid.where("size > 0").select("place", "first", "size", F.explode(F.sequence(*bounds)).alias("block"))
+    pieces = laid.select("place", "first", "size", F.explode(F.sequence(*bounds)).alias("block"))
     start = F.greatest(F.col("first") - F.col("block") * block_words, F.lit(0))
     end = F.least(F.col("first") + F.col("size") - F.col("block") * block_words, F.lit(block_words).cast("long"))
     pieces = pieces.select("place", "first", "block", start.alias("from"), end.alias("to"))
     got = pieces.join(block_schedule(targets, block_words), ["place", "block"])
     got = got.groupBy("place", "first").agg(F.sum(F.greatest(F.lit(0).cast("long"), F.least("to", "used") - F.col("from"))).alias("taken"), F.min("slot").alias("first_slot"))
-    out = laid.where("size > 0").join(got, ["place", "first"], "left")  # no two documents with words start at the same word
+    out = laid.join(got, ["place", "first"], "left")  # no two documents with words start at the same word
     columns = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot"]
-    none = laid.where("size = 0").select(F.col("id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    none = named.where("size = 0").select(F.col("id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     return out.select(*columns).unionByName(none)
