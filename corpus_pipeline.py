@@ -21,35 +21,68 @@ LEAST_SHARE = 0.5  # of a document's words in its main language
 SENT_IDS = 1_000_000  # ids sent to every task; more are joined by a shuffle
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    return ids if ids.count() > SENT_IDS else F.broadcast(ids)
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids``, null included."""
-    ids = written(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    ids = ids if ids.count() > SENT_IDS else F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+    """``docs`` less the rows whose key is in ``ids``."""
+    ids = _sent(written(ids.select(F.col("key").alias("gone")).distinct(), "gone"))
+    return docs.join(ids, docs["key"] == ids["gone"], "left_anti")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``key``, binary, which no two rows share and which is never null.
+
+    Keys are ordered by doc_id, null last, then by a hash of all columns. So they
+    come out alike whenever they are computed; only rows that are equal in all
+    columns are written to the shared folder, with numbers of their own.
+    """
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # in the order of signed numbers
+    by_id = F.coalesce(F.concat(F.lit("00"), number), F.lit("01" + "0" * 16))
+    hashed = F.md5(F.concat(*[F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in docs.columns]))
+    keyed = docs.withColumn("key", F.unhex(F.concat(by_id, hashed)))
+    equal = written(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("equal")), "equal")
+    if equal.isEmpty():
+        return keyed
+    equal = _sent(equal)
+    same = keyed.join(equal, keyed["key"] == equal["equal"], "left_semi").withColumn("nth", F.monotonically_increasing_id())
+    same = written(same, "same").withColumn("key", F.concat("key", F.unhex(F.lpad(F.hex("nth"), 16, "0")))).drop("nth")
+    return keyed.join(equal, keyed["key"] == equal["equal"], "left_anti").unionByName(same)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, and those whose main language has less than half their words."""
-    found = identify_languages(docs, train_language_model(docs))
-    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SHARE)))
+    """Drop rows without letters, and those whose main language has less than half their words.
+
+    Each row is judged by its own text, whatever other rows have its id.
+    """
+    keyed = _keyed(docs)
+    found = identify_languages(keyed, train_language_model(docs), id_col="key")
+    return _without(keyed, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SHARE))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest id, of each class at five words and similarity 0.8."""
-    return _without(docs, jaccard_components(docs, width=5, percent=80).where("doc_id <> component_id"))
+    """Keep one row of each class at five words and similarity 0.8: that with the smallest id.
+
+    A null id counts as larger than any other; among rows of one id a hash of the
+    row decides. Rows of one id with other texts are in classes of their own.
+    """
+    keyed = _keyed(docs)
+    return _without(keyed, jaccard_components(keyed, id_col="key", width=5, percent=80).where("key <> component_id")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a benchmark item is found."""
-    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Drop rows in whose own text a benchmark item is found."""
+    keyed = _keyed(docs)
+    return _without(keyed, find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it, to the nearest whole time (rows of one id alike)."""
-    mix = mix_sources(docs).select(F.col("doc_id").alias("mixed"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times"))
-    mix = written(mix.where("times > 0").groupBy("mixed").agg(F.max("times").alias("times")), "mix")
-    mix = mix if mix.count() > SENT_IDS else F.broadcast(mix)
-    joined = docs.join(mix, docs["doc_id"].eqNullSafe(mix["mixed"]))
+    """Repeat each row as often as the mix takes it, to the nearest whole time; rows of one id have times of their own."""
+    keyed = _keyed(docs)
+    mix = mix_sources(keyed, id_col="key").select(F.col("key").alias("mixed"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times"))
+    mix = _sent(written(mix.where("times > 0"), "mix"))
+    joined = keyed.join(mix, keyed["key"] == mix["mixed"])
     return joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
 
 
