@@ -235,3 +235,11 @@ def test_header_counts_no_project_and_ties_go_late(spark):
     linked = spark.createDataFrame([], "user_id long, session_id long")
     r = reports.header(s, linked, KEYS).first()
     assert (r.projects, r.commits, r.peak) == (2, 0, "afternoon")
+
+
+def test_query_expansion_has_anchors_of_late_documents(spark, tmp_path):
+    from tidemark.plans.queries import queries
+
+    spark.createDataFrame([(3, "early"), (150, "late early"), (2000, "latest")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "late early latest none")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r.query for r in queries()["query_expansion"](spark, str(tmp_path)).collect()] == ["late early latest none doc150 doc3 doc2000"]

@@ -519,7 +519,7 @@ def _clusters(c: Core) -> DataFrame:
 @query("query_expansion")
 def _expansion(c: Core) -> DataFrame:
     asked = c.table("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
-    anchors = search.postings(c.table("documents"), "doc_id", "text").groupBy("term").agg(F.min("ref").alias("r")).where("r < 100").select(F.col("term").alias("word"), F.concat(F.lit("doc"), F.col("r").cast("string")).alias("anchor"))
+    anchors = search.postings(c.table("documents"), "doc_id", "text").groupBy("term").agg(F.min("ref").alias("r")).select(F.col("term").alias("word"), F.concat(F.lit("doc"), F.col("r").cast("string")).alias("anchor"))
     return search.expand_queries(asked, anchors)
 
 
