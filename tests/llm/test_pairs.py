@@ -39,9 +39,10 @@ def families(rng, groups, longest):
     return out
 
 
-@pytest.mark.parametrize("width,percent,block", [(3, 90, 400), (5, 80, 4)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, width, percent, block):
+@pytest.mark.parametrize("width,percent,block,hot", [(3, 90, 400, 64), (5, 80, 4, 2)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, width, percent, block, hot):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "HOT", hot)
     texts = families(random.Random(7), 8, 120)
     texts += texts[:3] + ["", None, " \t ", "a", "A", "a b"]
     sets = []
@@ -55,6 +56,22 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, width, percent, block):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_spares_a_passage_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 8)
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    texts = [" ".join(passage + [word() for _ in range(rng.choice([20, 30, 60]))]) for _ in range(150)]
+    texts += [t + " more" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs, width=3, percent=90).collect()}
+    assert got == {i: i if i < 150 else i - 150 for i in range(170)}
+    sets = [shingle_set(h, 3) for h in word_hashes(texts)]
+    rows = spark.createDataFrame([(i, str(i).encode(), len(s), t) for i, (s, t) in enumerate(zip(sets, texts))], "a long, node binary, n long, text string")
+    keys = J.rare_tokens(rows.select("a", "n", "text"), 3, 90)
+    assert keys.groupBy("key").count().agg({"count": "max"}).first()[0] == 2
+
+
 def test_jaccard_empty_and_null_ids(spark):
     kind = "doc_id long, text string"
     assert J.jaccard_components(spark.createDataFrame([], kind)).count() == 0

@@ -16,12 +16,20 @@ sets (by how many sets share a part, then by key): the first part in that order
 on which two similar sets agree is among those of both. So the parts of common
 passages are spared, and no link is lost.
 
+Hot parts. Where a needed part is shared by more than HOT sets, it is set aside,
+and the sets that need it are cut again, into single tokens. Of those, only the
+rarest count: at least ``percent``/100 of a set's tokens are in any set like it, so
+the others are too few without one of the first ``n - percent * n / 100 + 1``; and
+of two such sets the smaller has a common token among still fewer, its index. If
+the first part that two similar sets share is set aside, both are cut again, so
+no link is lost; and passages that many sets share fall out, as they aren't rare.
+
 Hot groups. Exact copies count once. A set's leader is the least set that it
 shares a part with. Small connected components of candidates are blocks; larger
 ones fall apart by leader, and a leader's sets by hash, into blocks of at most
 BLOCK sets. Blocks are solved alone; then the leaders of the classes of one
-candidate leader are; last, each set is compared with the other blocks in which
-a set of another class shares a part with it, unless that made them one class.
+candidate leader are; last, classes of different blocks that share a part are
+compared, the sets of the smaller class with the blocks of the larger one.
 No task gets more than a block and as many sets that ask for it.
 """
 
@@ -43,6 +51,8 @@ BLOCK = 400  # sets in a task's block
 BLOCK_TOKENS = 2_000_000  # tokens in a task's block, if it has more than one set
 SPARES = 1 << 16  # most parts that a set is counted to spare
 MARGIN = 15  # percent of parts beyond those needed, so that the most common ones can be spared
+HOT = 64  # sets that share a part, from which on they are cut into single tokens
+TASK_SETS = 500  # sets solved by a task, on average at most; the work is in Python, so their bytes say little
 SENT_IDS = 1_000_000  # ids sent to every task (16 MB); beyond that they are joined by a shuffle
 SLICE = 256  # documents hashed together
 _U = np.uint64
@@ -95,11 +105,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
                 part = batch.slice(at, SLICE)
                 sets = [shingle_set(h, width) for h in word_hashes(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([part_keys(s, percent, bands) for s in sets], kind)],
-                    names=["id", "n", "node", "bands"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([part_keys(s, percent, bands) for s in sets], kind)],
+                    names=["id", "text_hash", "n", "node", "bands"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, n bigint, node binary, bands array<struct<band:int,spare:int,keys:array<bigint>>>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, f"id {id_type}, text_hash bigint, n bigint, node binary, bands array<struct<band:int,spare:int,keys:array<bigint>>>")
 
 
 class TokenGroups:
@@ -176,20 +187,23 @@ def _token_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return [shingle_set(h, width) for h in word_hashes(texts)]
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for blocks of ``rows``, which are written."""
+    return rows.count() // TASK_SETS + 1
+
+
 def _solve_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """rows: block, comp, node, text. The class of each node within its block, named by its first node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in by_group(batches, "block"):
             sets = _token_sets(g["text"], width)
-            ok = [i for i, (s, node) in enumerate(zip(sets, g["node"])) if digest(s) == node]  # an id that stands for several texts brings them all
-            ok = sorted({g["node"][i]: i for i in ok}.values(), key=lambda i: g["node"][i])
-            if ok:
-                first = _classes([sets[i] for i in ok], percent)
-                nodes = [g["node"][i] for i in ok]
-                yield pa.RecordBatch.from_arrays([pa.array([g["comp"][0]] * len(ok), pa.int64()), pa.array(nodes, pa.binary()), pa.array([nodes[i] for i in first], pa.binary())], names=["comp", "node", "label"])
-
-    sorted_rows = rows.select("block", "comp", "node", "text").repartition("block").sortWithinPartitions("block")
+            order = sorted(range(len(sets)), key=g["node"].__getitem__)
+            first = _classes([sets[i] for i in order], percent)
+            nodes = [g["node"][i] for i in order]
+            yield pa.RecordBatch.from_arrays([pa.array([g["comp"][0]] * len(order), pa.int64()), pa.array(nodes, pa.binary()), pa.array([nodes[i] for i in first], pa.binary())], names=["comp", "node", "label"])
+
+    sorted_rows = rows.select("block", "comp", "node", "text").repartition(_tasks(rows), "block").sortWithinPartitions("block")
     return sorted_rows.mapInArrow(run, "comp bigint, node binary, label binary")
 
 
@@ -209,7 +223,7 @@ def _open_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
             found = [(a, b) for a, b in found if a != b]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    sorted_rows = rows.select("task", "label", "text", "query").repartition("task").sortWithinPartitions("task")
+    sorted_rows = rows.select("task", "label", "text", "query").repartition(_tasks(rows), "task").sortWithinPartitions("task")
     return sorted_rows.mapInArrow(run, "a binary, b binary")
 
 
@@ -236,14 +250,48 @@ def _once(sets: DataFrame) -> DataFrame:
 
 
 def shared_parts(sets: DataFrame) -> DataFrame:
-    """(key, a, b): the parts that each set needs and shares, with the least set that has the part; a and b are 64-bit hashes of node."""
+    """(key, a, b, sets): the parts that each set needs and shares, with the least set that has the part and how many do; a and b are 64-bit hashes of node."""
     nodes = _once(sets).select(F.xxhash64("node").alias("a"), F.explode("bands").alias("x"))
     spare = F.greatest(F.lit(0), F.least(F.col("x.spare"), F.lit(SPARES - 1)))
     parts = nodes.select("a", (F.col("x.band") * SPARES + spare).alias("band"), F.explode("x.keys").alias("key"))
     same = Window.partitionBy("key")
     shared = parts.withColumn("b", F.min("a").over(same)).withColumn("top", F.max("a").over(same)).withColumn("sets", F.count("*").over(same)).where("b < top")
     most_common_first = Window.partitionBy("a", "band").orderBy(F.col("sets").desc(), F.col("key").desc())
-    return shared.withColumn("__rank", F.row_number().over(most_common_first)).where(F.col("__rank") > F.pmod("band", F.lit(SPARES))).select("key", "a", "b").distinct()
+    return shared.withColumn("__rank", F.row_number().over(most_common_first)).where(F.col("__rank") > F.pmod("band", F.lit(SPARES))).select("key", "a", "b", "sets").distinct()
+
+
+def rare_tokens(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, a, b) from (a, n, text): the rarest tokens of each set, where some set has them in its index; b is the least set that has the key.
+
+    Tokens are counted before the shuffle and the counts joined back, so that a
+    token that most sets have is no one's task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = _token_sets(part.column(2).to_pylist(), width)
+                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                token = np.concatenate(sets).view(np.int64) if len(row) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(token)], names=["a", "n", "token"])
+
+    tokens = written(texts.select("a", "n", "text").mapInArrow(run, "a bigint, n bigint, token bigint"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    most_common_first = Window.partitionBy("a").orderBy(F.col("sets").desc(), F.col("token").desc())
+    ranked = tokens.join(counts, "token").withColumn("__rank", F.row_number().over(most_common_first))
+    probe, index = F.ceil(F.col("n") * percent / 100), F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    rare = written(ranked.where(F.col("__rank") >= probe).select("token", "a", (F.col("__rank") >= index).alias("index")), "rare")
+    live = rare.groupBy("token").agg(F.min("a").alias("b"), F.max("a").alias("top"), F.max("index").alias("index")).where("index AND b < top").select("token", "b")
+    return rare.drop("index").join(live, "token").select(F.xxhash64(F.lit("token"), "token").alias("key"), "a", "b").distinct()
+
+
+def _texts_of(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of ``chosen`` (id, text_hash, node and more, written) with their text; once each, even if rows are ``repeated``."""
+    chosen = chosen if chosen.count() > SENT_IDS else F.broadcast(chosen)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    found = rows.join(chosen, rows["id"].eqNullSafe(chosen["id"]) & (rows["text_hash"] == chosen["text_hash"])).select(*chosen.drop("id", "text_hash").columns, "text")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -259,14 +307,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result.
     """
     sets = written(_sets(docs, id_col, text_col, width, percent), "sets")
-    nodes = sets.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("id")).withColumn("a", F.xxhash64("node"))
+    one = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash"))
+    nodes = sets.where("n > 0").groupBy("node", "n").agg(one.alias("one")).select("node", "n", "one.id", "one.text_hash", F.xxhash64("node").alias("a"))
+    repeated = not sets.groupBy("node", "id", "text_hash").count().where("count > 1").isEmpty()
     parts = written(shared_parts(sets.where("n > 0")), "parts")
+    hot = written(nodes.join(parts.where(F.col("sets") > HOT).select("a").distinct(), "a"), "hot")
+    if not hot.isEmpty():
+        again = rare_tokens(_texts_of(docs, id_col, text_col, hot, repeated), width, percent)
+        parts = written(parts.where(F.col("sets") <= HOT).select("key", "a", "b").unionByName(again), "parts")
     comps = star_components(parts, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("comp"))
     leaders = parts.groupBy("a").agg(F.min("b").alias("leader"))
     chosen = written(_into_blocks(nodes.join(comps, "a").join(leaders, "a")), "chosen")
-    ids = chosen if chosen.count() > SENT_IDS else F.broadcast(chosen)
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(ids, F.col("doc").eqNullSafe(F.col("id"))).drop("doc", "id")
-    texts = written(texts, "texts")
+    texts = written(_texts_of(docs, id_col, text_col, chosen, repeated), "texts")
     labels = written(_solve_blocks(texts, width, percent), "labels")
     if not texts.where("large").isEmpty():
         labels = _join_blocks(labels, texts.where("large"), parts, width, percent)
@@ -287,10 +339,13 @@ def _join_blocks(labels: DataFrame, large: DataFrame, parts: DataFrame, width: i
     heads = large.join(labels.where("node = label").select("node"), "node", "left_semi").drop("block")
     found = _solve_blocks(_pieces(heads, ["comp", "leader"], BLOCK, BLOCK_TOKENS).withColumnRenamed("piece", "block"), width, percent)
     labels = _relabel(labels, found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    members = written(large.select("a", "node", "n", "block", "text").join(labels.select("node", "label"), "node"), "members")
-    places = parts.select("key", "a").join(members.select("a", "block", "label"), "a")
-    there = places.groupBy("key", F.col("block").alias("other"), F.col("label").alias("there")).agg(F.lit(1).alias("one"))
-    pairs = places.join(there, "key").where("block > other AND label <> there").select("a", F.col("other").alias("block")).distinct()
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    members = written(large.select("a", "node", "n", "block", "text").join(labels.select("node", "label").join(sizes, "label"), "node"), "members")
+    places = parts.select("key", "a").join(members.select("a", "block", "label", "size"), "a")
+    several = places.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    places = written(places.join(several, "key"), "places")
+    there = places.groupBy("key", F.col("block").alias("other"), F.col("label").alias("there"), F.col("size").alias("larger")).agg(F.lit(1).alias("one"))
+    pairs = places.join(there, "key").where("block <> other AND (larger > size OR larger = size AND there > label)").select("a", F.col("other").alias("block")).distinct()
     asks = members.select("a", "node", "n", "label", "text").join(pairs, "a")
     asks = written(_pieces(asks, ["block"], BLOCK, BLOCK_TOKENS).select("piece", "block", "label", "text"), "asks")
     tasks = asks.select("block", "piece").distinct()
