@@ -30,6 +30,14 @@ def test_exact_with_a_filter_that_is_joined(spark, monkeypatch):
     assert sum(r.kept for r in exact.exact_duplicates(frame(spark)).collect()) == 5
 
 
+def test_exact_filter_marks_all_repeats_and_little_else(spark):
+    texts = [f"text {i}" for i in range(6000)] + [f"again {i % 100}" for i in range(300)] + ["hot"] * 500
+    hashed = spark.createDataFrame(list(enumerate(texts)), "id long, text_sha256 string")
+    located = exact._located(hashed, len(texts))
+    marked = {r.id for r in exact._marked(located, exact.repeated_filter(located)).where("maybe").collect()}
+    assert marked >= set(range(6000, 6800)) and len(marked) < 800 + 6000 * 0.06
+
+
 def test_shards(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["hot copy " * 9, "x" * rng.randint(0, 900), None])) for i in range(3000)] + ODD
@@ -151,6 +159,20 @@ def test_languages(spark):
     assert langid.identify_languages(docs, none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_of_a_text_in_four(spark):
+    words = {"aa": ["the", "thing", "with"], "bb": ["der", "nicht", "schön"], "cc": ["quello", "perché", "sono"], "dd": ["jestem", "żeby", "którzy"]}
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(w) for _ in range(80)), l) for i, (l, w) in enumerate(list(words.items()) * 10)]
+    model = langid.train_language_model(spark.createDataFrame(rows, KIND + ", lang string"))
+    text = " ".join(w[k % 3] for w, n in zip(words.values(), (80, 60, 40, 20)) for k in range(n))
+    docs = frame(spark, [(1, text), (1, text), (2, "² ½ Ⅷ 7 _"), (3, text * 40), (4, " ".join(["the thing with"] * 400 + ["schön nicht der"] * 2))])
+    got = langid.identify_languages(docs, model).collect()
+    assert len(got) == 5 and [r.lang_pred for r in got if r.doc_id == 2] == ["und"]
+    for r in (r for r in got if r.doc_id in (1, 3)):
+        assert r.languages == ["aa", "bb", "cc", "dd"] and all(abs(s - w) < 0.04 for s, w in zip(r.shares, (0.4, 0.3, 0.2, 0.1)))
+    assert next(r for r in got if r.doc_id == 4).languages == ["aa", "bb"]
+
+
 def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())

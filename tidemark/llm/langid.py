@@ -4,12 +4,13 @@ A document is a mixture of languages: each word is drawn from one of them with
 the document's proportions, and its character trigrams have that language's
 frequencies. Expectation-maximisation estimates the proportions; nested sets of
 languages, largest share first, are compared by likelihood less a penalty for
-each language, and the best set stays.
+each language, and the best set stays. However many languages a text has, a
+further one is tried as long as the likelihood's upper bound, each word at its
+best, leaves room for its penalty.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +24,13 @@ from tidemark.llm.scratch import small_batches
 BUCKETS = 1 << 16  # hashed trigrams
 SMOOTHING = 0.5
 ROUNDS = 6  # of expectation-maximisation for each set of languages
-MOST = 3  # languages that a document may mix
-NEARLY_ALL = 0.99  # share of the languages so far from which no further one is tried
 PENALTY = 3.0  # times half the logarithm of the number of words, for each language
 CHUNK = 400_000  # characters taken together; a longer text is one chunk
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def _has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass(frozen=True)
@@ -136,9 +137,10 @@ def infer_mixtures(texts: list[str], model: LanguageModel) -> list[tuple[list[in
     # One language needs no fitting; more are tried where the first round leaves them a share.
     single = np.stack([np.add.reduceat(row.astype(np.float64), first) for row in log_lik])
     chosen = (rank == 0).astype(np.float32)
+    most = np.add.reduceat(top.astype(np.float64), first)  # no mixture is likelier than each word's best language
     best = (single * chosen).sum(axis=0) - PENALTY * 0.5 * np.log(words + 1)
-    for k in range(2, min(MOST, len(model.languages)) + 1):
-        which = everything[(share * (rank < k - 1)).sum(axis=0) < NEARLY_ALL]
+    for k in range(2, len(model.languages) + 1):
+        which = everything[most - PENALTY * 0.5 * k * np.log(words + 1) > best]
         if not len(which):
             break
         fitted, value = fit(which, (rank < k)[:, which].astype(float))
@@ -148,7 +150,7 @@ def infer_mixtures(texts: list[str], model: LanguageModel) -> list[tuple[list[in
         chosen[:, which[better]] = fitted[:, better]
     out: list[tuple[list[int], list[float]]] = [([], []) for _ in range(count)]
     for i, d in enumerate(has.tolist()):
-        langs = [int(k) for k in np.argsort(-chosen[:, i], kind="stable") if chosen[k, i] > 0.005]
+        langs = [int(k) for k in np.argsort(-chosen[:, i], kind="stable") if chosen[k, i] > 0]
         out[d] = (langs, [float(min(1.0, chosen[k, i])) for k in langs])
     return out
 
@@ -168,7 +170,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
         for batch in batches:
             found: list[tuple[list[int], list[float]]] = [([], [])] * batch.num_rows
             texts = batch.column(1).to_pylist()
-            items = [(t, i) for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
+            items = [(t, i) for i, t in enumerate(texts) if _has_letter(t)] if model.languages else []
             for chunk in _chunks(items):
                 for (_, i), mix in zip(chunk, infer_mixtures([t for t, _ in chunk], model)):
                     found[i] = mix
