@@ -111,6 +111,31 @@ def test_mixing_keeps_null_and_repeated_ids(spark, monkeypatch):
     assert sorted((str(r.doc_id), r["size"], r.source_size, r.taken) for r in got) == sorted(want)
 
 
+def test_slots_decide_when_a_document_comes(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(i, rng.choice([0, 5, 40, 200]), rng.choice(["a", "b", None])) for i in range(120)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], KIND + ", source string")
+    order = ["a", "b", None]
+    sizes = [sum(n for _, n, s in rows if s == o) for o in order]
+    targets = targets_by_hand(sizes, [5, 2, 1], 1.5, 2.0)
+    total = sum(targets)
+    slots, ranks = int(total // 16) + 1, [[], [], []]
+    for i in range(slots):
+        x = i * mixing.GOLDEN % 1 * total
+        ranks[next(k for k in range(3) if x < sum(targets[: k + 1]))].append(i)
+    want = {}
+    for k, (o, size, target) in enumerate(zip(order, sizes, targets)):
+        first = 0
+        for i, n, _ in sorted((r for r in rows if r[2] == o), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+            rank = first // 16
+            want[i] = None if not n or first >= min(size, math.floor(target + 0.5)) else ranks[k][rank] if rank < len(ranks[k]) else slots + rank * 3 + k + 1
+            first += n
+    got = {r.doc_id: r.first_slot for r in mixing.mix_sources(docs, block_words=16).collect()}
+    assert got == want
+    monkeypatch.setattr(mixing, "GOLDEN", 0.25)
+    assert got != {r.doc_id: r.first_slot for r in mixing.mix_sources(docs, block_words=16).collect()}
+
+
 def test_slots_follow_the_weights(spark):
     t = spark.createDataFrame([(1, 6000.0, 3000), (2, 3000.0, 3000), (3, 1000.0, 3000)], "place int, target double, source_size long")
     slots = [r.place for r in mixing.slot_schedule(t, 10).orderBy("slot").collect()]

@@ -1,4 +1,11 @@
-"""Mixing sources to target weights along a low-discrepancy schedule."""
+"""Mixing sources to target weights along a low-discrepancy schedule.
+
+Each slot of the mix belongs to the source whose stretch of the cumulative
+weights holds the slot's golden-ratio point. Slots are ranked per source and
+joined to the source's blocks of equal numbers of words, which are cut from its
+documents in hashed order. A slot without a block left is trimmed; blocks that
+the target needs beyond the slots (a few at most) get slots after all others.
+"""
 
 from __future__ import annotations
 
@@ -64,6 +71,15 @@ def _layout(docs: DataFrame) -> DataFrame:
     return laid.withColumn("first", F.col("first") + F.col("nth") * F.col("size")).drop("n", "from", "nth")
 
 
+def _total(targets: DataFrame) -> float:
+    """Of all targets: where the last stretch ends."""
+    return targets.select(F.sum("target").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).alias("upper")).agg(F.coalesce(F.max("upper"), F.lit(0.0))).first()[0]
+
+
+def _slots(targets: DataFrame, block_words: int) -> int:
+    return int(_total(targets) // block_words) + 1
+
+
 def slot_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(place, rank, slot): the slots of each source, ranked from 0.
 
@@ -72,8 +88,7 @@ def slot_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     Ranks are counted within chunks of slots and offset by the chunks before.
     """
     spark = targets.sparkSession
-    total = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    slots = int(total // block_words) + 1
+    total, slots = _total(targets), _slots(targets, block_words)
     upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     stretch = targets.where("target > 0").select("place", F.sum("target").over(upto).alias("upper"), (F.sum("target").over(upto) - F.col("target")).alias("lower"))
     # 1,024 cells of the unit interval bring each point to the few stretches that overlap its cell.
@@ -93,28 +108,32 @@ def block_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFr
 
     Blocks are cut from the source's shuffled stream of documents, so taking them
     in order keeps documents whole; the last one is cut where the target is
-    reached. Slots beyond the target stay empty; blocks without a slot follow
-    after all slots.
+    reached. Slots are the ranks' own ones; a source with fewer slots than its
+    target needs blocks is topped up after the last slot.
     """
+    slots, sources = _slots(targets, block_words), targets.count()
     per_pass = F.ceil(F.col("source_size") / block_words)
     want = F.round("target").cast("long")
     passes = targets.where("source_size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.floor(want / F.col("source_size")))))
     passes = passes.withColumn("words", F.least(F.col("source_size"), want - F.col("pass") * F.col("source_size"))).where("words > 0")
-    passes = passes.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("words") / block_words) - 1)))
-    blocks = passes.select(
-        "place", "pass", F.col("step").alias("block"),
-        F.least(F.lit(block_words).cast("long"), F.col("words") - F.col("step") * block_words).alias("used"),
-        (F.col("pass") * per_pass + F.col("step")).alias("rank"),
-    )
-    return blocks.join(slot_schedule(targets, block_words), ["place", "rank"], "left").drop("rank")
+    passes = passes.withColumn("first", F.col("pass") * per_pass).withColumn("last", F.col("first") + F.ceil(F.col("words") / block_words) - 1)
+    has = slot_schedule(targets, block_words)
+    most = has.groupBy("place").agg((F.max("rank") + 1).alias("has"))
+    needs = passes.groupBy("place").agg(F.max("last").alias("last")).join(most, "place", "left").withColumn("has", F.coalesce("has", F.lit(0)))
+    more = needs.where("has <= last").select("place", F.explode(F.sequence("has", "last")).alias("rank"))
+    has = has.unionByName(more.withColumn("slot", slots + F.col("rank") * sources + F.col("place")))
+    passes = passes.select("place", "pass", "words", F.col("first"), F.col("last"))
+    filled = has.join(F.broadcast(passes) if sources <= SENT_SOURCES else passes, "place").where("rank BETWEEN first AND last").withColumn("block", F.col("rank") - F.col("first"))
+    return filled.select("place", "block", "pass", F.least(F.lit(block_words).cast("long"), F.col("words") - F.col("block") * block_words).alias("used"), "slot")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), cap: float = 2.0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """How often each document is used when sources are mixed to their targets.
 
     Returns one row per input row: ``id_col``, size (words), source_size, target
-    (of its source, in words) and taken (words the mix takes of it, repeats
-    counted), with first_slot, the first slot of the schedule that it fills. A
+    (of its source, in words), taken (words the mix takes of it, repeats counted)
+    and first_slot, the first slot of the schedule that it fills, null where none
+    is taken. The mix in its order is the documents in the order of slots. A
     source's taken words are its target to the nearest word. A document is
     taken as often as its source's stream passes it, ``cap`` times at most.
 
@@ -136,7 +155,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end = F.least(F.col("first") + F.col("size") - F.col("block") * block_words, F.lit(block_words).cast("long"))
     pieces = pieces.select("place", "first", "block", start.alias("from"), end.alias("to"))
     got = pieces.join(block_schedule(targets, block_words), ["place", "block"])
-    got = got.groupBy("place", "first").agg(F.sum(F.greatest(F.lit(0).cast("long"), F.least("to", "used") - F.col("from"))).alias("taken"), F.min("slot").alias("first_slot"))
+    got = got.groupBy("place", "first").agg(F.sum(F.greatest(F.lit(0).cast("long"), F.least("to", "used") - F.col("from"))).alias("taken"), F.min(F.when(F.least("to", "used") > F.col("from"), F.col("slot"))).alias("first_slot"))
     out = laid.join(got, ["place", "first"], "left")  # no two documents with words start at the same word
     columns = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot"]
     none = named.where("size = 0").select(F.col("id").alias(id_col), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))

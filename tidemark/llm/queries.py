@@ -57,7 +57,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents"), share=1.5, weights=(5, 2, 1), cap=2.0).drop("first_slot")
+    return mix_sources(_table(spark, sf_dir, "documents"), share=1.5, weights=(5, 2, 1), cap=2.0)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +131,17 @@ w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOU
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 a AS (SELECT arg_min(level, (most / weight, place)) AS level FROM l WHERE level <= most / weight),
-t AS (SELECT l.source, l.source_size, least(l.most, l.weight * a.level) AS target FROM l, a),
-p AS (SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS want,
+t AS (SELECT l.source, l.place, l.source_size, least(l.most, l.weight * a.level) AS target FROM l, a),
+b AS (SELECT *, sum(target) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS upper FROM t),
+k AS (SELECT max(upper) AS total, floor(max(upper) / 256)::BIGINT + 1 AS slots, count(*) AS sources FROM b),
+i AS (SELECT i AS slot, (i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE)) * total AS x FROM k, range(slots) q(i)),
+o AS (SELECT i.slot, b.place, row_number() OVER (PARTITION BY b.place ORDER BY i.slot) - 1 AS rank FROM i JOIN b ON i.x >= b.upper - b.target AND i.x < b.upper),
+p AS (SELECT s.doc_id, s.size, t.place, t.source_size, t.target, round(t.target)::BIGINT AS want,
   coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (SELECT sum(greatest(0, least(size, least(source_size, want - n * source_size) - first))) FROM range(3) q(n))::BIGINT AS taken FROM p""",
+SELECT doc_id, size, source_size, target, (SELECT sum(greatest(0, least(size, least(source_size, want - n * source_size) - first))) FROM range(3) q(n))::BIGINT AS taken,
+  CASE WHEN size > 0 AND first < least(source_size, want) THEN coalesce(o.slot, k.slots + p.first // 256 * k.sources + p.place) END AS first_slot
+FROM p CROSS JOIN k LEFT JOIN o ON o.place = p.place AND o.rank = p.first // 256""",
     "op7_exact_dedup": f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(x) AS text_sha256
