@@ -3,10 +3,11 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact, langid, mixing, quality, sharding, toxicity
+from tidemark.llm import chat, decontaminate, exact, langid, mixing, quality, sharding, toxicity, weak
 
 ODD = [(1, None), (2, ""), (3, "  \n"), (4, "Text"), (4, "Text"), (None, "text"), (7, "É" * 5000), (8, "tEXT"), (9, "é" * 5000)]
 KIND = "doc_id long, text string"
@@ -222,6 +223,36 @@ def test_toxicity(spark):
     assert toxicity.train_toxicity(df.where(F.lit(False))).linear is None
 
 
+def test_label_model_estimates_without_truth():
+    rng = np.random.default_rng(3)
+    truth = rng.random(20000) < 0.2
+    right = [0.95, 0.9, 0.85, 0.8, 0.75]
+    votes = np.stack([np.where(rng.random(20000) < a, truth, ~truth) + 1 for a in right], 1)
+    votes[rng.random(votes.shape) < 0.2] = weak.ABSTAIN
+    votes = np.concatenate((votes, votes[:, 4:]), 1)  # a voter that only repeats another
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    model = weak.fit_votes(rows, counts, prior=0.3, restarts=1)
+    assert abs(model.prior - 0.2) < 0.03 and all(abs(a - b) < 0.04 for a, b in zip(model.accuracy(), right))
+    assert model.weight[4] < 0.6 and model.weight[5] < 0.6 and model.weight[0] > 0.75
+    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.96
+
+
+def test_toxicity_overrules_wrong_labels_and_takes_odd_rows(spark):
+    rng = random.Random(18)
+    rows = []
+    for i in range(900):
+        toxic = i % 5 == 0
+        w = [f"p{rng.randrange(300)}" for _ in range(40)] + ([rng.choice(["grumx", "zorbl", "idiot"]) for _ in range(4)] if toxic else [])
+        rows.append((i, " ".join(w), int(toxic) if i % 10 or i > 120 else 0))  # wrong for thirteen toxic rows
+    rows += [(None, "grumx zorbl " + rows[1][1], 1), (None, rows[3][1], 0), (2, rows[2][1], None), (3, rows[3][1], 0), (3, None, 0), (4, "", 0), (6, "LOUD! " * 4000, 0)]
+    df = spark.createDataFrame(rows, KIND + ", toxic int")
+    model = toxicity.train_toxicity(df)
+    assert model.votes.accuracy()[-1] < 0.995
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df.where("doc_id BETWEEN 7 AND 899"), model).collect()}
+    assert sum((s >= 0.3) == (i % 5 == 0) for i, s in got.items()) >= 0.98 * len(got)
+    assert all(got[i] >= 0.3 for i in range(10, 121, 10))
+
+
 def test_quality(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))

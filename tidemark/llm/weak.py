@@ -34,7 +34,7 @@ class VoteModel:
         return right / np.maximum(cast, 1e-12)
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, prior: float = 0.1, better: float = 1.0) -> VoteModel:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, prior: float = 0.1, better: float = 1.0, apart: tuple[int, ...] = (), restarts: int = 0) -> VoteModel:
     """Expectation-maximisation over distinct vote patterns and how often each occurs.
 
     Estimation starts from the odds ``prior`` and the balance of the votes, a NO
@@ -43,16 +43,21 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None =
     ``known`` holds the label (0 or 1) of patterns of labelled rows, or -1.
     Voters are taken as independent given the label; then the correlations that
     this leaves are measured, and a voter's evidence is divided among those it
-    moves with, and the model fitted again with these weights.
+    moves with, and the model fitted again with these weights. Voters ``apart``
+    look at something else than the others do, and share with none. Fits can get
+    stuck where copies of one voter outvote the rest; a restart begins again from
+    the votes with the weights found.
     """
     counts = counts.astype(float)
     m = votes.shape[1]
     known = np.full(len(votes), -1) if known is None else known
-    start = (votes == YES).sum(1) - (3.0 if better > 1 else 1.0) * (votes == NO).sum(1)
-    post = 1 / (1 + np.exp(-(start + np.log(prior / (1 - prior)))))
+    start = (votes == YES) - (3.0 if better > 1 else 1.0) * (votes == NO)
     weight, corr = np.ones(m), np.eye(m)
     model = VoteModel(prior, np.zeros((2, m, 3)), weight, corr)
-    for attempt in range(2):
+    post = 1 / (1 + np.exp(-(start.sum(1) + np.log(prior / (1 - prior)))))
+    for attempt in range(2 + restarts):
+        if restarts:
+            post = 1 / (1 + np.exp(-(start @ weight + np.log(prior / (1 - prior)))))
         for _ in range(ROUNDS):
             post = np.where(known >= 0, known, post)
             by = np.stack([counts * (1 - post), counts * post])
@@ -63,7 +68,7 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None =
                 log_p[0, :, YES] = np.minimum(log_p[0, :, YES], log_p[1, :, YES] - np.log(better))
             model = VoteModel(float(np.clip(by[1].sum() / max(1.0, counts.sum()), 1e-4, 1 - 1e-4)), log_p, weight, corr)
             post = model.posterior(votes)
-        if attempt == 0:
+        if attempt <= restarts:
             says = (votes == YES) * 1.0 - (votes == NO)
             p = np.exp(model.log_p)
             expected = (1 - post)[:, None] * (p[0, :, YES] - p[0, :, NO]) + post[:, None] * (p[1, :, YES] - p[1, :, NO])
@@ -71,7 +76,10 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None =
             cov = (rest * counts[:, None]).T @ rest
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             corr = cov / scale[:, None] / scale[None, :]
-            weight = 1 / np.maximum(1, (np.abs(corr) * (np.abs(corr) > DEPENDENT)).sum(1))
+            shared = np.abs(corr) * (np.abs(corr) > DEPENDENT)
+            for j in apart:
+                shared[j], shared[:, j] = 0, 0
+            weight = 1 / np.maximum(1, shared.sum(1))
     return VoteModel(model.prior, model.log_p, weight, corr)
 
 
