@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import written
+from tidemark.llm.scratch import written_with
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, and their number and sum of hashes, by which a round that changes nothing is known."""
+    out, seen = written_with(edges, "edges", hashes=F.sum(F.hash("u", "v").cast("long")))
+    return out, (seen["rows"], seen["hashes"])
 
 
 def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,9 +23,10 @@ def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     self-links only name their node; an empty input gives an empty result.
     """
     named = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    now = written(named.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, mark = _written(named.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    while before != (before := _mark(now)):
+    while before != mark:
+        before = mark
         # Large star: every larger neighbour of u goes to the smallest neighbour of u.
         both = now.union(now.select("v", "u")).where("u <> v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,5 +35,5 @@ def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # Small star: every smaller neighbour of u, and u, go to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        now = written(small.where("u >= v").distinct(), "edges")
+        now, mark = _written(small.where("u >= v").distinct())
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import star_components
 from tidemark.llm.grouped import by_group
-from tidemark.llm.scratch import written
+from tidemark.llm.scratch import written, written_with
 from tidemark.llm.textkit import mix, shingle_set, word_hashes
 
 BLOCK = 400  # sets in a task's block
@@ -137,10 +137,11 @@ class TokenGroups:
             group[len(queries) + members] = g
         bound = np.zeros((len(queries), len(self.groups)), np.float32)
         overlap = {g: np.zeros((len(queries), len(m)), np.float32) for g, m in enumerate(self.groups)}
-        width = max(256, 4_000_000 // len(both))
         order = np.argsort(at, kind="stable")
         row, at = row[order], at[order]
-        spans = [(lo, *np.searchsorted(at, (lo, lo + width))) for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width)]
+        used = int(at[-1]) + 1 if len(at) else 0
+        width = max(1, min(used, max(256, 4_000_000 // len(both))))  # columns multiplied at a time
+        spans = [(lo, *np.searchsorted(at, (lo, lo + width))) for lo in range(0, used, width)]
         for lo, i, j in spans:
             r, c = row[i:j], at[i:j] - lo
             q = r < len(queries)
@@ -187,13 +188,8 @@ def _token_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return [shingle_set(h, width) for h in word_hashes(texts)]
 
 
-def _tasks(rows: DataFrame) -> int:
-    """Tasks for blocks of ``rows``, which are written."""
-    return rows.count() // TASK_SETS + 1
-
-
-def _solve_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """rows: block, comp, node, text. The class of each node within its block, named by its first node."""
+def _solve_blocks(rows: DataFrame, count: int, width: int, percent: int) -> DataFrame:
+    """rows: block, comp, node, text, and how many there are. The class of each node within its block, named by its first node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in by_group(batches, "block"):
@@ -203,12 +199,12 @@ def _solve_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
             nodes = [g["node"][i] for i in order]
             yield pa.RecordBatch.from_arrays([pa.array([g["comp"][0]] * len(order), pa.int64()), pa.array(nodes, pa.binary()), pa.array([nodes[i] for i in first], pa.binary())], names=["comp", "node", "label"])
 
-    sorted_rows = rows.select("block", "comp", "node", "text").repartition(_tasks(rows), "block").sortWithinPartitions("block")
+    sorted_rows = rows.select("block", "comp", "node", "text").repartition(count // TASK_SETS + 1, "block").sortWithinPartitions("block")
     return sorted_rows.mapInArrow(run, "comp bigint, node binary, label binary")
 
 
-def _open_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """rows: task, label, text, query. The labels of queries and members that a link joins."""
+def _open_groups(rows: DataFrame, count: int, width: int, percent: int) -> DataFrame:
+    """rows: task, label, text, query, and about how many there are. The labels of queries and members that a link joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in by_group(batches, "task"):
@@ -223,7 +219,7 @@ def _open_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
             found = [(a, b) for a, b in found if a != b]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    sorted_rows = rows.select("task", "label", "text", "query").repartition(_tasks(rows), "task").sortWithinPartitions("task")
+    sorted_rows = rows.select("task", "label", "text", "query").repartition(count // TASK_SETS + 1, "task").sortWithinPartitions("task")
     return sorted_rows.mapInArrow(run, "a binary, b binary")
 
 
@@ -244,8 +240,8 @@ def _into_blocks(rows: DataFrame) -> DataFrame:
 def _once(sets: DataFrame) -> DataFrame:
     """One row of each set: those of exact copies but the one with the smallest id go."""
     first = sets.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = written(sets.select("node", "id").join(first, "node").where("id > first").select("node", "id").distinct(), "copies")
-    copies = copies if copies.count() > SENT_IDS else F.broadcast(copies)
+    copies, seen = written_with(sets.select("node", "id").join(first, "node").where("id > first").select("node", "id").distinct(), "copies")
+    copies = copies if seen["rows"] > SENT_IDS else F.broadcast(copies)
     return sets.join(copies, ["node", "id"], "left_anti")
 
 
@@ -286,9 +282,9 @@ def rare_tokens(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return rare.drop("index").join(live, "token").select(F.xxhash64(F.lit("token"), "token").alias("key"), "a", "b").distinct()
 
 
-def _texts_of(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame, repeated: bool) -> DataFrame:
-    """The rows of ``chosen`` (id, text_hash, node and more, written) with their text; once each, even if rows are ``repeated``."""
-    chosen = chosen if chosen.count() > SENT_IDS else F.broadcast(chosen)
+def _texts_of(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame, count: int, repeated: bool) -> DataFrame:
+    """The ``count`` rows of ``chosen`` (id, text_hash, node and more, written) with their text; once each, even if rows are ``repeated``."""
+    chosen = chosen if count > SENT_IDS else F.broadcast(chosen)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     found = rows.join(chosen, rows["id"].eqNullSafe(chosen["id"]) & (rows["text_hash"] == chosen["text_hash"])).select(*chosen.drop("id", "text_hash").columns, "text")
     return found.dropDuplicates(["node"]) if repeated else found
@@ -311,17 +307,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = sets.where("n > 0").groupBy("node", "n").agg(one.alias("one")).select("node", "n", "one.id", "one.text_hash", F.xxhash64("node").alias("a"))
     repeated = not sets.groupBy("node", "id", "text_hash").count().where("count > 1").isEmpty()
     parts = written(shared_parts(sets.where("n > 0")), "parts")
-    hot = written(nodes.join(parts.where(F.col("sets") > HOT).select("a").distinct(), "a"), "hot")
-    if not hot.isEmpty():
-        again = rare_tokens(_texts_of(docs, id_col, text_col, hot, repeated), width, percent)
+    hot, seen = written_with(nodes.join(parts.where(F.col("sets") > HOT).select("a").distinct(), "a"), "hot")
+    if seen["rows"]:
+        again = rare_tokens(_texts_of(docs, id_col, text_col, hot, seen["rows"], repeated), width, percent)
         parts = written(parts.where(F.col("sets") <= HOT).select("key", "a", "b").unionByName(again), "parts")
     comps = star_components(parts, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("comp"))
     leaders = parts.groupBy("a").agg(F.min("b").alias("leader"))
-    chosen = written(_into_blocks(nodes.join(comps, "a").join(leaders, "a")), "chosen")
-    texts = written(_texts_of(docs, id_col, text_col, chosen, repeated), "texts")
-    labels = written(_solve_blocks(texts, width, percent), "labels")
-    if not texts.where("large").isEmpty():
-        labels = _join_blocks(labels, texts.where("large"), parts, width, percent)
+    chosen, seen = written_with(_into_blocks(nodes.join(comps, "a").join(leaders, "a")), "chosen", large=F.count(F.when(F.col("large"), 1)))
+    texts = written(_texts_of(docs, id_col, text_col, chosen, seen["rows"], repeated), "texts")
+    labels = written(_solve_blocks(texts, seen["rows"], width, percent), "labels")
+    if seen["large"]:
+        labels = _join_blocks(labels, texts.where("large"), seen["large"], parts, width, percent)
     named = nodes.select("node", "id").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of_node = named.join(least, "label").select("node", "component_id")
@@ -334,21 +330,27 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(roots, "label", "left").select("comp", "node", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def _join_blocks(labels: DataFrame, large: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Joins classes of different blocks of one candidate component."""
+def _join_blocks(labels: DataFrame, large: DataFrame, count: int, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Joins classes of different blocks of one candidate component; ``large`` has ``count`` rows.
+
+    The largest class of a component asks no one, so a component of one class,
+    as most are by then, costs nothing, and in others only the keys of sets
+    outside the largest class are looked up.
+    """
     heads = large.join(labels.where("node = label").select("node"), "node", "left_semi").drop("block")
-    found = _solve_blocks(_pieces(heads, ["comp", "leader"], BLOCK, BLOCK_TOKENS).withColumnRenamed("piece", "block"), width, percent)
+    found = _solve_blocks(_pieces(heads, ["comp", "leader"], BLOCK, BLOCK_TOKENS).withColumnRenamed("piece", "block"), count, width, percent)
     labels = _relabel(labels, found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    sizes = labels.groupBy("comp", "label").agg(F.count("*").alias("size"))
+    top = sizes.groupBy("comp").agg(F.max(F.struct("size", "label")).getField("label").alias("top"))
+    sizes = sizes.join(top, "comp").select("label", "size", (F.col("label") != F.col("top")).alias("asks"))
     members = written(large.select("a", "node", "n", "block", "text").join(labels.select("node", "label").join(sizes, "label"), "node"), "members")
-    places = parts.select("key", "a").join(members.select("a", "block", "label", "size"), "a")
-    several = places.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    places = written(places.join(several, "key"), "places")
-    there = places.groupBy("key", F.col("block").alias("other"), F.col("label").alias("there"), F.col("size").alias("larger")).agg(F.lit(1).alias("one"))
-    pairs = places.join(there, "key").where("block <> other AND (larger > size OR larger = size AND there > label)").select("a", F.col("other").alias("block")).distinct()
+    asking = written(parts.select("key", "a").join(members.where("asks").select("a", "block", "label", "size"), "a"), "asking")
+    there = parts.select("key", "a").join(asking.select("key").distinct(), "key").join(members.select("a", "block", "label", "size"), "a")
+    there = there.groupBy("key", F.col("block").alias("other"), F.col("label").alias("there"), F.col("size").alias("larger")).agg(F.lit(1).alias("one"))
+    pairs = asking.join(there, "key").where("block <> other AND (larger > size OR larger = size AND there > label)").select("a", F.col("other").alias("block")).distinct()
     asks = members.select("a", "node", "n", "label", "text").join(pairs, "a")
-    asks = written(_pieces(asks, ["block"], BLOCK, BLOCK_TOKENS).select("piece", "block", "label", "text"), "asks")
+    asks, seen = written_with(_pieces(asks, ["block"], BLOCK, BLOCK_TOKENS).select("piece", "block", "label", "text"), "asks")
     tasks = asks.select("block", "piece").distinct()
     queries = asks.select(F.col("piece").alias("task"), "label", "text", F.lit(True).alias("query"))
     groups = members.join(tasks, "block").select(F.col("piece").alias("task"), "label", "text", F.lit(False).alias("query"))
-    return _relabel(labels, _open_groups(queries.unionByName(groups), width, percent))
+    return _relabel(labels, _open_groups(queries.unionByName(groups), 2 * seen["rows"], width, percent))

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS = 512  # rows that a Python worker gets at a time
 
@@ -37,3 +38,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """As ``written``, with the values of some aggregates, observed while writing; ``rows`` is always among them."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in measures.items()]), name)
+    return out, seen.get
