@@ -285,6 +285,36 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark), bench.where(F.lit(False))).count() == 0
 
 
+def test_leaks_recall_and_brute_force(spark, monkeypatch):
+    """Verbatim and paraphrased passages, one longer than a segment's old overlap and across its end, against a plain search."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", 256)
+    rng = random.Random(20)
+    vocabulary = [f"v{i}x" for i in range(5000)]
+    common = ["the", "of", "and", "to", "in"]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else rng.choice(vocabulary)
+    items = [[word() for _ in range(rng.choice([8, 20, 60, 120]))] for _ in range(60)] + [[word() for _ in range(1500)]]
+    rows, exact_ones, changed_ones = [], set(), set()
+    for k, item in enumerate(items):
+        pad = [word() for _ in range(rng.randint(0, 700))]
+        rows.append((k, " ".join(pad + item + [word() for _ in range(200)])))
+        exact_ones.add((k, k))
+        changed = [w for w in item if rng.random() > 0.08]
+        changed = [word() if rng.random() < 0.1 else w for w in changed]
+        rows.append((1000 + k, " ".join(pad + changed + [word() for _ in range(200)])))
+        share = decontaminate.common_subsequence(item, changed) / len(item)
+        if share >= decontaminate.SAME:
+            changed_ones.add((1000 + k, k))
+    rows += [(5000 + i, " ".join(word() for _ in range(400))) for i in range(60)] + [(None, " ".join(items[0])), (7, None)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.find_leaks(spark.createDataFrame(rows, KIND), bench).collect()}
+    assert len(exact_ones & set(got)) >= 0.98 * len(exact_ones) and (60, 60) in got and (None, 0) in got
+    assert len(changed_ones & set(got)) >= 0.9 * len(changed_ones)
+    texts = dict(rows)
+    for (d, k), share in got.items():  # no pair but what a plain comparison with the whole text finds
+        assert d is None or share <= decontaminate.common_subsequence(items[k], texts[d].split()) / len(items[k]) + 1e-9
+        assert d is None or d % 1000 == k or share >= decontaminate.ALIKE
+
+
 def test_common_subsequence():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

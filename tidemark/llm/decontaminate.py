@@ -2,10 +2,11 @@
 
 Benchmark passages become TF-IDF rows, with document frequencies counted over
 the whole corpus. A randomised SVD, whose products with the passage matrix are
-computed by Spark, gives a latent space; windows of every document are folded
-into it and compared with all passages by cosine. What comes close is checked
-word by word: the longest common subsequence with the item, and whether the
-item's rarest words, which carry its answer, are there.
+computed by Spark, gives a latent space. A window of a document that has some of
+a passage's rarest words, its anchors, is folded into that space and compared
+with the passage by cosine; no other window can hold most of its weight. What
+comes close is checked word by word: the longest common subsequence with the
+item, and whether the item's rarest words, which carry its answer, are there.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ STEP = 32  # words between windows; a window is two steps long
 PASSAGE = 48  # words in a passage of an item, half overlapping
 FREQUENT = 0.05  # share of documents from which a word says nothing, unless its item has fewer than FEW others
 FEW = 4
-ITEMS = 4096  # items on the driver, and compared in one pass over the documents, at a time
+ITEMS = 4096  # items on the driver, and in a space, at a time
+SENT_BYTES = 1 << 28  # of spaces searched in one pass over the documents
+ANCHORS, SHARED = 12, 2  # of a passage, and how many of them a window must have (one, if there are fewer than FEW)
 CLOSE, PART = 0.5, 0.4  # a candidate's least cosine, and the least part of the passage's length that it projects to
 SAME, ALIKE, ANSWER = 0.8, 0.6, 0.5  # share of an item found in order; with less than SAME, the answer words count, too
 ANSWER_WORDS = 6
-SEGMENT = 1 << 17  # words of a document handled at once
-OVERLAP = 1024
+SEGMENT = 1 << 17  # words of a document handled at once, and at least four times what the next segment repeats of them
 SLICE = 256
 
 
@@ -130,13 +132,24 @@ class LatentIndex:
     items: list[list[int]]
     answers: list[list[int]]
     ids: list
+    anchor: np.ndarray  # of each hashed word in ``posting``, or -1
+    posting: np.ndarray  # where each anchor's passages begin in ``passage_of``
+    passage_of: np.ndarray
+    shared: np.ndarray  # anchors of each passage that a window must have
+
+    def overlap(self) -> int:
+        """Words that segments share, so that each item, with words put in, is whole in one of them."""
+        return 2 * max(map(len, self.items), default=0) + 4 * STEP
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.row, self.vectors, self.passages, self.anchor, self.passage_of)) + 16 * sum(map(len, self.items))
 
 
 def _index(ids: list, texts: list[str], words: np.ndarray, basis: np.ndarray, idf: np.ndarray) -> LatentIndex:
     row = np.full(1 << BITS, -1, np.int32)
     row[words] = np.arange(len(words))
     items = _word_buckets(texts)
-    passages, strength, item_of = [], [], []
+    passages, strength, item_of, anchors = [], [], [], []
     for k, item in enumerate(items):
         for passage in _passages(item):
             at, weight = _sparse(passage, idf)
@@ -145,12 +158,22 @@ def _index(ids: list, texts: list[str], words: np.ndarray, basis: np.ndarray, id
                 passages.append(vector / norm)
                 strength.append(norm * np.sqrt((idf[passage] ** 2).sum()))
                 item_of.append(k)
+                anchors.append(at[np.argsort(-idf[at], kind="stable")[:ANCHORS]])
     answers = []
     for item in items:
         distinct = np.unique(item)
         answers.append(distinct[np.argsort(-idf[distinct], kind="stable")[:ANSWER_WORDS]].tolist())
     vectors = (basis * idf[words][:, None]).astype(np.float32)
-    return LatentIndex(row, vectors, np.array(passages, np.float32).reshape(-1, basis.shape[1]), np.array(strength, np.float32), np.array(item_of, np.int64), [x.tolist() for x in items], answers, ids)
+    sizes = np.array([len(x) for x in anchors], np.int64)
+    word, passage = np.concatenate(anchors) if anchors else np.zeros(0, np.int64), np.repeat(np.arange(len(anchors)), sizes)
+    order = np.argsort(word, kind="stable")
+    own, first = np.unique(word[order], return_index=True)
+    anchor = np.full(1 << BITS, -1, np.int32)
+    anchor[own] = np.arange(len(own))
+    return LatentIndex(
+        row, vectors, np.array(passages, np.float32).reshape(-1, basis.shape[1]), np.array(strength, np.float32), np.array(item_of, np.int64), [x.tolist() for x in items], answers, ids,
+        anchor, np.append(first, len(word)), passage[order], np.where(sizes < FEW, 1, SHARED),
+    )
 
 
 def _spaces(spark: SparkSession, block: list, idf: np.ndarray) -> list[LatentIndex]:
@@ -185,26 +208,41 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
     return len(item) - state.bit_count()
 
 
+def _close(words: np.ndarray, index: LatentIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (by their number) and passages that are close in the latent space, and their cosines, largest first."""
+    at = np.flatnonzero(index.anchor[words] >= 0)
+    hit = index.anchor[words[at]]
+    n = index.posting[hit + 1] - index.posting[hit]
+    begin = np.cumsum(n) - n
+    passage = index.passage_of[np.arange(n.sum()) - np.repeat(begin - index.posting[hit], n)]
+    word, block = np.repeat(words[at], n), np.repeat(at // STEP, n)
+    last = max(0, (len(words) - 1) // STEP - 1)
+    # Each word is in two windows, but for those at the ends; a window counts each anchor once.
+    window, passage, word = np.concatenate((np.minimum(block, last), np.maximum(block - 1, 0))), np.tile(passage, 2), np.tile(word, 2)
+    pairs = np.unique((window * len(index.passages) + passage) << BITS | word) >> BITS
+    pairs, shared = np.unique(pairs, return_counts=True)
+    w, p = np.divmod(pairs, len(index.passages))
+    keep = shared >= index.shared[p]
+    w, p = w[keep], p[keep]
+    own, of = np.unique(w, return_inverse=True)
+    folded = np.zeros((len(own), index.vectors.shape[1]), np.float32)
+    for i, k in enumerate(own.tolist()):
+        row = index.row[words[k * STEP : (k + 2) * STEP]]
+        folded[i] = index.vectors[row[row >= 0]].sum(axis=0)
+    along = np.einsum("ij,ij->i", folded[of], index.passages[p])
+    cosine = along / np.maximum(np.sqrt(np.einsum("ij,ij->i", folded, folded)), 1e-12)[of]
+    keep = (along >= PART * index.strength[p]) & (cosine >= CLOSE)
+    order = np.flatnonzero(keep)[np.argsort(-cosine[keep], kind="stable")]
+    return w[order], p[order], cosine[order]
+
+
 def find_items(words: np.ndarray, index: LatentIndex) -> dict[int, tuple[float, float]]:
     """Items found in a text: their share found in order, and the cosine that led to it."""
     found: dict[int, tuple[float, float]] = {}
-    row = index.row[words]
-    at = np.flatnonzero(row >= 0)
-    if not len(at) or not len(index.passages):
+    if not len(words) or not len(index.passages):
         return found
-    block = at // STEP
-    first = np.flatnonzero(np.diff(block, prepend=-1))
-    sums = np.zeros((max(2, len(words) // STEP + 1), index.vectors.shape[1]), np.float32)
-    sums[block[first]] = np.add.reduceat(index.vectors[row[at]], first, axis=0)
-    windows = sums[:-1] + sums[1:]
-    norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
-    along = windows @ index.passages.T
-    w, p = np.divmod(np.flatnonzero(along >= PART * index.strength), len(index.passages))
-    cosine = along[w, p] / norm[w]
-    for i in np.argsort(-cosine, kind="stable").tolist():
-        if cosine[i] < CLOSE:
-            break
-        k, begin = int(index.item_of[p[i]]), int(w[i]) * STEP
+    for w, p, cosine in zip(*(x.tolist() for x in _close(words, index))):
+        k, begin = int(index.item_of[p]), w * STEP
         item = index.items[k]
         if found.get(k, (0,))[0] >= SAME:
             continue
@@ -215,7 +253,7 @@ def find_items(words: np.ndarray, index: LatentIndex) -> dict[int, tuple[float,
             continue
         share = common_subsequence(item, text) / len(item)
         if share >= SAME or share >= ALIKE and sum(x in near for x in index.answers[k]) >= ANSWER * len(index.answers[k]):
-            found[k] = max(found.get(k, (0.0, 0.0)), (share, float(cosine[i])))
+            found[k] = max(found.get(k, (0.0, 0.0)), (share, float(cosine)))
     return found
 
 
@@ -224,7 +262,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     ``share`` is the part of the item's words found in order near the window,
     punctuation and case aside. Whole documents are searched, long ones in
-    overlapping segments; items go ITEMS at a time. Null, empty or wordless
+    segments that overlap by more than the longest item; all items are searched
+    in one pass, as far as their spaces fit SENT_BYTES. Null, empty or wordless
     texts and items match nothing. Rows that repeat a document are searched
     each; equal items are found each. Other columns are ignored; empty tables
     give an empty result.
@@ -239,7 +278,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     telling = np.where(frequency > FREQUENT * rows, np.float32(0), idf)
     needed = _needed(wanted, telling)
     telling[needed] = np.maximum(idf[needed], 0.01)
-    out, block = spark.createDataFrame([], schema), []
+    out, block, spaces = spark.createDataFrame([], schema), [], []
 
     def search(indexes: list[LatentIndex]) -> DataFrame:
         kind = pa.array(indexes[0].ids).type
@@ -252,8 +291,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     for i, text in enumerate(_word_buckets(part.column(1).to_pylist())):
                         for index in indexes:
                             found: dict[int, tuple[float, float]] = {}
-                            for lo in range(0, max(1, len(text) - OVERLAP), SEGMENT):
-                                for k, x in find_items(text[lo : lo + SEGMENT + OVERLAP], index).items():
+                            overlap = index.overlap()
+                            segment = max(SEGMENT, 4 * overlap)
+                            for lo in range(0, max(1, len(text) - overlap), segment):
+                                for k, x in find_items(text[lo : lo + segment + overlap], index).items():
                                     found[k] = max(found.get(k, x), x)
                             for k, (share, cosine) in found.items():
                                 ids.append(at + i)
@@ -267,8 +308,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     for row in wanted.toLocalIterator():
         block.append(row)
         if len(block) == ITEMS:
-            out = out.union(search(_spaces(spark, block, telling)))
+            spaces += _spaces(spark, block, telling)
             block = []
+            if sum(x.size() for x in spaces) > SENT_BYTES:
+                out, spaces = out.union(search(spaces)), []
     if block:
-        out = out.union(search(_spaces(spark, block, telling)))
+        spaces += _spaces(spark, block, telling)
+    if spaces:
+        out = out.union(search(spaces))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share", "cosine")
