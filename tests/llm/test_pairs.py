@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import tidemark.llm.jaccard as J
 import tidemark.llm.lines as L
@@ -110,6 +111,25 @@ def distance(a, b):
     return before[-1]
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_banded_automaton_equals_plain_distance(spark, edits):
+    rng = random.Random(edits)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcé😀 ") for _ in range(rng.randint(1, 30)))
+        b = list(a)
+        for _ in range(rng.randint(0, edits + 2)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "é", "😀"])
+        a, b = sorted((a, "".join(b)), key=len, reverse=True)
+        if len(a) - len(b) <= edits and b:
+            pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    found = df.select(*[L.within_edits(F.col("a"), F.col("b"), F.lit(m), edits) & (F.char_length("a") - F.char_length("b") <= m) for m in range(edits + 1)])
+    assert [list(r) for r in found.collect()] == [[distance(a, b) <= m for m in range(edits + 1)] for a, b in pairs]
+    assert found.count() > 200
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(3)
     letters = "abcde fghij"

@@ -4,18 +4,21 @@ A line within t edits of another keeps at least one of the other's t + 1
 segments whole, moved by few characters. So the shorter line is indexed by the
 hashes of its segments, and the longer one probes with those of its substrings
 that a segment can have moved to, given both lengths. Only keys that different
-lines share go on; their lines are compared by Spark's banded ``levenshtein``.
+lines share go on; their lines are compared by a banded bit-parallel automaton
+that is folded over the characters, its whole state one long.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import star_components
 from tidemark.llm.scratch import written
 
-EDITS = 2  # at most
+EDITS = 2  # at most; the automaton's state holds up to 3
 CHARS_PER_EDIT = 20  # a line has an edit for each so many characters, up to EDITS
 BLANK = " \t\r\x0b\x0c"  # trimmed from both ends of a line
 BLOCK = 64  # lines that a probing line is compared with in one row
@@ -64,6 +67,33 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.select("doc", "line_no", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
 
 
+def within_edits(line: Column, other: Column, most: Column, edits: int) -> Column:
+    """Whether ``other``, which is no longer, is within ``most`` edits (``edits`` at most) of ``line``.
+
+    Lane e of the state has a bit for each diagonal of the band: whether the part
+    of ``line`` read so far can become the part of ``other`` that ends there with
+    e edits. A character keeps the diagonals on which it is equal; with an edit
+    more it may be replaced (same diagonal) or deleted (the one before), and then
+    characters may be put in (those after). ``edits`` spare bits part the lanes.
+    """
+    band, width = 2 * edits + 1, 3 * edits + 1
+    each = sum(1 << lane * width for lane in range(edits + 1))
+    mask = F.lit(((1 << band) - 1) * each).cast("long")
+    any_of = lambda xs: reduce(Column.bitwiseOR, xs)
+    chars = F.split(other, "")
+    equal = lambda c, i, d: F.when(F.get(chars, i + (d - edits)) == c, F.lit(each << d).cast("long")).otherwise(F.lit(0).cast("long"))
+    steps = F.transform(F.split(line, ""), lambda c, i: any_of([equal(c, i, d) for d in range(band)]))
+
+    def step(state: Column, same: Column) -> Column:
+        kept = any_of([state.bitwiseAND(same), F.shiftleft(state, width), F.shiftleft(state, width - 1)]).bitwiseAND(mask)
+        return any_of([kept, *(F.shiftleft(kept, n * (width + 1)).bitwiseAND(mask) for n in range(1, edits + 1))])
+
+    start = sum(1 << lane * width + edits + put for lane in range(edits + 1) for put in range(lane + 1))
+    end = F.aggregate(steps, F.lit(start).cast("long"), step)
+    at = most * width + F.char_length(other) - F.char_length(line) + edits
+    return F.call_function("shiftright", end, at.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def _links(rows: DataFrame) -> DataFrame:
     """(a, b): digests of different lines (line) within the allowed edits."""
     lines = rows.select("line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
@@ -81,7 +111,8 @@ def _links(rows: DataFrame) -> DataFrame:
 
     def close(x: Column) -> Column:
         gap = F.col("n") - F.char_length(x)
-        return (gap >= 0) & (gap <= EDITS) & (F.col("line") != x) & (F.levenshtein(F.col("line"), x, EDITS).between(0, allowed_edits(F.char_length(x))))
+        most = allowed_edits(F.char_length(x))
+        return (gap >= 0) & (gap <= most) & (F.col("line") != x) & within_edits(F.col("line"), x, most, EDITS)
 
     found = probes.join(index, "key").select("line", F.explode(F.filter("others", close)).alias("other"))
     return found.select(F.sha2(F.col("line").cast("binary"), 256).alias("a"), F.sha2(F.col("other").cast("binary"), 256).alias("b")).distinct()
