@@ -16,16 +16,21 @@ BATCH_ROWS = 512  # rows that a Python worker gets at a time
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The session's checkpoint folder. A temporary one is set only where none is and all tasks run in this process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Fewer rows to a Python batch than Spark's default of 10,000, as rows hold whole texts; a setting of one's own stays."""
+    """Fewer rows to a Python batch than Spark's default of 10,000, as rows hold whole texts.
+
+    Every operator here sees to this for its session; a setting of one's own stays.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
