@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,9 @@ TAGS = {
         ["docs?", "documentation", "readme", "wiki", "changelog", "typo", "comment"],
     ),
 }
+PROJECT_GIT = ["git commit", "git push", "git pull", "git merge", "git rebase", "git checkout", "git switch", "git stash", "git add", "git diff", "git branch", "git cherry-pick", "git reset", "git tag", "git fetch"]
+PROJECT_TOOLS = ["npm", "npx", "yarn", "pnpm", "cargo", "gradle", "mvn", "docker-compose", "docker compose", "flutter", "rails", "bundle", "mix", "dotnet"]
+PROJECT_STARTS = ["make", "python manage.py", "python setup.py", "pip install -e", "pytest", "python -m pytest", "python3 -m pytest", "go build", "go run", "go test"]
 # End of fixed values.
 
 
@@ -128,7 +133,7 @@ def humanize_project(path: Column) -> Column:
     """The last path part in words, each capitalised, without a leading filler word."""
     base = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
     words = F.regexp_replace(F.trim(F.regexp_replace(base, "[-_]+", " ")), r"^(?i:(?:my|project|learning|test) )+", "")
-    return F.array_join(F.transform(F.split(words, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), " ")
+    return F.array_join(F.transform(F.split(words, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
 
 
 def clean_commit(message: Column) -> Column:
@@ -138,7 +143,56 @@ def clean_commit(message: Column) -> Column:
     m = F.trim(F.regexp_replace(m, r"^(?:\[[A-Z]+-\d+\]|[A-Z]+-\d+:)\s*", ""))
     m = F.trim(F.regexp_replace(m, r"^(?i:feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(?:\([^)]*\))?!?:\s*", ""))
     m = F.trim(F.regexp_replace(F.regexp_replace(m, r"\s*\(#\d+\)\s*$", ""), r"\s+", " "))
-    return F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, 2, 100000))
+    return F.concat(F.upper(F.substring(m, 1, 1)), F.substr(m, F.lit(2)))
+
+
+def is_project_command(text: Column) -> Column:
+    """Whether a command only makes sense inside a project: version control that writes, builds, tests."""
+    t = F.trim(text)
+    tool = reduce(Column.__or__, [t.startswith(f"{x} ") | (t == x) for x in PROJECT_TOOLS])
+    return reduce(Column.__or__, [t.startswith(x) for x in [*PROJECT_GIT, *PROJECT_STARTS]], tool)
+
+
+def commit_priority(message: Column) -> Column:
+    """0 for features, 1 for fixes, 2 for refactoring, 3 for the rest."""
+    low = F.lower(message)
+    return F.when(low.startswith("feat"), 0).when(low.startswith("fix"), 1).when(low.startswith("refactor"), 2).otherwise(3)
+
+
+def _memory_of_one(text: Column) -> Column:
+    """A commit's message, a git command in words, or the command itself."""
+    part = lambda pattern, group=1: F.regexp_extract(text, pattern, group)
+    quoted, bare = r"""(?:-a?s?m|--message)(?:\s+|=)["']([^"']+)["']""", r"""(?:-a?s?m|--message)(?:\s+|=)([^\s"']+)"""
+    created, switched = r"(?:checkout\s+-b|switch\s+-c)\s+(\S+)", r"(?:checkout|switch)\s+(\S+)"
+    recent, interactive = r"rebase\s+(?:-i|--interactive)\s+HEAD~(\d+)", r"rebase\s+(?:-i|--interactive)\s+"
+    onto, back = r"(?<!-)rebase\s+(?:onto\s+)?(?!-i|--interactive\b)(\S+)", r"reset\s+(--hard|--soft|--mixed)?\s*HEAD~(\d+)"
+    n = lambda pattern, group=1: part(pattern, group).cast("long")
+    mode = F.initcap(F.replace(part(back), F.lit("--"), F.lit("")))
+    reset = F.when(mode == "", "Reset").otherwise(F.concat(mode, F.lit(" reset")))
+    steps = F.when(n(back, 2) == 1, "to previous commit").otherwise(F.concat(n(back, 2).cast("string"), F.lit(" commits back")))
+    ladder = [
+        (text.rlike(created), F.concat(F.lit("Create branch "), part(created))), (text.rlike(switched), F.concat(F.lit("Switch to branch "), part(switched))),
+        (text.contains("push"), F.lit("Push changes to remote")), (text.contains("pull"), F.lit("Pull latest changes")),
+        (text.rlike(recent) & (n(recent) == 1), F.lit("Interactive rebase of last commit")), (text.rlike(recent), F.concat(F.lit("Interactive rebase of last "), n(recent).cast("string"), F.lit(" commits"))),
+        (text.rlike(interactive) & ~text.rlike(r"HEAD~\d+"), F.lit("Interactive rebase")), (text.rlike(onto), F.concat(F.lit("Rebase onto "), part(onto))),
+        (text.contains("cherry-pick"), F.lit("Cherry-pick commit")), (text.rlike(back), F.concat(reset, F.lit(" "), steps)),
+    ]
+    in_words = F.lit(None).cast("string")
+    for condition, words in reversed(ladder):
+        in_words = F.when(condition, words).otherwise(in_words)
+    message = F.coalesce(F.nullif(part(quoted), F.lit("")), F.nullif(part(bare), F.lit("")))
+    flat = F.trim(F.replace(text, F.lit("\n"), F.lit(" ")))
+    return F.when(message.isNotNull(), F.trim(message)).otherwise(F.coalesce(F.when(F.trim(text).startswith("git "), in_words), flat))
+
+
+def command_memory(text: Column) -> Column:
+    """What a command did, in words; of a chain, what its last part that is no noise did."""
+    own = _memory_of_one(text)
+    flat = F.trim(F.replace(text, F.lit("\n"), F.lit(" ")))
+    parts = split_chain(flat)
+    last = F.try_element_at(F.filter(parts, lambda p: ~is_noise(p)), F.lit(-1))
+    of_last = F.transform(F.array(last), _memory_of_one)[0]
+    return F.when((own == flat) & (F.size(parts) > 1), F.coalesce(of_last, flat)).otherwise(own)
 
 
 def commit_message_in(command: Column) -> Column:
@@ -162,7 +216,8 @@ def entropy(text: Column) -> Column:
 
 def file_arguments(text: Column) -> Column:
     """Words that look like files: with / or ., and neither flags, addresses, variables nor settings."""
-    words = F.slice(F.split(F.trim(text), r"\s+"), 2, 1000)
+    words = F.split(F.trim(text), r"\s+")
+    words = F.slice(words, 2, F.size(words))
     return F.filter(words, lambda w: w.rlike(r"[/.]") & ~w.rlike(r"^-|://|[$=]"))
 
 

@@ -75,6 +75,27 @@ def format_clock(epoch: Column) -> Column:
     return F.coalesce(F.date_format(safe_timestamp(epoch), "h:mm a"), F.lit("In progress"))
 
 
+def format_offset(seconds: Column) -> Column:
+    """+mm:ss or +hh:mm:ss, with a minus before the start."""
+    s = F.abs(seconds)
+    h, m, rest = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
+    return F.concat(F.when(seconds < 0, "-").otherwise("+"), F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, rest)).otherwise(F.format_string("%02d:%02d", m, rest)))
+
+
+def format_range(start: Column, end: Column) -> Column:
+    """Month day, year of both ends, without what the first shares with the last."""
+    a, b = safe_timestamp(start), safe_timestamp(end)
+    last = F.date_format(b, "MMMM dd, yyyy")
+    both = lambda first, second: F.concat(F.date_format(a, first), F.lit(" - "), F.date_format(b, second))
+    same_year = F.year(a) == F.year(b)
+    return (
+        F.when(F.to_date(a) == F.to_date(b), last)
+        .when(same_year & (F.month(a) == F.month(b)), both("MMMM dd", "dd, yyyy"))
+        .when(same_year, both("MMMM dd", "MMMM dd, yyyy"))
+        .otherwise(both("MMMM dd, yyyy", "MMMM dd, yyyy"))
+    )
+
+
 def fill_days(per_day: DataFrame, keys: list[str], first: str, last: str, day_col: str = "day", zero: tuple[str, ...] = ("n",)) -> DataFrame:
     """Every day from ``first`` to ``last`` for every key, with 0 where there was none."""
     spark = per_day.sparkSession

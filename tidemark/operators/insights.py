@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import time as C
 from tidemark.operators.joins import display_name, with_project
+from tidemark.operators.sessions import first_seen_order, last_commands_before_absence, streaks
 from tidemark.schemas import NO_PROJECT
 
 # Fixed values, needed for equal results.
@@ -197,7 +198,7 @@ def language_share(commands: DataFrame, languages: DataFrame) -> DataFrame:
 
 def project_languages(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """files: project_id, relpath; manifests: relpath, language, priority. The language of the first manifest found."""
-    named = files.join(F.broadcast(manifests.limit(1000)), "relpath").groupBy("project_id").agg(F.min_by("language", "priority").alias("named"))
+    named = files.join(F.broadcast(manifests), "relpath").groupBy("project_id").agg(F.min_by("language", "priority").alias("named"))
     by_end = X.one_of(F.col("relpath"), [(F.col("relpath").rlike(r"\.(csproj|sln)$"), "C#"), (F.col("relpath") == "Makefile", "C/C++")], "")
     other = files.withColumn("other", F.nullif(by_end, F.lit(""))).where("other IS NOT NULL").groupBy("project_id").agg(F.min("other").alias("other"))
     return named.join(other, "project_id", "full").select("project_id", F.coalesce("named", "other").alias("language"))
@@ -276,8 +277,6 @@ def session_memory(commands: DataFrame, linked_commits: DataFrame) -> DataFrame:
 
 def project_report(sessions: DataFrame, memories: DataFrame) -> DataFrame:
     """Per project and day, its distinct memories in first-seen order."""
-    from tidemark.operators.sessions import first_seen_order
-
     rows = sessions.join(memories.withColumnRenamed("session_id", "id"), "id").withColumn("day", C.day(F.col("start_time")))
     return first_seen_order(rows, ["project_id", "day"], F.col("memory"), F.struct("start_time", "id"))
 
@@ -304,11 +303,70 @@ def highlight_days(sessions: DataFrame, commands: DataFrame, long_session: int =
 def edited_files(commands: DataFrame) -> DataFrame:
     """How often each file was opened in an editor; its layer; flags and dots do not count."""
     editor = commands.where(X.classify_command(F.col("command")) == "vim")
-    words = editor.select(F.explode(F.slice(F.split(F.trim("command"), r"\s+"), 2, 1000)).alias("w")).where(~F.col("w").startswith("-"))
+    every = F.split(F.trim("command"), r"\s+")
+    words = editor.select(F.explode(F.slice(every, 2, F.size(every))).alias("w")).where(~F.col("w").startswith("-"))
     name = words.select(F.element_at(F.split("w", "/"), -1).alias("file")).where(~F.col("file").isin("", ".", ".."))
     return name.groupBy("file").agg(F.count("*").alias("n")).withColumn("layer", X.focus_layer(F.col("file")))
 
 
+def resurrections(sessions: DataFrame, projects: DataFrame, keys: list[str], days: int = 180) -> DataFrame:
+    """Projects (none is one, too) that came back after ``days`` days or more without a session that is not legacy; the score is the number of rows."""
+    back = F.lead("start_time").over(Window.partitionBy(*keys, "project_id").orderBy("start_time", "id"))
+    last = F.coalesce("end_time", "start_time")
+    real = sessions.where(~F.col("is_legacy")).select(*keys, "id", "project_id", last.alias("last_active"), back.alias("resurrected_at"))
+    gone = real.withColumn("gap", F.col("resurrected_at") - F.col("last_active")).where(F.col("gap") >= days * 86400)
+    return with_project(gone, projects).select(*keys, "project_id", display_name(F.col("project_name")).alias("project"), "last_active", "resurrected_at", F.floor(F.col("gap") / 86400).alias("gap_days"))
+
+
+def overall(sessions: DataFrame, commands: DataFrame, commits: DataFrame, projects: DataFrame, keys: list[str], now: int, days: int = 90, absence: int = 43200, away: int = 180) -> DataFrame:
+    """One insight record per key: totals over everything, the rest over the last ``days`` days.
+
+    Streak, weekday, part of the day, resurrections and last commands before an
+    absence look at sessions that aren't legacy; class and late-night index at all.
+    Of equal weekdays and parts of the day the earlier one is named.
+    """
+    since = now - days * 86400
+    s, c, m = sessions.where(F.col("start_time") >= since), commands.where(F.col("timestamp") >= since), commits.where(F.col("timestamp") >= since)
+    real = s.where(~F.col("is_legacy"))
+    totals = sessions.groupBy(*keys).agg(F.count("*").alias("total_sessions")).join(commands.groupBy(*keys).agg(F.count("*").alias("total_commands")), keys, "left")
+
+    def most(df: DataFrame, names: list[str], name: str) -> DataFrame:
+        best = F.greatest(*[F.col(n) for n in names])
+        named = F.when(best == 0, "N/A")
+        for n in names:
+            named = named.when(F.col(n) == best, n)
+        return df.select(*keys, named.alias(name))
+
+    used = with_project(s, projects).groupBy(*keys, display_name(F.col("project_name")).alias("p")).agg(F.coalesce(F.sum("duration_seconds"), F.lit(0)).alias("d"))
+    used = used.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "p"))), lambda x: x["p"]).alias("projects"))
+    gone = last_commands_before_absence(real, c, keys, absence, by_keys=True)
+    gone = gone.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("n"), "command"))), lambda x: x["command"]).alias("before_absence"))
+    score = resurrections(s, projects, keys, away).groupBy(*keys).agg(F.count("*").alias("resurrections"))
+    parts = [
+        most(day_of_week_split(real, keys), [w.lower() for w in WEEKDAYS], "active_day"), most(time_of_day_split(real, keys), ["morning", "afternoon", "evening"], "active_time"),
+        used, streaks(real, keys, F.to_date(C.safe_timestamp(F.lit(now)))), class_counts(c, keys).select(*keys, "class_name"),
+        late_night_index(c, m, keys).select(*keys, F.col("percent").alias("late_percent"), F.col("tier").alias("late_tier")), score, gone,
+    ]
+    for part in parts:
+        totals = totals.join(part, keys, "left")
+    return totals.fillna(0, ["total_commands", "streak", "resurrections"])
+
+
+def stats_json(sessions: DataFrame, commands: DataFrame, projects: DataFrame) -> DataFrame:
+    """One row: totals, first and last valid moment, and each project's statistics with its times, as JSON."""
+    iso = lambda c: F.date_format(C.safe_timestamp(c), "yyyy-MM-dd'T'HH:mm:ss")
+    per = project_breakdown(sessions, commands, projects, by_id=True).join(projects.select(F.col("id").alias("project_id"), "path"), "project_id", "left")
+    one = F.struct(
+        F.col("name"), F.col("project_id").alias("id"), F.col("path"), F.col("commands").alias("commands_count"), F.col("duration").alias("total_duration"), F.col("sessions").alias("sessions_count"),
+        iso(F.col("first_seen")).alias("first_seen"), iso(F.col("last_seen")).alias("last_seen"),
+    )
+    listed = per.agg(F.array_sort(F.collect_list(one)).alias("projects"))
+    window = activity_window(sessions, commands).crossJoin(projects.agg(F.count("*").alias("total_projects"))).crossJoin(listed)
+    span = F.struct(iso(F.col("first")).alias("earliest"), iso(F.col("last")).alias("latest"))
+    record = F.struct(F.col("sessions").alias("total_sessions"), F.col("commands").alias("total_commands"), "total_projects", span.alias("time_range"), "projects")
+    return window.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def query_profile(log: DataFrame) -> DataFrame:
     """log: sql, duration. Count, total and mean per text with white space evened out."""
     same = F.trim(F.regexp_replace("sql", r"\s+", " "))

@@ -81,6 +81,28 @@ def same_ids(a: DataFrame, b: DataFrame, on: str) -> bool:
     return a.join(b, on, "left_anti").isEmpty() and b.join(a, on, "left_anti").isEmpty()
 
 
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether both frames have the same rows, each as often."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows whose id is listed (in a column of the same name); unknown and repeated ids change nothing."""
+    return rows.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
+def project_sessions_since(sessions: DataFrame, project_id: int, since: int) -> DataFrame:
+    return sessions.where((F.col("project_id") == project_id) & (F.col("start_time") >= since))
+
+
+def with_tags(sessions: DataFrame, tags: DataFrame, wanted: list[str]) -> DataFrame:
+    """Sessions that have every wanted tag; ``tags`` has session_id and tags (array)."""
+    has = tags.select(F.col("session_id").alias("id"), "tags")
+    for tag in wanted:
+        has = has.where(F.array_contains("tags", tag.strip().lower()))
+    return sessions.join(has.select("id"), "id", "left_semi") if wanted else sessions
+
+
 def failures_before_commits(commits: DataFrame, sessions: DataFrame, commands: DataFrame, keys: list[str], lookback: int = 1800) -> DataFrame:
     """For each commit, the failing commands of its project in the time before it, newest first.
 

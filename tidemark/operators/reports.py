@@ -9,7 +9,7 @@ from tidemark.functions import text as X
 from tidemark.functions import time as C
 from tidemark.functions.redact import is_blacklisted, redact
 from tidemark.operators.insights import focus_score, time_of_day_split
-from tidemark.operators.joins import display_name, with_project
+from tidemark.operators.joins import display_name, with_project, with_tags
 
 # Fixed values, needed for equal results.
 ACTIVITIES = {
@@ -122,9 +122,33 @@ def recent_sessions(sessions: DataFrame, commands: DataFrame, n: int = 20, cut:
     return sessions.orderBy(F.col("end_time").desc_nulls_last(), F.col("start_time").desc(), F.col("id").desc()).limit(n).join(first, "id", "left").withColumn("first", short)
 
 
+def tag_listing(sessions: DataFrame, commands: DataFrame, tags: DataFrame, projects: DataFrame, tag: str, limit: int = 20, cut: int = 40) -> DataFrame:
+    """The newest sessions with a tag: start, display name, time in words, and summary or first command, cut; an unknown tag is an error."""
+    tag = tag.strip().lower()
+    if tag not in X.TAGS:
+        raise ValueError(f"unknown tag {tag!r}; known: {', '.join(X.TAGS)}")
+    newest = with_tags(sessions, tags, [tag]).orderBy(F.col("start_time").desc(), F.col("id").desc()).limit(limit)
+    first = commands.groupBy(F.col("session_id").alias("id")).agg(F.min_by("command", F.struct("timestamp", F.col("id").alias("c"))).alias("first"))
+    said = F.nullif(F.trim(F.replace("ai_summary", F.lit("\n"), F.lit(" "))), F.lit("")) if "ai_summary" in sessions.columns else F.lit(None)
+    text = F.coalesce(said, F.col("first"), F.lit(""))
+    short = F.when(F.length(text) > cut, F.concat(F.substring(text, 1, cut - 3), F.lit("..."))).otherwise(text)
+    rows = with_project(newest, projects).join(first, "id", "left")
+    when = F.date_format(C.safe_timestamp(F.col("start_time")), "yyyy-MM-dd HH:mm")
+    return rows.select("id", when.alias("start"), display_name(F.col("project_name")).alias("project"), C.format_duration(F.col("duration_seconds")).alias("duration"), short.alias("summary")).orderBy(F.col("start").desc(), F.col("id").desc())
+
+
+def detailed_rows(commands: DataFrame, linked: DataFrame) -> DataFrame:
+    """Each session's commands and commits as rows in order: clock, text, and exit code with recovery source or the commit's first 7 characters."""
+    source = F.col("recovery_source") if "recovery_source" in commands.columns else F.lit(None).cast("string")
+    code = F.when(F.col("exit_code") != 0, F.concat(F.lit("exit "), F.col("exit_code").cast("string")))
+    a = commands.select("session_id", F.lit("command").alias("kind"), F.col("timestamp").alias("at"), F.col("command").alias("text"), F.concat_ws(", ", code, source).alias("note"), F.col("id").cast("string").alias("ref"))
+    b = linked.select("session_id", F.lit("commit"), "t", "message", F.substring("hash", 1, 7), "hash")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("at", "kind", "ref"))
+    return a.union(b).withColumn("clock", C.format_clock(F.col("at"))).withColumn("place", place)
+
+
 def commit_digest(linked: DataFrame, by: list[str], n: int = 20) -> DataFrame:
     """The ``n`` commits of each group that differ but for case: feat, fix and refactor first, then by time."""
     once = linked.groupBy(*by, F.lower("message").alias("low")).agg(F.min_by("message", F.struct("t", "hash")).alias("message"), F.min(F.struct("t", "hash")).alias("at"))
-    rank = F.when(F.col("low").startswith("feat"), 0).when(F.col("low").startswith("fix"), 1).when(F.col("low").startswith("refactor"), 2).otherwise(3)
-    w = Window.partitionBy(*by).orderBy(rank, "at")
+    w = Window.partitionBy(*by).orderBy(X.commit_priority(F.col("low")), "at")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*by, "message", "rank")

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import with_project
+from tidemark.operators.joins import same_rows, with_project, with_tags
+from tidemark.operators.store import FAR_FUTURE, matches_project
 
 TOKEN = r"[\p{L}\p{N}_]+"
 K1, B = 1.5, 0.75
@@ -57,7 +58,12 @@ def exactness_tier(sessions: DataFrame, commands: DataFrame, projects: DataFrame
     return a.unionByName(b).groupBy("id").agg(F.min("tier").alias("tier"))
 
 
-def standard_search(sessions: DataFrame, commands: DataFrame, commits: DataFrame, projects: DataFrame, query: str, since: int | None = None, until: int | None = None, limit: int = 50) -> DataFrame:
+def _newest(found: DataFrame, first: list[Column], limit: int | None) -> DataFrame:
+    """Ranked, of equals the newest first; without a limit all, in no order."""
+    return found if limit is None else found.orderBy(*first, F.col("start_time").desc(), F.col("id").desc()).limit(limit)
+
+
+def standard_search(sessions: DataFrame, commands: DataFrame, commits: DataFrame, projects: DataFrame, query: str, since: int | None = None, until: int | None = None, limit: int | None = 50) -> DataFrame:
     """Sessions with the query in a command, a project name or a linked commit: best tier, then newest. A blank query lists all.
 
     ``commits`` has session_id and message. The query's % and _ are wildcards.
@@ -68,23 +74,59 @@ def standard_search(sessions: DataFrame, commands: DataFrame, commits: DataFrame
     if until is not None:
         chosen = chosen.where(F.col("start_time") <= until)
     if not query.strip():
-        return chosen.withColumn("tier", F.lit(6)).orderBy(F.col("start_time").desc(), F.col("id").desc()).limit(limit)
+        return _newest(chosen.withColumn("tier", F.lit(6)), [], limit)
     like = f"%{query.strip()}%"
     found = commands.where(F.col("command").ilike(like)).select(F.col("session_id").alias("id"))
     found = found.union(with_project(sessions, projects).where(F.col("project_name").ilike(like)).select("id")).union(commits.where(F.col("message").ilike(like)).select("session_id"))
     hits = chosen.join(found.distinct(), "id", "left_semi")
     tier = exactness_tier(hits, commands.join(hits.select(F.col("id").alias("session_id")), "session_id", "left_semi"), projects, query)
-    return hits.join(tier, "id").orderBy("tier", F.col("start_time").desc(), F.col("id").desc()).limit(limit)
+    return _newest(hits.join(tier, "id"), [F.col("tier")], limit)
+
+
+def index_is_current(rows: DataFrame, commands: DataFrame) -> bool:
+    """Whether the index has each session's commands as often as the base has them."""
+    base = commands.where("session_id IS NOT NULL").groupBy("session_id").agg(F.count("*").alias("n"))
+    indexed = rows.where("type = 'command'").groupBy(F.col("ref").cast(base.schema["session_id"].dataType).alias("session_id")).agg(F.count("*").alias("n"))
+    return same_rows(base, indexed)
 
 
-def index_search(rows: DataFrame, sessions: DataFrame, commands: DataFrame, projects: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def sync_index(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The index with all rows of the references in ``fresh`` replaced by those; other references stay untouched."""
+    return rows.join(fresh.select("type", "ref").distinct(), ["type", "ref"], "left_anti").unionByName(fresh)
+
+
+def advanced_search(
+    sessions: DataFrame, commands: DataFrame, commits: DataFrame, projects: DataFrame, query: str = "", project: str | None = None, since: int | None = None, until: int | None = None,
+    tags: DataFrame | None = None, wanted_tags: tuple[str, ...] = (), index: DataFrame | None = None, limit: int = 50, offset: int = 0,
+) -> DataFrame:
+    """One search over sessions: query, project, range and tags narrow it; then exactness, relevance and recency rank it.
+
+    An ``index`` (see ``index_rows``) is used where it has what the base has;
+    else, and for a blank query, the base is searched. Bounds are inclusive.
+    Returns id, start_time, tier and score (0 without an index), the ``limit``
+    rows after the first ``offset``.
+    """
+    chosen = sessions.where(F.col("start_time").between(since if since is not None else 0, until if until is not None else FAR_FUTURE))
+    if project:
+        chosen = matches_project(chosen, commands, projects, project)
+    if wanted_tags:
+        chosen = with_tags(chosen, tags, list(wanted_tags))
+    if query.strip() and index is not None and index_is_current(index, commands):
+        found = index_search(index, chosen, commands, projects, query, limit=None)
+    else:
+        found = standard_search(chosen, commands, commits, projects, query, limit=None).withColumn("score", F.lit(0.0))
+    order = [F.col("tier"), F.col("score").desc(), F.col("start_time").desc(), F.col("id").desc()]
+    return found.select("id", "start_time", F.col("tier").cast("int").alias("tier"), "score").orderBy(*order).offset(offset).limit(limit)
+
+
+def index_search(rows: DataFrame, sessions: DataFrame, commands: DataFrame, projects: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
     """Sessions with all query words as prefixes within one indexed command, ranked by tier, BM25 and recency."""
     hits = rows.where((F.col("type") == "command") & prefix_match(F.col("text"), query)).select(F.col("ref").cast("long").alias("id")).distinct()
     docs = commands.join(hits.select(F.col("id").alias("session_id")), "session_id", "left_semi").groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list("command")), " ").alias("text"))
     ranked = bm25(docs, "session_id", "text", query.split()).withColumnRenamed("session_id", "id")
     chosen = sessions.join(hits, "id", "left_semi")
     tier = exactness_tier(chosen, commands.join(hits.select(F.col("id").alias("session_id")), "session_id", "left_semi"), projects, query)
-    return chosen.join(tier, "id").join(ranked, "id", "left").fillna(0.0, ["score"]).orderBy("tier", F.col("score").desc(), F.col("start_time").desc(), F.col("id").desc()).limit(limit)
+    return _newest(chosen.join(tier, "id").join(ranked, "id", "left").fillna(0.0, ["score"]), [F.col("tier"), F.col("score").desc()], limit)
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataFrame:
@@ -159,13 +201,13 @@ def nearest(vectors: DataFrame, query: list[float], id_col: str, vector_col: str
 def hybrid(lexical: DataFrame, semantic: DataFrame, id_col: str, alpha: float = 0.5, k: int = 10) -> DataFrame:
     """Both scores scaled to 0..1 over the candidates and mixed; without any lexical score all get 0.5."""
     both = semantic.withColumnRenamed("score", "s").join(lexical.withColumnRenamed("score", "l"), id_col, "left").fillna(0.0, ["l"])
-    w = Window.partitionBy()
+    bounds = both.agg(*[f(c).alias(f"{c}_{name}") for c in ("s", "l") for name, f in (("low", F.min), ("high", F.max))])
+    both = both.crossJoin(F.broadcast(bounds))  # one row
 
     def scaled(c: str) -> Column:
-        low, high = F.min(c).over(w), F.max(c).over(w)
-        return (F.col(c) - low) / F.greatest(high - low, F.lit(1e-9))
+        return (F.col(c) - F.col(f"{c}_low")) / F.greatest(F.col(f"{c}_high") - F.col(f"{c}_low"), F.lit(1e-9))
 
-    flat = F.max("l").over(w) == 0
+    flat = F.col("l_high") == 0
     both = both.select(id_col, scaled("s").alias("semantic"), F.when(flat, 0.5).otherwise(scaled("l")).alias("lexical"), flat.alias("no_lexical"))
     return both.withColumn("score", alpha * F.col("semantic") + (1 - alpha) * F.col("lexical")).orderBy(F.col("score").desc(), id_col).limit(k)
 

@@ -57,11 +57,11 @@ def long_gaps(sessions: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     return sessions.withColumn("gap_seconds", wait).where(F.col("gap_seconds") >= seconds).withColumn("gap_days", F.floor(F.col("gap_seconds") / 86400))
 
 
-def last_commands_before_absence(sessions: DataFrame, commands: DataFrame, keys: list[str], seconds: int = 43200) -> DataFrame:
-    """How often each command was the last one before an absence; only sessions with commands count."""
+def last_commands_before_absence(sessions: DataFrame, commands: DataFrame, keys: list[str], seconds: int = 43200, by_keys: bool = False) -> DataFrame:
+    """How often each command was the last one before an absence, in all or ``by_keys``; only sessions with commands count."""
     last = commands.groupBy(F.col("session_id").alias("id")).agg(F.max_by("command", F.struct("timestamp", F.col("id").alias("cid"))).alias("command"))
     gone = long_gaps(sessions.join(last.select("id"), "id", "left_semi"), keys, seconds).join(last, "id")
-    return gone.groupBy("command").agg(F.count("*").alias("times"), F.min("start_time").alias("first_seen"))
+    return gone.groupBy(*(keys if by_keys else []), "command").agg(F.count("*").alias("times"), F.min("start_time").alias("first_seen"))
 
 
 def streaks(sessions: DataFrame, keys: list[str], today: Column) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.redact import is_blacklisted, redact
 from tidemark.functions.time import timeframe_older_than
+from tidemark.operators.joins import by_ids, display_name, with_project
 from tidemark.operators.sessions import assign_sessions, idle_chunks
 
+FAR_FUTURE = 9_999_999_999
+
 
 def _merge(old: DataFrame, new: DataFrame, on: list[str], rules: dict[str, str]) -> DataFrame:
     """Full outer join on the natural key, null-safe. Rules: new, old, min, max, or first_new (new unless null)."""
@@ -100,6 +103,33 @@ def safe_context(commands: DataFrame, limit: int, user_patterns: list[str] = ())
     return commands.join(blocked, "session_id", "left_anti").orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit).withColumn("command", redact(F.col("command")))
 
 
+def current_context(sessions: DataFrame, commands: DataFrame, commits: DataFrame, projects: DataFrame, limit: int = 50, user_patterns: list[str] = ()) -> DataFrame:
+    """(kind, at, text), newest first: safe commands, as many redacted commits, and the project of the newest session that has one."""
+    of_commands = safe_context(commands, limit, user_patterns).select(F.lit("command").alias("kind"), F.col("timestamp").alias("at"), F.col("command").alias("text"))
+    newest = commits.where(~is_blacklisted(F.col("message"), list(user_patterns))).orderBy(F.col("timestamp").desc(), "hash").limit(limit)
+    of_commits = newest.select(F.lit("commit"), "timestamp", redact(F.col("message")))
+    named = sessions.where("project_id IS NOT NULL").orderBy(F.col("start_time").desc(), F.col("id").desc()).limit(1)
+    project = named.join(projects.select(F.col("id").alias("project_id"), "name"), "project_id").select(F.lit("project"), "start_time", "name")
+    return of_commands.union(of_commits).union(project)
+
+
+def export_selection(sessions: DataFrame, commands: DataFrame, projects: DataFrame, project: str | None = None, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Sessions that start from ``since`` to ``until``, both included, of a project; reversed bounds are an error."""
+    lo, hi = 0 if since is None else since, FAR_FUTURE if until is None else until
+    if lo > hi:
+        raise ValueError("the start of the range must not be after its end")
+    chosen = sessions.where(F.col("start_time").between(lo, hi))
+    return matches_project(chosen, commands, projects, project) if project else chosen
+
+
+def interactive_filter(sessions: DataFrame, commands: DataFrame, linked: DataFrame, projects: DataFrame, memories: DataFrame, query: str) -> DataFrame:
+    """Sessions with the query, without case, in their display name, memory, a command or a commit."""
+    q = query.lower()
+    named = with_project(sessions, projects).where(F.lower(display_name(F.col("project_name"))).contains(q)).select("id")
+    found = [df.where(F.lower(c).contains(q)).select(F.col("session_id").alias("id")) for df, c in ((memories, "memory"), (commands, "command"), (linked, "message"))]
+    return by_ids(sessions, named.union(found[0]).union(found[1]).union(found[2]))
+
+
 def command_lookup(commands: DataFrame) -> DataFrame:
     """Sorted times of each command."""
     return commands.groupBy("command").agg(F.array_sort(F.collect_list("timestamp")).alias("times"))
@@ -116,6 +146,19 @@ def report_tables(sessions: DataFrame, commands: DataFrame, start: int, end: int
     return {"sessions": newest.orderBy("start_time", "id"), "meta": meta, "days": days, "kpis": kpis}
 
 
+def report_data(sessions: DataFrame, commands: DataFrame, projects: DataFrame, start: int, end: int, limit: int = 500, highlights: int = 15, days: int = 90) -> dict[str, DataFrame]:
+    """The whole data set of a report: ``report_tables`` with projects by time, the newest sessions with a summary, and commands on each of the last ``days`` days."""
+    out = report_tables(sessions, commands, start, end, limit)
+    chosen = sessions.where(F.col("start_time").between(start, end))
+    per = with_project(chosen, projects).groupBy(display_name(F.col("project_name")).alias("project")).agg(F.count("*").alias("sessions"), F.coalesce(F.sum("duration_seconds"), F.lit(0)).alias("duration"))
+    said = chosen.where("ai_summary IS NOT NULL AND trim(ai_summary) <> ''").orderBy(F.col("start_time").desc(), F.col("id").desc()).limit(highlights)
+    last = F.to_date(F.timestamp_seconds(F.lit(end)))
+    spine = sessions.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("day"))
+    counts = commands.groupBy(F.to_date(F.timestamp_seconds("timestamp")).alias("day")).agg(F.count("*").alias("n"))
+    daily = spine.join(counts, "day", "left").fillna(0, ["n"])
+    return out | {"projects": per.orderBy(F.col("duration").desc(), "project"), "highlights": said, "daily": daily}
+
+
 def consolidate(commands: DataFrame, done: DataFrame, keys: list[str], now: int, force: bool = False) -> DataFrame:
     """New consolidated chunks: commands after each key's high-water mark, split where idle, summed up by first words.
 
