@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import same_rows, with_project, with_tags
 from tidemark.operators.store import FAR_FUTURE, matches_project
+from tidemark.tables import written
 
 TOKEN = r"[\p{L}\p{N}_]+"
 K1, B = 1.5, 0.75
@@ -261,18 +265,20 @@ def command_clusters(commands: DataFrame, by: list[str]) -> DataFrame:
 def leader_clusters(rows: DataFrame, by: list[str], vector_col: str, order_col: str, threshold: float = 0.6, most: int = 5000) -> DataFrame:
     """Order-dependent clusters: each vector joins the first cluster whose mean is close enough, else starts one.
 
-    The rule is sequential within a group; groups of more than ``most`` rows are
-    split by order into groups of their own, so that no task gets an unbounded one.
+    The rule is sequential within a group. A group is folded ``most`` rows at a
+    time, all groups at once; the sums and sizes of its clusters pass from part
+    to part through written tables, so the result does not depend on ``most``,
+    and a task holds one part and the clusters of one group.
     """
     part = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order_col)) - 1) / most)
-    numbered = rows.select(*by, order_col, vector_col).withColumn("part", part)
-    schema = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in [*by, "part", order_col]) + ", cluster int"
-
-    def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order_col)
-        sums, counts, out = [], [], []
+    numbered = written(rows.select(*by, order_col, vector_col).withColumn("part", part), "numbered")
+    parts = (numbered.agg(F.max("part")).first()[0] or 0) + 1
+    kept = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in [*by, order_col])
+    schema = f"{kept}, cluster int, total array<double>, n long"
+
+    def run(state: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        state, pdf = state.sort_values("cluster"), pdf.sort_values(order_col)
+        sums, counts, out = [np.array(x) for x in state["total"]], state["n"].tolist(), []
         for v in pdf[vector_col]:
             v = np.asarray(v, float)
             at = -1
@@ -289,6 +295,16 @@ def leader_clusters(rows: DataFrame, by: list[str], vector_col: str, order_col:
                 sums[at] += v
                 counts[at] += 1
             out.append(at)
-        return pdf.assign(cluster=out)[[*by, "part", order_col, "cluster"]]
-
-    return numbered.groupBy(*by, "part").applyInPandas(run, schema)
+        names = [*by, order_col, "cluster", "total", "n"]
+        assigned = pdf.assign(cluster=out, total=None, n=None)[names]
+        keys = (pdf if len(pdf) else state)[by].iloc[0].to_dict()
+        after = pd.DataFrame({**{k: [v] * len(sums) for k, v in keys.items()}, order_col: None, "cluster": range(len(sums)), "total": [x.tolist() for x in sums], "n": counts})[names]
+        return pd.concat([assigned.astype(object), after.astype(object)])
+
+    state, found = numbered.sparkSession.createDataFrame([], schema), []
+    for k in range(parts):
+        step = state.groupBy(*by).cogroup(numbered.where(F.col("part") == k).groupBy(*by)).applyInPandas(run, schema)
+        step = written(step, "clusters") if parts > 1 else step
+        state = step.where("n IS NOT NULL")
+        found.append(step.where("n IS NULL").select(*by, order_col, "cluster"))
+    return reduce(DataFrame.unionByName, found)

@@ -499,10 +499,19 @@ def _cosine(c: Core) -> DataFrame:
     return v.crossJoin(F.broadcast(one)).select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
 
 
-@query("hybrid_search")
+@query("hybrid_search", BM25_SQL.replace("['the', 'erth', 'thing', 'onand']", "['the', 'erth']").replace("SELECT doc_id, round(sum(ln", ", b AS (SELECT doc_id, sum(ln").replace("))))), 6) AS score FROM p JOIN d USING (term), s GROUP BY 1", """))))) AS score FROM p JOIN d USING (term), s GROUP BY 1),
+v0 AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
+v AS (SELECT vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], e) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(e, e))) AS s FROM embeddings, v0 WHERE vec_id IN (SELECT doc_id FROM documents)),
+c AS (SELECT v.doc_id, s, coalesce(b.score, 0) AS l FROM v LEFT JOIN b USING (doc_id)),
+m AS (SELECT min(s) AS s0, max(s) AS s1, min(l) AS l0, max(l) AS l1 FROM c)
+SELECT doc_id, round(0.5 * (s - s0) / greatest(s1 - s0, 1e-9) + 0.5 * (l - l0) / greatest(l1 - l0, 1e-9), 6) AS score FROM c, m ORDER BY score DESC, doc_id LIMIT 10"""), bare=True)
 def _hybrid(c: Core) -> DataFrame:
-    v = c.table("embeddings").select(F.col("vec_id").alias("doc_id"), search.cosine(F.col("embedding"), F.reverse("embedding")).alias("score"))
-    return search.hybrid(search.bm25(c.table("documents"), "doc_id", "text", ["the", "erth"]), v.join(c.table("documents").select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    """Words and the vector of item 0, over the documents that have a vector."""
+    v = c.table("embeddings")
+    one = v.where("vec_id = 0").select(F.col("embedding").alias("e"))
+    near = v.crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("doc_id"), search.cosine(F.col("embedding"), F.col("e")).alias("score"))
+    found = search.hybrid(search.bm25(c.table("documents"), "doc_id", "text", ["the", "erth"]), near.join(c.table("documents").select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("leader_clusters")
