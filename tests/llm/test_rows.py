@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -165,6 +166,58 @@ def test_chat_sees_rewritten_history():
     assert rewrites and text == "[user]AB[assistant]cd" and text[spans[1]["text_begin"] : spans[1]["text_end"]] == "cd"
 
 
+def test_chat_locates_earlier_turns_after_a_rewrite():
+    def drops_thoughts(turns):  # only the last turn shows what is in brackets
+        return "".join(f"[{r}]{t if i == len(turns) - 1 else re.sub('<.*?>', '', t)};" for i, (r, t) in enumerate(turns))
+
+    text, spans, rewrites = chat.locate_turns([("user", "ab"), ("assistant", "<x>cd"), ("user", "ef")], drops_thoughts, frozenset(["assistant"]))
+    assert rewrites and text == "[user]ab;[assistant]cd;[user]ef;"
+    assert [text[s["text_begin"] : s["text_end"]] for s in spans] == ["ab", "cd", "ef"]
+    text, spans, _ = chat.locate_turns([("user", "ab"), ("assistant", "cd")], lambda ts: f"{len(ts)} turns", frozenset())
+    assert [s["text_begin"] == s["text_end"] for s in spans] == [True, True]
+
+
+def test_chat_null_ids_repeated_rows_and_long_conversations(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (2, None, None, None)] + [(3, i, ("user", "assistant")[i % 2], f"turn {i} " + "x" * (i % 7)) for i in range(150)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert [got[k].n_turns for k in (None, 2, 3)] == [3, 1, 150] and got[None].formatted.count("<|im_start|>user") == 2
+    assert all(got[3].formatted[s.text_begin : s.text_end] == rows[4 + i][3] for i, s in enumerate(got[3].spans))
+
+
+def test_shards_of_equal_ids_equal_a_plain_layout(spark, monkeypatch):
+    """Hot equal texts under one id; and, with one range, the same layout as a plain loop over the records in order."""
+    rows = [(7, "hot")] * 400 + [(None, "hot")] * 100 + [(i, f"text {i} " * (i % 50)) for i in range(300)]
+    got = sharding.shard(frame(spark, rows), 6).collect()
+    loads = [sum(r["size"] for r in got if r.shard == k) for k in range(6)]
+    assert len(got) == 800 and max(loads) - min(loads) <= 2 * max(len(t) + 16 for _, t in rows)
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(6))
+    monkeypatch.setattr(sharding, "_splitters", lambda *_: [])
+    monkeypatch.setattr(sharding, "OVERFULL", 10**6)
+    keyed = spark.createDataFrame(rows, KIND).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), (F.octet_length("text") + 16).alias("size")).collect()
+    total, at, first, want = sum(r["size"] for r in keyed), 0, {}, []
+    for n, r in enumerate(sorted(keyed, key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0))):
+        k = min(5, int((at + r["size"] / 2) * 6 / total))
+        want.append((str(r.doc_id), r["size"], k, n - first.setdefault(k, n)))
+        at += r["size"]
+    got = sharding.shard(frame(spark, rows), 6).collect()
+    assert sorted((str(r.doc_id), r["size"], r.shard, r.slot) for r in got) == sorted(want)
+
+
+def test_quality_takes_odd_rows_and_equals_a_plain_score(spark):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(12)).capitalize() + ".") for i in range(60)] + [(None, "### " * 40)] * 3 + [(5, "AA!! " * 3000), (5, None), (6, "")]
+    model = quality.train_quality(frame(spark, rows))
+    got = sorted(((str(r.doc_id), round(r.score, 9), r.good) for r in quality.score_quality(frame(spark, rows), model).collect()))
+    want = []
+    for i, text in rows:
+        at, share, _ = quality.shapes(text)
+        s = 1 / (1 + math.exp(-(sum(float(model.linear.weights[a]) * x for a, x in zip(at, share)) + model.linear.bias))) if len(at) else 0.0
+        want.append((str(i), round(s, 9), s >= 0.5))
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in sorted(want)] and all(abs(x[1] - y[1]) < 1e-5 for x, y in zip(got, sorted(want)))
+
+
 def language_rows():
     words = {"aa": ["the", "thing", "with", "other", "then"], "bb": ["der", "nicht", "schön", "und", "eine"]}
     rng = random.Random(6)

@@ -4,7 +4,8 @@ The template is only called, never inspected. Rendering each prefix of a
 conversation and comparing it with the one before gives the turn's span; a
 turn whose output does not continue the last one shows that the template
 rewrites history. Rendering the turn once more with a probe for its text
-gives the place of the text within the span.
+gives the place of the text within the span. After a rewrite, earlier turns are
+located anew, by a probe in the whole conversation.
 """
 
 from __future__ import annotations
@@ -56,7 +57,9 @@ def common_prefix(a: str, b: str) -> int:
 def locate_turns(turns: Turns, render: Render, learn: frozenset[str]) -> tuple[str, list[dict], bool]:
     """The rendered conversation, each turn's span, and whether some turn changed what stood before it.
 
-    A turn that rewrites history gets the part from the first change on.
+    A turn that rewrites history gets the part from the first change on. The turns
+    before it are then found again in the last output: a span is the text alone,
+    or empty where the template no longer shows the text as one piece.
     """
     before, spans, rewrites = render([]), [], False
     for k, (role, text) in enumerate(turns):
@@ -64,16 +67,24 @@ def locate_turns(turns: Turns, render: Render, learn: frozenset[str]) -> tuple[s
         after = render([*head, (role, text)])
         begin = len(before) if after.startswith(before) else common_prefix(before, after)
         rewrites |= not after.startswith(before)
-        probed = render([*head, (role, PROBE)])
-        at = probed.rfind(PROBE)
-        tail = len(probed) - at - 1
-        if at < begin or tail + at > len(after):  # the text is not shown, or not as one piece
-            at, tail = len(after), 0
-        spans.append({"begin": begin, "text_begin": at, "text_end": len(after) - tail, "end": len(after), "learn": role in learn})
+        at, to = _place(render([*head, (role, PROBE)]), after, begin)
+        spans.append({"begin": begin, "text_begin": at, "text_end": to, "end": len(after), "learn": role in learn})
         before = after
+    if rewrites:
+        for k, (role, _) in enumerate(turns[:-1]):
+            at, to = _place(render([*turns[:k], (role, PROBE), *turns[k + 1 :]]), before, 0)
+            spans[k] |= {"begin": at, "text_begin": at, "text_end": to, "end": to}
     return before, spans, rewrites
 
 
+def _place(probed: str, shown: str, begin: int) -> tuple[int, int]:
+    """Where the text that the probe stands for is in the output; an empty span at its end if it isn't there as one piece."""
+    at = probed.rfind(PROBE)
+    tail = len(probed) - at - 1
+    whole = at >= begin and at + tail <= len(shown) and probed[:at] == shown[:at] and probed[at + 1 :] == shown[len(shown) - tail :]
+    return (at, len(shown) - tail) if whole else (len(shown), len(shown))
+
+
 def format_chats(rows: DataFrame, render: Render = render_chatml, learn: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: ``conv_col``, n_turns, formatted, spans and rewrites.
 
@@ -90,11 +101,17 @@ def format_chats(rows: DataFrame, render: Render = render_chatml, learn: tuple[s
     learned = frozenset(learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
-        for g in by_group(batches, "conv"):
+        kind, ids = None, []
+
+        def typed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids[:] = [batch.schema.field("conv").type]
+                yield batch
+
+        for g in by_group(typed(), "conv"):
             text, spans, rewrites = locate_turns(list(zip(g["role"], g["text"])), render, learned)
             kind = kind or pa.list_(pa.struct([(k, pa.bool_() if k == "learn" else pa.int64()) for k in spans[0]]))
-            yield pa.RecordBatch.from_arrays([pa.array(g["conv"][:1]), pa.array([len(spans)], pa.int64()), pa.array([text]), pa.array([spans], kind), pa.array([rewrites])], names=["conv", "n_turns", "formatted", "spans", "rewrites"])
+            yield pa.RecordBatch.from_arrays([pa.array(g["conv"][:1], ids[0]), pa.array([len(spans)], pa.int64()), pa.array([text]), pa.array([spans], kind), pa.array([rewrites])], names=["conv", "n_turns", "formatted", "spans", "rewrites"])
 
     order = ["conv", "turn", "role", "text"]
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((role_col, "role"), (text_col, "text"))]
