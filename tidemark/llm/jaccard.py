@@ -48,7 +48,7 @@ from tidemark.llm.scratch import written, written_with
 from tidemark.llm.textkit import mix, shingle_set, word_hashes
 
 BLOCK = 400  # sets in a task's block
-BLOCK_TOKENS = 2_000_000  # tokens in a task's block, if it has more than one set
+BLOCK_TOKENS = 1_000_000  # tokens in a task's block, if it has more than one set
 SPARES = 1 << 16  # most parts that a set is counted to spare
 MARGIN = 15  # percent of parts beyond those needed, so that the most common ones can be spared
 HOT = 64  # sets that share a part, from which on they are cut into single tokens
