@@ -54,7 +54,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows without letters, and those whose main language has less than half their words.
 
-    Each row is judged by its own text, whatever other rows have its id.
+    Each row is judged by its own text, whatever other rows have its id; null and
+    empty texts have no letter and go.
     """
     keyed = _keyed(docs)
     found = identify_languages(keyed, train_language_model(docs), id_col="key")
@@ -66,19 +67,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A null id counts as larger than any other; among rows of one id a hash of the
     row decides. Rows of one id with other texts are in classes of their own.
+    Null, empty and blank texts are like nothing and all stay.
     """
     keyed = _keyed(docs)
     return _without(keyed, jaccard_components(keyed, id_col="key", width=5, percent=80).where("key <> component_id")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rows in whose own text a benchmark item is found."""
+    """Drop rows in whose own text a benchmark item is found.
+
+    Each row is judged by its own text, whatever its id; null and empty texts stay.
+    """
     keyed = _keyed(docs)
     return _without(keyed, find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each row as often as the mix takes it, to the nearest whole time; rows of one id have times of their own."""
+    """Repeat each row as often as the mix takes it, to the nearest whole time; rows of one id have times of their own.
+
+    Texts without words are taken 0 times and go. The schedule's slots say when a
+    row's words come; a table has no order, so they are not in the columns.
+    """
     keyed = _keyed(docs)
     mix = mix_sources(keyed, id_col="key").select(F.col("key").alias("mixed"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times"))
     mix = _sent(written(mix.where("times > 0"), "mix"))
@@ -87,7 +96,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give every row of the mix its shard and slot."""
+    """Give every row of the mix its shard and slot; null ids, repeated rows and null or empty texts are records like any other."""
     return shard(docs, SHARDS, keep=("lang", "source", "n_chars"))
 
 
