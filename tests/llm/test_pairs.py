@@ -155,5 +155,16 @@ def test_lines_equal_brute_force(spark):
     assert kept[90] is None and kept[91] == "" and len(kept) == 33
 
 
+def test_lines_null_and_repeated_ids_long_lines_and_clashing_names(spark):
+    long = "y" * 30_000
+    rows = [(None, "same line here twice\n\nother words of its own"), (3, "same line here twice"), (3, "same line here twice"), (4, long + "a\n" + long + "b"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "clash", 1, [2]) for i, t in rows], "doc_id long, text string, doc string, lines int, line array<int>")
+    got = L.line_classes(docs).collect()
+    assert len(got) == 6 and sorted(r.class_size for r in got) == [1, 2, 2, 3, 3, 3]
+    assert sorted((r.doc_id, r.kept) for r in got if r.class_size == 3 and r.doc_id) == [(3, True), (3, True)]
+    out = L.dedup_lines(docs)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {None: "\nother words of its own", 3: "same line here twice", 4: long + "a", 5: None}
+
+
 def test_lines_empty(spark):
     assert L.line_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0

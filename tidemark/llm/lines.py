@@ -80,9 +80,10 @@ def within_edits(line: Column, other: Column, most: Column, edits: int) -> Colum
     each = sum(1 << lane * width for lane in range(edits + 1))
     mask = F.lit(((1 << band) - 1) * each).cast("long")
     any_of = lambda xs: reduce(Column.bitwiseOR, xs)
-    chars = F.split(other, "")
-    equal = lambda c, i, d: F.when(F.get(chars, i + (d - edits)) == c, F.lit(each << d).cast("long")).otherwise(F.lit(0).cast("long"))
-    steps = F.transform(F.split(line, ""), lambda c, i: any_of([equal(c, i, d) for d in range(band)]))
+    equal = lambda chars, c, i, d: F.when(F.get(chars, i + (d - edits)) == c, F.lit(each << d).cast("long")).otherwise(F.lit(0).cast("long"))
+    # An array of one binds the other line's characters, else each step would split the line again.
+    split = F.array(F.split(other, ""))
+    steps = F.transform(split, lambda chars: F.transform(F.split(line, ""), lambda c, i: any_of([equal(chars, c, i, d) for d in range(band)])))[0]
 
     def step(state: Column, same: Column) -> Column:
         kept = any_of([state.bitwiseAND(same), F.shiftleft(state, width), F.shiftleft(state, width - 1)]).bitwiseAND(mask)
@@ -146,9 +147,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with every line dropped that is not the first of its class; blank lines stay."""
+    """The rows of ``docs``, with every line dropped that is not the first of its class; blank lines stay.
+
+    Rows that share an id share the lines dropped from it, so ids should be unique here.
+    """
     classes = line_classes(docs, id_col, text_col).where("NOT kept")
-    dropped = classes.groupBy(F.col(id_col).alias("__doc")).agg(F.collect_set("line_no").alias("__dropped"))
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.coalesce(F.array_contains("__dropped", i), F.lit(False)))
-    joined = docs.join(dropped, docs[id_col].eqNullSafe(dropped["__doc"]), "left")
-    return joined.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(docs.columns)
+    dropped = classes.groupBy(F.col(id_col).alias("doc")).agg(F.collect_set("line_no").alias("lines")).select("doc", "lines")
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # no name can clash
+    joined = packed.join(dropped, F.col("id").eqNullSafe(F.col("doc")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("lines", i)), "\n")
+    new = F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)
+    return joined.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
