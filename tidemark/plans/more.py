@@ -312,3 +312,37 @@ UNION ALL SELECT user_id, 'top_tool', tool, n::DOUBLE FROM k QUALIFY row_number(
 _also("likely_bugs", """c AS (SELECT session_id, count(*) AS n, count(*) FILTER (exit_code IS NULL OR exit_code <> 0) AS f, bool_or(contains(command, 'pytest')) AS t, bool_or(contains(command, 'docker')) AS d FROM commands GROUP BY 1)
 SELECT s.id, CASE WHEN t THEN 'Mock Leak or Commented-Out Assertion' WHEN d THEN 'Docker Port Bind Collision / Zombie Container' ELSE 'Sleep-Deprived Off-by-One or Typo' END AS bug FROM sessions s JOIN c ON c.session_id = s.id
 WHERE NOT is_legacy AND (hour(make_timestamp(start_time * 1000000)) >= 23 OR hour(make_timestamp(start_time * 1000000)) < 5) AND (n >= 10 OR f >= 3)""")
+
+
+NOISE = "command = 'ls -la' OR starts_with(command, 'cd ') OR starts_with(command, 'cat ') OR command = 'git status' OR starts_with(command, 'ssh ') AND NOT contains(command, '&&')"
+MEMORY_SQL = f"""{LINKED_SQL},
+mem AS (SELECT c.session_id AS id, coalesce(any_value(m.message), arg_max(command, (length(command), -timestamp, -c.id)) FILTER (NOT ({NOISE})), arg_max(command, (length(command), -timestamp, -c.id))) AS memory
+  FROM commands c LEFT JOIN (SELECT session_id, 'Purchase ' || regexp_extract(arg_max(message, (t, hash)), 'purchase (\\d+)', 1) AS message FROM linked GROUP BY 1) m USING (session_id) GROUP BY 1)"""
+_also("project_report", f"""{MEMORY_SQL},
+f AS (SELECT project_id, {DAY.format('start_time')} AS day, memory, min((start_time, s.id)) AS o FROM sessions s JOIN mem USING (id) GROUP BY 1, 2, 3)
+SELECT project_id, day, string_agg(memory, '|' ORDER BY o) AS memories FROM f GROUP BY 1, 2""")
+_also("day_report", f"""{MEMORY_SQL},
+n AS (SELECT s.*, coalesce(p.name, 'Other') AS project, {DAY.format('start_time')} AS day FROM sessions s LEFT JOIN projects p ON p.id = s.project_id),
+t AS (SELECT project, coalesce(sum(duration_seconds) FILTER (day = DATE '2024-01-16'), 0)::BIGINT AS seconds, coalesce(sum(duration_seconds) FILTER (day = DATE '2024-01-15'), 0)::BIGINT AS before FROM n GROUP BY 1 HAVING count(*) FILTER (day = DATE '2024-01-16') > 0),
+f AS (SELECT project, memory, min((start_time, n.id)) AS o FROM n JOIN mem USING (id) WHERE day = DATE '2024-01-16' GROUP BY 1, 2), g AS (SELECT project, string_agg(memory, '|' ORDER BY o) AS memories FROM f GROUP BY 1)
+SELECT project, seconds, before, memories, seconds - before AS difference FROM t LEFT JOIN g USING (project)""")
+_also("calendar_tree", f"""r AS (SELECT session_id AS id, bool_or(id % 50 = 0) AS r FROM commands GROUP BY 1)
+SELECT strftime({DAY.format('start_time')}, '%Y-%m') AS month, {DAY.format('start_time')} AS day, coalesce(p.name, 'Other') AS project,
+string_agg(s.id || ':' || duration_seconds || ':' || CASE WHEN r THEN 'recovered' WHEN is_legacy THEN 'legacy' ELSE 'normal' END, ',' ORDER BY start_time, s.id) AS sessions
+FROM sessions s JOIN r ON r.id = s.id LEFT JOIN projects p ON p.id = s.project_id GROUP BY 1, 2, 3""")
+_also("week_report", """k AS (SELECT project_id, CASE split_part(command, ' ', 1) WHEN 'pytest' THEN 'python' ELSE split_part(command, ' ', 1) END AS class, count(*) AS n, min((timestamp, id)) AS o FROM commands GROUP BY 1, 2),
+t AS (SELECT project_id, string_agg(class, ',' ORDER BY n DESC, o) AS top_classes FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY n DESC, o) <= 5) GROUP BY 1),
+w AS (SELECT project_id, count(*) AS sessions, sum(duration_seconds)::BIGINT AS duration, """ + ", ".join(f"coalesce(sum(duration_seconds) FILTER (dayname(make_timestamp(start_time * 1000000)) = '{d}'), 0)::BIGINT AS {d[:3].lower()}" for d in insights.WEEKDAYS) + """ FROM sessions GROUP BY 1)
+SELECT w.*, t.top_classes, coalesce(p.name, 'Other') AS project_name, p.path AS project_path FROM w LEFT JOIN t ON t.project_id IS NOT DISTINCT FROM w.project_id LEFT JOIN projects p ON p.id = w.project_id""")
+_also("index_search", """h AS (SELECT DISTINCT session_id AS id FROM commands WHERE starts_with(command, 'git commit')), d AS (SELECT session_id AS id, string_agg(command, ' ') AS x FROM commands WHERE session_id IN (SELECT id FROM h) GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(lower(x), '[\\p{L}\\p{N}_]+') AS w FROM d), f AS (SELECT id, len(w) AS l, len(list_filter(w, lambda y: y = 'git')) AS tf FROM w), n AS (SELECT count(*) AS n, sum(l) AS total, count(*) FILTER (tf > 0) AS df FROM f),
+r AS (SELECT id, ln((n - df + 0.5) / (df + 0.5) + 1 + 1e-9) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / (total / (n + 1e-9)))) AS score FROM f, n)
+SELECT s.id, 1 AS tier, round(r.score, 6) AS score FROM sessions s JOIN r USING (id) ORDER BY r.score DESC, start_time DESC, s.id DESC LIMIT 50""")
+_also("ask_sessions", f"""{LINKED_SQL},
+c AS (SELECT session_id AS id, string_agg(command, ' ' ORDER BY timestamp, id) AS t FROM commands GROUP BY 1), m AS (SELECT session_id AS id, string_agg(message, ' ' ORDER BY message) AS t FROM linked GROUP BY 1),
+x AS (SELECT s.id, s.start_time, regexp_extract_all(lower(repeat(coalesce(p.name, '') || ' ', 3) || c.t || ' ' || coalesce(m.t, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM sessions s JOIN c USING (id) LEFT JOIN m USING (id) LEFT JOIN projects p ON p.id = s.project_id),
+a AS (SELECT id, start_time, len(w) AS n, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) AS every FROM x WHERE len(list_filter(w, lambda y: starts_with(y, 'docker') OR starts_with(y, 'build') OR starts_with(y, 'npm'))) > 0),
+q(term, pair) AS (VALUES ('docker', false), ('build', false), ('npm', false), ('docker_build', true), ('build_npm', true)),
+f AS (SELECT id, start_time, n, term, len(list_filter(every, lambda y: CASE WHEN pair THEN y = term ELSE starts_with(y, term) END)) AS tf FROM a, q),
+s AS (SELECT count(*) AS docs, sum(n) AS total FROM a), d AS (SELECT term, count(*) AS df FROM f WHERE tf > 0 GROUP BY 1)
+SELECT id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1 + 1e-9) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * n / (total / (docs + 1e-9))))), 6) AS score FROM f JOIN d USING (term), s WHERE tf > 0 GROUP BY id, start_time ORDER BY score DESC, start_time DESC, id LIMIT 10""")

@@ -296,7 +296,7 @@ def _tag_summary(c: Core) -> DataFrame:
 
 @query("week_report")
 def _week(c: Core) -> DataFrame:
-    return insights.week_report(c.sessions, c.commands, c.projects)
+    return insights.week_report(c.sessions, c.commands, c.projects).withColumn("top_classes", F.array_join("top_classes", ","))
 
 
 @query("month_report", """SELECT coalesce(p.name, 'Other') AS name, count(DISTINCT make_timestamp(start_time * 1000000)::DATE) AS days, sum(duration_seconds)::BIGINT AS duration,
@@ -307,7 +307,8 @@ def _month(c: Core) -> DataFrame:
 
 @query("project_report")
 def _project_report(c: Core) -> DataFrame:
-    return insights.project_report(c.sessions, insights.session_memory(c.commands, linked(c)))
+    out = insights.project_report(c.sessions, insights.session_memory(c.commands, linked(c)))
+    return out.select("project_id", "day", F.array_join("values", "|").alias("memories"))
 
 
 @query("period_telemetry", """s AS (SELECT user_id, sum(duration_seconds) / 3600 AS hours, count(*) AS sessions FROM sessions GROUP BY 1),
@@ -335,7 +336,10 @@ def _profile(c: Core) -> DataFrame:
 
 @query("calendar_tree")
 def _tree(c: Core) -> DataFrame:
-    return insights.calendar_tree(c.sessions, c.commands.withColumn("recovery_source", F.lit(None).cast("string")), c.projects)
+    marked = c.commands.withColumn("recovery_source", F.when(F.pmod("id", F.lit(50)) == 0, "between anchors"))
+    tree = insights.calendar_tree(c.sessions, marked, c.projects)
+    leaf = lambda x: F.concat_ws(":", x["id"].cast("string"), x["duration_seconds"].cast("string"), x["kind"])
+    return tree.select("month", "day", "project", F.array_join(F.transform("sessions", leaf), ",").alias("sessions"))
 
 
 @query("insight_patterns")
@@ -681,7 +685,8 @@ def _header(c: Core) -> DataFrame:
 
 @query("day_report")
 def _day(c: Core) -> DataFrame:
-    return reports.day_report(c.sessions, insights.session_memory(c.commands, linked(c)), c.projects, F.lit("2024-01-16").cast("date"))
+    out = reports.day_report(c.sessions, insights.session_memory(c.commands, linked(c)), c.projects, F.lit("2024-01-16").cast("date"))
+    return out.withColumn("memories", F.array_join("memories", "|"))
 
 
 @query("recent_sessions", """f AS (SELECT session_id, arg_min(command, (timestamp, id)) AS first FROM commands GROUP BY 1)
