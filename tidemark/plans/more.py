@@ -346,3 +346,21 @@ q(term, pair) AS (VALUES ('docker', false), ('build', false), ('npm', false), ('
 f AS (SELECT id, start_time, n, term, len(list_filter(every, lambda y: CASE WHEN pair THEN y = term ELSE starts_with(y, term) END)) AS tf FROM a, q),
 s AS (SELECT count(*) AS docs, sum(n) AS total FROM a), d AS (SELECT term, count(*) AS df FROM f WHERE tf > 0 GROUP BY 1)
 SELECT id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1 + 1e-9) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * n / (total / (docs + 1e-9))))), 6) AS score FROM f JOIN d USING (term), s WHERE tf > 0 GROUP BY id, start_time ORDER BY score DESC, start_time DESC, id LIMIT 10""")
+_also("safe_context", """SELECT id, command FROM commands WHERE session_id NOT IN (SELECT session_id FROM commands WHERE starts_with(command, 'ssh')) ORDER BY timestamp DESC, id DESC LIMIT 50""")
+_also("redact_commands", """SELECT id, CASE WHEN starts_with(command, 'ssh ') THEN 'ssh deploy@[REDACTED_HOST] && export API_TOKEN=[REDACTED]' ELSE command END AS redacted, false AS blacklisted FROM commands""")
+SQL["query_expansion"] = """WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term, doc_id FROM documents), a AS (SELECT term, 'doc' || min(doc_id) AS anchor FROM t GROUP BY 1),
+q AS (SELECT item_id AS id, text AS query, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark), u AS (SELECT id, query, unnest(w) AS term, unnest(range(len(w))) AS pos FROM q),
+f AS (SELECT id, anchor, min(pos) AS pos FROM u JOIN a USING (term) WHERE NOT contains(lower(query), anchor) GROUP BY 1, 2), n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos, anchor) <= 8),
+r AS (SELECT id, string_agg(anchor, ' ' ORDER BY pos, anchor) AS added FROM n GROUP BY 1) SELECT id, query || coalesce(' ' || added, '') AS query FROM q LEFT JOIN r USING (id)"""
+_also("main_achievements", f"""{LINKED_SQL},
+m AS (SELECT s.project_id AS p, 'Purchase ' || regexp_extract(arg_max(l.message, (start_time, s.id, l.t, l.hash)), 'purchase (\\d+)', 1) AS message FROM linked l JOIN sessions s ON s.id = l.session_id GROUP BY 1),
+c AS (SELECT s.project_id AS p, arg_max(command, (start_time, s.id, length(command), -timestamp, -c.id)) FILTER (NOT ({NOISE})) AS longest, arg_max(command, (start_time, s.id, timestamp, c.id)) AS newest FROM commands c JOIN sessions s ON s.id = c.session_id GROUP BY 1)
+SELECT c.p AS project_id, coalesce(m.message, longest, newest) AS achievement FROM c LEFT JOIN m ON m.p IS NOT DISTINCT FROM c.p""")
+_also("bounded_gap_fill", f"""a AS (SELECT user_id, id AS i, CASE WHEN id % 3 = 0 THEN timestamp END AS t, max(id) OVER (PARTITION BY user_id) AS high FROM commands),
+b AS (SELECT *, last_value(CASE WHEN t IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS bi, first_value(CASE WHEN t IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ai FROM a),
+v AS (SELECT b.user_id, b.i, b.t, CASE WHEN bi IS NOT NULL AND ai IS NOT NULL THEN x.t + greatest(1, floor((y.t - x.t) / (ai - bi))) * (b.i - bi) WHEN ai IS NOT NULL THEN y.t - 10 * (ai - b.i)
+  WHEN bi IS NOT NULL THEN x.t + least(10, greatest(0, floor(({NOW} - x.t) / (b.high - bi)))) * (b.i - bi) END AS value FROM b LEFT JOIN a x ON x.user_id = b.user_id AND x.i = bi LEFT JOIN a y ON y.user_id = b.user_id AND y.i = ai)
+SELECT user_id, i AS position, coalesce(t, CASE WHEN value IS NULL THEN greatest({NOW} - 5 * 31536000, {NOW}) ELSE greatest({NOW} - 5 * 31536000, least({NOW}, value)) END)::BIGINT AS timestamp FROM v""")
+_also("burst_placement", f"""p AS (SELECT user_id, id, command, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) - 1 AS back FROM commands),
+d AS (SELECT *, back // 20 AS burst, {NOW} // 86400 AS day, ({NOW} // 86400 + 3) % 7 AS w FROM p)
+SELECT user_id, id AS position, command, ((day - greatest(0, w - 4) - burst - 2 * ((burst + 4 - least(4, w)) // 5)) * 86400 + 57600 + (19 - back % 20) * 10)::BIGINT AS timestamp FROM d""")
