@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidemark.operators import store
 from tidemark.sources import history, sinks
 from tidemark.streaming import commands as streams
 
@@ -97,3 +98,21 @@ def test_scan_of_late_rows_can_be_sessioned_again(spark):
     rows = spark.createDataFrame([(1, 1, 0), (1, 2, 900)], "user_id long, id long, timestamp long")
     assert resession(rows, ["user_id"]).select("session_id").distinct().count() == 1
     assert resession(rows.where(F.lit(False)), ["user_id"]).count() == 0
+
+
+def test_consolidated_stream_equals_a_batch(spark, tmp_path):
+    kind = "user_id long, id long, timestamp long, command string"
+    rows = [(u, 10 * n + u, 1000 * u + t, f"make part{n}") for u in (1, 2) for n, t in enumerate((0, 60, 5000, 5030, 5090, 20000, 20010, 40000))]
+    done = spark.createDataFrame([], "user_id long, start_time long, end_time long, summary string, commands array<string>")
+    at = {}
+    for batch, upto in enumerate((3, 5, 8)):  # the second part continues a chunk that the first one leaves open
+        part = [r for r in rows if (r[1] - r[0]) // 10 < upto and (r[1] - r[0]) // 10 >= (0, 3, 5)[batch]]
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        at["now"] = max(r[2] for r in part) + 100
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        streams.consolidate_stream(stream, ["user_id"], done, str(tmp_path / "out"), str(tmp_path / "state"), lambda: at["now"], every=None).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "chunks")).drop("batch")
+    want = store.consolidate(spark.createDataFrame(rows, kind), done, ["user_id"], at["now"])
+    pick = lambda df: sorted((r.user_id, r.start_time, r.end_time, r.summary) for r in df.collect())
+    assert pick(got) == pick(want) and len(pick(got)) == 6
+    assert spark.read.parquet(str(tmp_path / "out" / "waiting" / "v3")).count() == 2

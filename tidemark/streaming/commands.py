@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,15 +47,27 @@ def upsert_stream(stream: DataFrame, merge: Callable[[DataFrame, DataFrame], Dat
 
 
 def consolidate_stream(stream: DataFrame, keys: list[str], done: DataFrame, target: str, checkpoint: str, now: Callable[[], int], every: str | None = "300 seconds") -> StreamingQuery:
-    """Consolidate idle chunks of all commands seen so far after each micro-batch; commands are kept beside the result."""
+    """Consolidate idle chunks after each micro-batch, into ``target``/chunks, a folder for each batch.
+
+    Beside the chunks, a batch leaves the commands that are in none yet and the
+    high-water mark of each key, starting from that of ``done``; the next one
+    reads only these. A batch that is run again writes the same folders.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{target}/commands/batch={number}")
-        seen = spark.read.schema(batch.schema).parquet(f"{target}/commands")
-        old = spark.read.schema(done.schema).parquet(f"{target}/v{number}") if number else done
-        fresh = consolidate(seen, old, keys, now())
-        old.unionByName(fresh, allowMissingColumns=True).write.mode("overwrite").parquet(f"{target}/v{number + 1}")
+        marked = done.select(*keys, "end_time")
+        marks = spark.read.schema(marked.schema).parquet(f"{target}/marks/v{number}") if number else marked
+        waiting = spark.read.schema(batch.schema).parquet(f"{target}/waiting/v{number}") if number else batch.limit(0)
+        seen = waiting.unionByName(batch)
+        consolidate(seen, marks, keys, now()).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
+        fresh = spark.read.parquet(f"{target}/chunks/batch={number}").select(*keys, "end_time")
+        latest = marks.unionByName(fresh).groupBy(*keys).agg(F.max("end_time").alias("end_time"))
+        latest.write.mode("overwrite").parquet(f"{target}/marks/v{number + 1}")
+        upto = spark.read.schema(marked.schema).parquet(f"{target}/marks/v{number + 1}").withColumnRenamed("end_time", "__mark")
+        same = [seen[k].eqNullSafe(upto[k]) for k in keys]
+        open_ = seen.join(upto, reduce(Column.__and__, [*same, seen["timestamp"] <= upto["__mark"]]), "left_anti")
+        open_.write.mode("overwrite").parquet(f"{target}/waiting/v{number + 1}")
 
     writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
