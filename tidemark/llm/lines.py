@@ -19,6 +19,7 @@ from tidemark.llm.graph import star_components
 from tidemark.llm.scratch import written
 
 EDITS = 2  # at most; the automaton's state holds up to 3
+END = 16  # characters at either end that are compared before the rest
 CHARS_PER_EDIT = 20  # a line has an edit for each so many characters, up to EDITS
 BLANK = " \t\r\x0b\x0c"  # trimmed from both ends of a line
 BLOCK = 64  # lines that a probing line is compared with in one row
@@ -67,36 +68,56 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.select("doc", "line_no", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
 
 
-def within_edits(line: Column, other: Column, most: Column, edits: int) -> Column:
-    """Whether ``other``, which is no longer, is within ``most`` edits (``edits`` at most) of ``line``.
+def _any_of(xs: list[Column]) -> Column:
+    return reduce(Column.bitwiseOR, xs)
 
-    Lane e of the state has a bit for each diagonal of the band: whether the part
-    of ``line`` read so far can become the part of ``other`` that ends there with
-    e edits. A character keeps the diagonals on which it is equal; with an edit
-    more it may be replaced (same diagonal) or deleted (the one before), and then
-    characters may be put in (those after). ``edits`` spare bits part the lanes.
-    """
+
+def _state(line: Column, other: Column, edits: int) -> Column:
+    """The automaton's state after ``line``; see ``within_edits``."""
     band, width = 2 * edits + 1, 3 * edits + 1
     each = sum(1 << lane * width for lane in range(edits + 1))
     mask = F.lit(((1 << band) - 1) * each).cast("long")
-    any_of = lambda xs: reduce(Column.bitwiseOR, xs)
     equal = lambda chars, c, i, d: F.when(F.get(chars, i + (d - edits)) == c, F.lit(each << d).cast("long")).otherwise(F.lit(0).cast("long"))
     # An array of one binds the other line's characters, else each step would split the line again.
     split = F.array(F.split(other, ""))
-    steps = F.transform(split, lambda chars: F.transform(F.split(line, ""), lambda c, i: any_of([equal(chars, c, i, d) for d in range(band)])))[0]
+    steps = F.transform(split, lambda chars: F.transform(F.split(line, ""), lambda c, i: _any_of([equal(chars, c, i, d) for d in range(band)])))[0]
 
     def step(state: Column, same: Column) -> Column:
-        kept = any_of([state.bitwiseAND(same), F.shiftleft(state, width), F.shiftleft(state, width - 1)]).bitwiseAND(mask)
-        return any_of([kept, *(F.shiftleft(kept, n * (width + 1)).bitwiseAND(mask) for n in range(1, edits + 1))])
+        kept = _any_of([state.bitwiseAND(same), F.shiftleft(state, width), F.shiftleft(state, width - 1)]).bitwiseAND(mask)
+        return _any_of([kept, *(F.shiftleft(kept, n * (width + 1)).bitwiseAND(mask) for n in range(1, edits + 1))])
 
     start = sum(1 << lane * width + edits + put for lane in range(edits + 1) for put in range(lane + 1))
-    end = F.aggregate(steps, F.lit(start).cast("long"), step)
-    at = most * width + F.char_length(other) - F.char_length(line) + edits
-    return F.call_function("shiftright", end, at.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.aggregate(steps, F.lit(start).cast("long"), step)
+
+
+def within_edits(line: Column, other: Column, most: Column, edits: int) -> Column:
+    """Whether ``other``, which is no longer, is within ``most`` edits (``edits`` at most) of ``line``.
+
+    Lane e of the state has a bit for each diagonal of the band: whether the part
+    of ``line`` read so far can become the part of ``other`` that ends there with
+    e edits. A character keeps the diagonals on which it is equal; with an edit
+    more it may be replaced (same diagonal) or deleted (the one before), and then
+    characters may be put in (those after). ``edits`` spare bits part the lanes.
+    A fold cannot stop early, so the first END characters go first, then the last
+    ones from behind, and only lines whose state is alive after both are read as
+    a whole.
+    """
+    band, width = 2 * edits + 1, 3 * edits + 1
+    lane = lambda state, at: F.call_function("shiftright", state, at.cast("int"))
+    alive = lambda a, b: lane(_state(a, b, edits), most * width).bitwiseAND(F.lit((1 << band) - 1).cast("long")) > 0
+    head = alive(F.substring(line, 1, END), F.substring(other, 1, END + edits))
+    tail = alive(F.reverse(F.substring(line, -END, END)), F.reverse(F.substring(other, -END - edits, END + edits)))
+    whole = lane(_state(line, other, edits), most * width + F.char_length(other) - F.char_length(line) + edits)
+    return head & tail & (whole.bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """(a, b): digests of different lines (line) within the allowed edits."""
+    """(a, b): digests of different lines (line) within the allowed edits, enough of them to connect each class.
+
+    Each line is first compared with the most frequent indexed line of each of
+    its keys. A family of near lines becomes one class by that, and only lines of
+    different classes go on to be compared with all lines of their keys.
+    """
     lines = rows.select("line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
     # Both sides of the join below come from this one shuffle, so they must have the same columns.
     keys = segment_keys(lines).repartition("key")
@@ -104,19 +125,25 @@ def _links(rows: DataFrame) -> DataFrame:
     chosen = written(keys.join(shared, "key").groupBy("key", "id").agg(F.max("own").alias("own")), "keys")
     ids = written(chosen.select("id").distinct(), "ids")
     ids = ids if ids.count() > SENT_IDS else F.broadcast(ids)
-    texts = written(lines.withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi").distinct(), "lines")
-    blocks = chosen.where("own").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    index = chosen.where("own").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), "blocks")).join(texts, "id")
-    index = index.groupBy("key", "block").agg(F.collect_list("line").alias("others"))
-    probes = chosen.select("key", "id").join(texts, "id").select("key", "line", "n")
-
-    def close(x: Column) -> Column:
-        gap = F.col("n") - F.char_length(x)
-        most = allowed_edits(F.char_length(x))
-        return (gap >= 0) & (gap <= most) & (F.col("line") != x) & within_edits(F.col("line"), x, most, EDITS)
-
-    found = probes.join(index, "key").select("line", F.explode(F.filter("others", close)).alias("other"))
-    return found.select(F.sha2(F.col("line").cast("binary"), 256).alias("a"), F.sha2(F.col("other").cast("binary"), 256).alias("b")).distinct()
+    texts = written(lines.withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi").groupBy("id", "line", "n").agg(F.count("*").alias("times")), "lines")
+
+    def close(line: Column, other: Column) -> Column:
+        gap, most = F.char_length(line) - F.char_length(other), allowed_edits(F.char_length(other))
+        return (gap >= 0) & (gap <= most) & (line != other) & within_edits(line, other, most, EDITS)
+
+    heads = chosen.where("own").join(texts.select("id", "times"), "id").groupBy("key").agg(F.max(F.struct("times", "id")).getField("id").alias("head"))
+    pairs = chosen.join(heads, "key").where("id <> head").select("id", "head").distinct()
+    near = pairs.join(texts.select("id", "line"), "id").join(texts.select(F.col("id").alias("head"), F.col("line").alias("other")), "head")
+    first = written(near.where(close(F.col("line"), F.col("other"))).select("id", "head", "line", "other"), "near")
+    labels = star_components(first, "id", "head").select(F.col("node").alias("id"), F.col("root").alias("label"))
+    placed = written(chosen.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "placed")
+    several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count_if("own") / BLOCK).alias("blocks")).where("lo < hi").select("key", "blocks")
+    index = placed.where("own").join(several, "key").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), "blocks")).join(texts, "id")
+    index = index.groupBy("key", "block").agg(F.collect_list(F.struct("line", "label")).alias("others"))
+    probes = placed.join(several.select("key"), "key").select("key", "id", "label").join(texts, "id").select("key", "line", "label")
+    found = probes.join(index, "key").select("line", F.explode(F.filter("others", lambda x: (x["label"] != F.col("label")) & close(F.col("line"), x["line"]))["line"]).alias("other"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return first.select("line", "other").unionByName(found).select(digest("line").alias("a"), digest("other").alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
