@@ -364,3 +364,16 @@ SELECT user_id, i AS position, coalesce(t, CASE WHEN value IS NULL THEN greatest
 _also("burst_placement", f"""p AS (SELECT user_id, id, command, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) - 1 AS back FROM commands),
 d AS (SELECT *, back // 20 AS burst, {NOW} // 86400 AS day, ({NOW} // 86400 + 3) % 7 AS w FROM p)
 SELECT user_id, id AS position, command, ((day - greatest(0, w - 4) - burst - 2 * ((burst + 4 - least(4, w)) // 5)) * 86400 + 57600 + (19 - back % 20) * 10)::BIGINT AS timestamp FROM d""")
+
+SIGNALS_SQL = f"""x AS (SELECT *, make_timestamp(start_time * 1000000) AS ts FROM used WHERE start_time <= {NOW}),
+g AS (SELECT user_id, project_id, sum(pow(0.5, ({NOW} - start_time) / 259200) * (duration_seconds / 3600 + 0.1)) AS recency, avg((hour(ts) < 5)::INT) AS hour_share, avg((dayname(ts) = 'Thursday')::INT) AS day_share, count(*) AS sessions FROM x GROUP BY 1, 2),
+sig AS (SELECT *, 2.0 * recency / max(recency) OVER (PARTITION BY user_id) + 1.5 * hour_share + day_share AS score FROM g)"""
+_also("project_signals", f"""used AS (SELECT * FROM sessions), {SIGNALS_SQL}
+SELECT user_id, project_id, sessions, round(recency, 6) AS recency, round(hour_share, 6) AS hour_share, round(day_share, 6) AS day_share, round(score, 6) AS score FROM sig""")
+_also("predict_next", f"""used AS (SELECT s.user_id, s.id, start_time, end_time, duration_seconds, s.id % 5 AS project_id FROM sessions s WHERE NOT is_legacy AND start_time >= {NOW} - 2592000 AND EXISTS (SELECT 1 FROM commands c WHERE c.session_id = s.id AND NOT c.is_legacy)), {SIGNALS_SQL},
+i AS (SELECT user_id, arg_max(project_id, end_time) AS project_id FROM used u WHERE end_time BETWEEN {NOW} - 604800 AND {NOW} - 43200
+  AND NOT EXISTS (SELECT 1 FROM used n WHERE n.user_id = u.user_id AND n.project_id = u.project_id AND n.start_time > u.end_time AND n.start_time <= u.end_time + 43200) GROUP BY 1),
+r AS (SELECT sig.*, i.user_id IS NOT NULL AS interrupted, score + CASE WHEN i.user_id IS NOT NULL THEN 3 ELSE 0 END AS total FROM sig LEFT JOIN i ON i.user_id = sig.user_id AND i.project_id = sig.project_id)
+SELECT user_id, project_id, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, project_id) AS rank,
+  concat_ws(',', CASE WHEN recency >= 0.3 THEN 'recent' END, CASE WHEN hour_share >= 0.2 THEN 'hour' END, CASE WHEN day_share >= 0.2 THEN 'weekday' END, CASE WHEN interrupted THEN 'interrupted' END) AS signals, round(total, 6) AS score
+FROM r QUALIFY rank <= 3""")

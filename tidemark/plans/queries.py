@@ -395,13 +395,15 @@ def _compare(c: Core) -> DataFrame:
 
 @query("project_signals")
 def _signals(c: Core) -> DataFrame:
-    return predict.project_signals(c.sessions, ["user_id"], NOW)
+    out = predict.project_signals(c.sessions, KEYS, NOW)
+    return out.select("user_id", "project_id", "sessions", *[F.round(x, 6).alias(x) for x in ("recency", "hour_share", "day_share", "score")])
 
 
 @query("predict_next")
 def _predict(c: Core) -> DataFrame:
     mixed = c.sessions.withColumn("project_id", F.pmod("id", F.lit(5)))
-    return predict.predict_next(mixed, c.commands, KEYS, NOW)
+    out = predict.predict_next(mixed, c.commands, KEYS, NOW)
+    return out.select("user_id", "project_id", "rank", F.array_join("signals", ",").alias("signals"), F.round("score", 6).alias("score"))
 
 
 @query("noise_and_classes", """SELECT id, CASE WHEN lower(command) IN ('ls -la') OR command LIKE 'ls %' OR command LIKE 'cd %' OR command LIKE 'cat %' OR command = 'git status' THEN true ELSE false END AS noise,
