@@ -377,3 +377,26 @@ r AS (SELECT sig.*, i.user_id IS NOT NULL AS interrupted, score + CASE WHEN i.us
 SELECT user_id, project_id, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, project_id) AS rank,
   concat_ws(',', CASE WHEN recency >= 0.3 THEN 'recent' END, CASE WHEN hour_share >= 0.2 THEN 'hour' END, CASE WHEN day_share >= 0.2 THEN 'weekday' END, CASE WHEN interrupted THEN 'interrupted' END) AS signals, round(total, 6) AS score
 FROM r QUALIFY rank <= 3""")
+
+ISO = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%S')"
+CLOCK = "strftime(make_timestamp({} * 1000000), '%-I:%M %p')"
+REDACTED = "CASE WHEN starts_with(command, 'ssh ') THEN 'ssh deploy@[REDACTED_HOST] && export API_TOKEN=[REDACTED]' ELSE command END"
+_also("csv_export", f"""{LINKED_SQL}, m AS (SELECT session_id, string_agg(left(hash, 7) || ': ' || message, '; ' ORDER BY t, hash) AS commits FROM linked GROUP BY 1)
+SELECT c.session_id, {ISO.format('start_time')} AS start_time_iso, {ISO.format('end_time')} AS end_time_iso, duration_seconds, coalesce(p.name, 'Other') AS project_name, {ISO.format('c.timestamp')} AS timestamp_iso, {REDACTED} AS command, exit_code, m.commits
+FROM commands c JOIN sessions s ON s.id = c.session_id LEFT JOIN m ON m.session_id = c.session_id LEFT JOIN projects p ON p.id = s.project_id""")
+_also("markdown_export", f"""{LINKED_SQL}, m AS (SELECT session_id, string_agg('- ' || regexp_replace(message, '([()#])', '\\\\\\1', 'g'), chr(10) ORDER BY t, hash) AS commits FROM linked GROUP BY 1),
+b AS (SELECT session_id, string_agg({REDACTED}, chr(10) ORDER BY timestamp, id) AS body FROM commands GROUP BY 1)
+SELECT s.id AS session_id, '## ' || coalesce(p.name, 'Other') || ' - ' || {ISO.format('start_time')} || ' (' || {READABLE} || ')' || chr(10) || '```' || chr(10) || body || chr(10) || '```' || coalesce(chr(10) || commits, '') AS value
+FROM sessions s JOIN b ON b.session_id = s.id LEFT JOIN m ON m.session_id = s.id LEFT JOIN projects p ON p.id = s.project_id""")
+_also("journal", f"""b AS (SELECT session_id, string_agg('    ' || command, chr(10) ORDER BY timestamp, id) AS body FROM commands WHERE NOT ({NOISE}) GROUP BY 1),
+l AS (SELECT {DAY.format('start_time')} AS day, coalesce(p.name, 'Other') AS name, start_time, s.id, duration_seconds, '  ' || {CLOCK.format('start_time')} || ' ' || {READABLE} || coalesce(chr(10) || body, '') AS line
+  FROM sessions s LEFT JOIN b ON b.session_id = s.id LEFT JOIN projects p ON p.id = s.project_id),
+t AS (SELECT day, name, sum(duration_seconds) AS d, string_agg(line, chr(10) ORDER BY start_time, id) AS text FROM l GROUP BY 1, 2) SELECT day, string_agg(name || chr(10) || text, chr(10) ORDER BY -d, name) AS value FROM t GROUP BY 1""")
+_also("chronicle", f"""w AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, id) AS line FROM commands WHERE NOT ({NOISE})),
+l AS (SELECT session_id, string_agg({REDACTED} || CASE WHEN exit_code <> 0 THEN ' (Exit Code ' || exit_code || ')' ELSE '' END, '|' ORDER BY line) AS lines FROM w WHERE line <= 15 GROUP BY 1),
+f AS (SELECT session_id, bool_or(contains(command, 'test')) AS t, bool_or(contains(command, 'build')) AS b, bool_or(contains(command, 'vim')) AS v, bool_or(contains(command, 'docker')) AS d, bool_or(contains(command, 'git commit')) AS g FROM commands GROUP BY 1),
+h AS (SELECT *, hour(make_timestamp(start_time * 1000000)) AS h FROM sessions)
+SELECT h.id, CASE WHEN h < 5 THEN 'Late-Night/Goblin Mode' WHEN h < 8 THEN 'Early Bird Coding' WHEN h < 12 THEN 'Morning Session' WHEN h < 14 THEN 'Midday Session' WHEN h < 17 THEN 'Afternoon Session' WHEN h < 21 THEN 'Evening Session' ELSE 'Night Owl Session' END AS context,
+  coalesce(p.name, 'Other') AS project, coalesce(nullif(concat_ws(', ', CASE WHEN t THEN 'Debugging/Running Tests' END, CASE WHEN b THEN 'Compiling/Building Code' END, CASE WHEN v THEN 'Deep Focused Editing / Coding' END,
+  CASE WHEN d THEN 'Wrangling Containers/Infrastructure' END, CASE WHEN g THEN 'Committing and Pushing Changes' END), ''), 'General Development') AS activity, coalesce(lines, '') AS commands
+FROM h JOIN f ON f.session_id = h.id LEFT JOIN l ON l.session_id = h.id LEFT JOIN projects p ON p.id = h.project_id""")

@@ -669,7 +669,7 @@ def _bugs(c: Core) -> DataFrame:
 
 @query("chronicle")
 def _chronicle(c: Core) -> DataFrame:
-    return reports.chronicle(c.sessions, c.commands, c.projects)
+    return reports.chronicle(c.sessions, c.commands, c.projects).withColumn("commands", F.array_join("commands", "|"))
 
 
 @query("main_achievements")
