@@ -73,10 +73,13 @@ def _evidence(labelled: DataFrame) -> np.ndarray:
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at], pa.int64())], names=["key", "n"])
 
-    counts = labelled.mapInArrow(run, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(FOLDS * 2 * ((1 << BITS) + 1))
-    flat[counts["key"]] = counts["n"]
-    n = flat.reshape(FOLDS, 2, -1)
+    # One row for each feature, with a column for each fold and label, so that few rows reach the driver.
+    feature, slot = F.pmod("key", F.lit((1 << BITS) + 1)), F.floor(F.col("key") / ((1 << BITS) + 1))
+    slots = [F.coalesce(F.sum(F.when(slot == k, F.col("n"))), F.lit(0)).cast("int").alias(f"n{k}") for k in range(2 * FOLDS)]
+    counts = labelled.mapInArrow(run, "key int, n bigint").groupBy(feature.alias("feature")).agg(*slots).toPandas()
+    n = np.zeros((2 * FOLDS, (1 << BITS) + 1), np.int32)
+    n[:, counts["feature"]] = counts[[f"n{k}" for k in range(2 * FOLDS)]].to_numpy().T
+    n = n.reshape(FOLDS, 2, -1)
     n = n.sum(0) - n
     base = np.clip((n[:, 1, -1:] + 0.5) / (n[:, :, -1].sum(1, keepdims=True) + 1), 1e-4, 0.5)
     share = (n[:, 1, :-1] + PSEUDO * base) / (n[:, :, :-1].sum(1) + PSEUDO)
