@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import align_tokens
 from tidemark.llm.chat import format_chats, read_back
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.exact import exact_duplicates
@@ -14,6 +15,7 @@ from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.langid import held_out, identify_languages, train_language_model
 from tidemark.llm.lines import line_classes
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.pieces import decode_pieces, encode_pieces
 from tidemark.llm.quality import score_quality, train_quality
 from tidemark.llm.sharding import shard
 from tidemark.llm.toxicity import score_toxicity, train_toxicity, with_labels
@@ -82,6 +84,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out(out, 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def _vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file; all executors need it too."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _vocabulary("piece_bpe_32k.model")
+    rows = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"), keep_groups=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
@@ -93,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
