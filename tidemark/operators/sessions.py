@@ -1,7 +1,9 @@
 """Gap sessions, streaks and other order-dependent operators.
 
 Every window is partitioned by ``keys``; with ``keys=[]`` all rows form one
-partition, which suits one user's log only.
+partition. ``assign_sessions``, ``idle_chunks``, ``long_gaps`` and
+``inferred_breaks`` have a form with ``spread=True`` in which the rows of one
+key are dealt over many tasks (see ``scan``).
 """
 
 from __future__ import annotations
@@ -9,17 +11,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import PART, least_of_run, parted, scan
+
 
 def _over(keys: list[str], *order: str | Column) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def assign_sessions(commands: DataFrame, keys: list[str], gap: int = 1800, inclusive: bool = False) -> DataFrame:
+def _runs(commands: DataFrame, keys: list[str], gap: int, inclusive: bool) -> DataFrame:
+    """Parted commands with session_id."""
+    order = ["timestamp", "id"]
+    rows = scan(parted(commands, keys, order), keys, order, previous={"__before": F.col("timestamp")})
+    wait = F.col("timestamp") - F.col("__before")
+    fresh = F.coalesce((wait < gap) if inclusive else (wait <= gap), F.lit(False)) == False  # noqa: E712
+    rows = scan(rows, keys, order, running={"__run": fresh.cast("long")})
+    return least_of_run(rows, keys, "__run", "id", "session_id").drop("__before", "__run")
+
+
+def assign_sessions(commands: DataFrame, keys: list[str], gap: int = 1800, inclusive: bool = False, spread: bool = False) -> DataFrame:
     """Adds session_id, the least id of the run of commands without a gap.
 
     A gap is more than ``gap`` seconds, or with ``inclusive`` that many already.
-    Rows are ordered by (timestamp, id).
+    Rows are ordered by (timestamp, id); ids are unique within the keys. A row
+    without a timestamp is a gap of its own.
     """
+    if spread:
+        return _runs(commands, keys, gap, inclusive).drop(PART)
     w = _over(keys, "timestamp", "id")
     before = F.lag("timestamp").over(w)
     wait = F.col("timestamp") - before
@@ -42,8 +59,15 @@ def effective_end(end: str = "end_time", start: str = "start_time", open_seconds
     return F.coalesce(F.col(end), F.col(start) + open_seconds)
 
 
-def idle_chunks(commands: DataFrame, keys: list[str], now: int, idle: int = 1800, force: bool = False) -> DataFrame:
+def idle_chunks(commands: DataFrame, keys: list[str], now: int, idle: int = 1800, force: bool = False, spread: bool = False) -> DataFrame:
     """Chunks split at gaps of ``idle`` seconds or more; the last one only if forced or idle by ``now``."""
+    if spread:
+        chunks = assign_sessions(commands, keys, idle, inclusive=True, spread=True)
+        ends = chunks.groupBy(*keys, "session_id").agg(F.max("timestamp").alias("__last"))
+        newest = ends.groupBy(*keys).agg(F.max("__last").alias("__newest"))
+        open_ones = ends.join(newest, keys) if keys else ends.crossJoin(F.broadcast(newest))  # without keys: one row
+        open_ones = open_ones.where(F.lit(not force) & (F.col("__last") == F.col("__newest")) & (F.lit(now) - F.col("__last") < idle)).select(*keys, "session_id")
+        return chunks.join(open_ones, [*keys, "session_id"], "left_anti")  # one chunk of each key at most
     chunks = assign_sessions(commands, keys, idle, inclusive=True)
     last = F.max("timestamp").over(Window.partitionBy(*keys, "session_id"))
     newest = F.max("timestamp").over(Window.partitionBy(*keys))
@@ -51,10 +75,19 @@ def idle_chunks(commands: DataFrame, keys: list[str], now: int, idle: int = 1800
     return chunks.withColumn("__last", last).withColumn("__newest", newest).where(done).drop("__last", "__newest")
 
 
-def long_gaps(sessions: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+def _next_start(sessions: DataFrame, keys: list[str], spread: bool) -> DataFrame:
+    """Sessions with ``__next``, the start of the one after: the previous row's, in falling order."""
+    if not spread:
+        return sessions.withColumn("__next", F.lead("start_time").over(_over(keys, "start_time", "id")))
+    falling = sessions.withColumn("__back", -F.col("start_time")).withColumn("__back_id", -F.col("id"))
+    order = ["__back", "__back_id"]
+    return scan(parted(falling, keys, order), keys, order, previous={"__next": F.col("start_time")}).drop(*order, PART)
+
+
+def long_gaps(sessions: DataFrame, keys: list[str], seconds: int, spread: bool = False) -> DataFrame:
     """Sessions followed by a break of ``seconds`` or more within their keys, with the break's length in whole days."""
-    wait = F.lead("start_time").over(_over(keys, "start_time", "id")) - effective_end()
-    return sessions.withColumn("gap_seconds", wait).where(F.col("gap_seconds") >= seconds).withColumn("gap_days", F.floor(F.col("gap_seconds") / 86400))
+    sessions = _next_start(sessions, keys, spread)
+    return sessions.withColumn("gap_seconds", F.col("__next") - effective_end()).drop("__next").where(F.col("gap_seconds") >= seconds).withColumn("gap_days", F.floor(F.col("gap_seconds") / 86400))
 
 
 def last_commands_before_absence(sessions: DataFrame, commands: DataFrame, keys: list[str], seconds: int = 43200, by_keys: bool = False) -> DataFrame:
@@ -74,13 +107,13 @@ def streaks(sessions: DataFrame, keys: list[str], today: Column) -> DataFrame:
     return newest.select(*keys, F.when(F.datediff(today, "last") <= 1, F.col("n")).otherwise(0).cast("long").alias("streak"))
 
 
-def inferred_breaks(sessions: DataFrame, keys: list[str], least: int = 600) -> DataFrame:
+def inferred_breaks(sessions: DataFrame, keys: list[str], least: int = 600, spread: bool = False) -> DataFrame:
     """Pauses of ``least`` seconds or more before the next session, named by the hour in which they begin."""
     end = effective_end()
     hour = F.hour(F.timestamp_seconds("break_start"))
     kind = F.when((hour >= 11) & (hour <= 14), "lunch").when((hour >= 18) & (hour <= 21), "dinner").when((hour >= 23) | (hour < 5), "sleep").otherwise("break")
-    wait = F.lead("start_time").over(_over(keys, "start_time", "id")) - end
-    return sessions.select(*keys, "id", end.alias("break_start"), wait.alias("seconds")).where(F.col("seconds") >= least).withColumn("kind", kind)
+    wait = F.col("__next") - end
+    return _next_start(sessions, keys, spread).select(*keys, "id", end.alias("break_start"), wait.alias("seconds")).where(F.col("seconds") >= least).withColumn("kind", kind)
 
 
 def relative_timeline(commands: DataFrame) -> DataFrame:
