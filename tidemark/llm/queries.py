@@ -14,6 +14,7 @@ from tidemark.llm.exact import exact_duplicates
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.langid import held_out, identify_languages, train_language_model
 from tidemark.llm.lines import line_classes
+from tidemark.llm.merkle import folded, leaf_digest, merkle_manifest, proof_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pieces import decode_pieces, encode_pieces
 from tidemark.llm.quality import score_quality, train_quality
@@ -91,6 +92,16 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _table(spark, sf_dir, "documents").select(columns)
+    tampered = leaf_digest([*map(F.col, columns[:-1]), F.translate("text", UPPER, LOWER)])
+    docs = docs.withColumn("tampered", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, tampered))
+    rows = merkle_manifest(docs, columns, keep=("tampered",))
+    rows = rows.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _vocabulary("piece_bpe_32k.model")
     rows = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
@@ -113,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -120,7 +132,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _merkle_sql(levels: int = 6, upper: int = 3) -> str:
+    """Trees of up to 16 ** levels rows in a source and 16 ** upper sources; a single node stays as it is."""
+    field = lambda v: f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')"
+    leaf = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    lowered = field(f"translate(text, '{UPPER}', '{LOWER}')")
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295::BIGINT)"""
+    parts = [f"""d AS (SELECT doc_id, source, sha256({leaf} || {field("text")}) AS leaf,
+  CASE WHEN {crc} % 5 = 0 THEN sha256({leaf} || {lowered}) ELSE sha256({leaf} || {field("text")}) END AS f FROM documents),
+a0 AS (SELECT doc_id, source, leaf AS node, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+x0 AS (SELECT d.doc_id, d.source, leaf, f, '' AS proof, pos FROM d JOIN a0 USING (doc_id))"""]
+
+    def climb(k: int, source: str, same: str) -> str:
+        return f"""r{k} AS (SELECT {source}pos // 16 AS run, n, list(node ORDER BY pos) AS nodes FROM a{k} GROUP BY ALL),
+a{k + 1} AS (SELECT {source}run AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node FROM r{k}),
+y{k} AS (SELECT x.*, n, array_to_string(nodes[1:pos % 16], '') AS l, array_to_string(nodes[pos % 16 + 2:], '') AS r FROM x{k} x JOIN r{k} r ON r.run = x.pos // 16{same}),
+x{k + 1} AS (SELECT * EXCLUDE (n, l, r) REPLACE (pos // 16 AS pos, proof || l || r AS proof, CASE WHEN n = 1 THEN f ELSE sha256(l || f || r) END AS f) FROM y{k})"""
+
+    parts += [climb(k, "source, ", " AND r.source IS NOT DISTINCT FROM x.source") for k in range(levels)]
+    top = levels + 1
+    parts.append(f"""s AS (SELECT source, node AS subroot FROM a{levels}),
+a{top} AS (SELECT source, subroot AS node, row_number() OVER (ORDER BY source IS NOT NULL, source) - 1 AS pos, count(*) OVER () AS n FROM s),
+x{top} AS (SELECT x.* REPLACE (a.pos AS pos) FROM x{levels} x JOIN a{top} a ON a.source IS NOT DISTINCT FROM x.source)""")
+    parts += [climb(k, "", "") for k in range(top, top + upper)]
+    return f"""WITH {", ".join(parts)}
+SELECT x.doc_id, leaf, subroot, a.node AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = a.node AS verified
+FROM x{top + upper} x JOIN s ON s.source IS NOT DISTINCT FROM x.source, a{top + upper} a"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op1_ngram_jaccard": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {WORDS}) AS w FROM documents),
