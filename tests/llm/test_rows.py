@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact, langid, mixing, quality, sharding, toxicity, weak
+from tidemark.llm import chat, decontaminate, exact, langid, mixing, quality, scratch, sharding, toxicity, weak
 
 ODD = [(1, None), (2, ""), (3, "  \n"), (4, "Text"), (4, "Text"), (None, "text"), (7, "É" * 5000), (8, "tEXT"), (9, "é" * 5000)]
 KIND = "doc_id long, text string"
@@ -252,6 +252,39 @@ def test_languages_of_a_text_in_four(spark):
     assert next(r for r in got if r.doc_id == 4).languages == ["aa", "bb"]
 
 
+def test_fit_rows_are_drawn_one_by_one(spark, monkeypatch):
+    """Rows of one id, of a null id, and rows that are equal in all columns are drawn like any others."""
+    for rows in ([(7, f"text {i}") for i in range(4000)], [(None, f"text {i}") for i in range(4000)], [(7, "same")] * 4000):
+        drawn = frame(spark, rows).where(scratch.row_draw("doc_id", "text") < 0.05).count()
+        assert 100 < drawn < 320
+    monkeypatch.setattr(quality, "FIT_ROWS", 100)
+    docs = frame(spark, [(7, f"This is some line of text, number {i}.") for i in range(2000)])
+    assert quality.train_quality(docs).linear is not None
+
+
+def test_leaks_with_ids_of_type_int(spark):
+    item = " ".join(f"word{i}x" for i in range(30))
+    items = spark.createDataFrame([(None, "nothing of it is there " * 4), (5, item)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "clean text")], "doc_id int, text string")
+    got = decontaminate.find_leaks(docs, items)
+    assert got.schema["item_id"].dataType.simpleString() == "int" and [(r.doc_id, r.item_id) for r in got.collect()] == [(1, 5)]
+
+
+def test_chat_roles_come_back_whole(spark):
+    roles = ["us\0er", "a\\b", "a\\nb", "a\nb\\", "\\\\n", "<|im_end|>", "<\\|x", ""]
+    rows = spark.createDataFrame([(1, i, r, f"t{i}") for i, r in enumerate(roles)], "conv_id int, turn int, role string, text string")
+    chats = chat.format_chats(rows)
+    back = chats.select(chat.read_back(F.col("formatted"), F.col("spans"))[0].alias("roles")).first().roles
+    assert back == roles
+
+
+def test_chat_text_with_a_private_character_after_a_rewrite():
+    render = lambda turns: ("".join(f"[{t}]" for _, t in turns) if len(turns) < 3 else "new " + "".join(f"({t})" for _, t in turns))
+    turns = [("user", "one \ue000 two"), ("assistant", "x\ue000"), ("user", "three")]
+    text, spans, rewrites = chat.locate_turns(turns, render, frozenset(["assistant"]))
+    assert rewrites and [text[s["text_begin"] : s["text_end"]] for s in spans] == [t for _, t in turns]
+
+
 def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
@@ -357,7 +390,7 @@ def test_leaks_recall_and_brute_force(spark, monkeypatch):
         share = decontaminate.common_subsequence(item, changed) / len(item)
         if share >= decontaminate.SAME:
             changed_ones.add((1000 + k, k))
-    rows += [(5000 + i, " ".join(word() for _ in range(400))) for i in range(60)] + [(None, " ".join(items[0])), (7, None)]
+    rows += [(5000 + i, " ".join(word() for _ in range(400))) for i in range(60)] + [(None, " ".join(items[0])), (9000, None)]
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.share for r in decontaminate.find_leaks(spark.createDataFrame(rows, KIND), bench).collect()}
     assert len(exact_ones & set(got)) >= 0.98 * len(exact_ones) and (60, 60) in got and (None, 0) in got

@@ -21,7 +21,7 @@ from tidemark.llm.grouped import by_group
 
 Turns = list[tuple[str, str]]
 Render = Callable[[Turns], str]
-PROBE = "\ue000"  # a private-use character, for which templates have no rule
+PROBES = range(0xE000, 0xF900)  # private-use characters, for which templates have no rule
 
 _CONTROL = re.compile(r"<(\\*)\|")
 SPAN = "struct<begin:bigint,text_begin:bigint,text_end:bigint,end:bigint,learn:boolean>"
@@ -59,27 +59,30 @@ def locate_turns(turns: Turns, render: Render, learn: frozenset[str]) -> tuple[s
 
     A turn that rewrites history gets the part from the first change on. The turns
     before it are then found again in the last output: a span is the text alone,
-    or empty where the template no longer shows the text as one piece.
+    or empty where the template no longer shows the text as one piece. The probe is a
+    private-use character that the conversation lacks; one with all 6,400 of them fails.
     """
+    used = set().union(*(r + t for r, t in turns))
+    probe = next(chr(c) for c in PROBES if chr(c) not in used)
     before, spans, rewrites = render([]), [], False
     for k, (role, text) in enumerate(turns):
         head = turns[:k]
         after = render([*head, (role, text)])
         begin = len(before) if after.startswith(before) else common_prefix(before, after)
         rewrites |= not after.startswith(before)
-        at, to = _place(render([*head, (role, PROBE)]), after, begin)
+        at, to = _place(render([*head, (role, probe)]), probe, after, begin)
         spans.append({"begin": begin, "text_begin": at, "text_end": to, "end": len(after), "learn": role in learn})
         before = after
     if rewrites:
         for k, (role, _) in enumerate(turns[:-1]):
-            at, to = _place(render([*turns[:k], (role, PROBE), *turns[k + 1 :]]), before, 0)
+            at, to = _place(render([*turns[:k], (role, probe), *turns[k + 1 :]]), probe, before, 0)
             spans[k] |= {"begin": at, "text_begin": at, "text_end": to, "end": to}
     return before, spans, rewrites
 
 
-def _place(probed: str, shown: str, begin: int) -> tuple[int, int]:
+def _place(probed: str, probe: str, shown: str, begin: int) -> tuple[int, int]:
     """Where the text that the probe stands for is in the output; an empty span at its end if it isn't there as one piece."""
-    at = probed.rfind(PROBE)
+    at = probed.rfind(probe)
     tail = len(probed) - at - 1
     whole = at >= begin and at + tail <= len(shown) and probed[:at] == shown[:at] and probed[at + 1 :] == shown[len(shown) - tail :]
     return (at, len(shown) - tail) if whole else (len(shown), len(shown))
@@ -129,6 +132,7 @@ def read_back(formatted: Column, spans: Column) -> tuple[Column, Column]:
 
     def role(s: Column) -> Column:
         header = F.regexp_extract(piece(s["begin"], s["text_begin"]), r"^<\|im_start\|>([^\n]*)\n$", 1)
-        return F.replace(F.replace(F.replace(unescaped(header), F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+        parts = F.split(unescaped(header), r"\\\\", -1)  # at doubled backslashes; what is left of them are line ends
+        return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
     return F.transform(spans, role), F.transform(spans, lambda s: unescaped(piece(s["text_begin"], s["text_end"])))

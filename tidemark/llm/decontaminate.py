@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.scratch import small_batches
 from tidemark.llm.textkit import NOT_WORD, word_hashes
@@ -281,7 +282,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     out, block, spaces = spark.createDataFrame([], schema), [], []
 
     def search(indexes: list[LatentIndex]) -> DataFrame:
-        kind = pa.array(indexes[0].ids).type
+        kind = to_arrow_type(item_type)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import small_batches
+from tidemark.llm.scratch import row_draw, small_batches
 from tidemark.llm.textkit import hash_spans, mix, spans, word_hashes
 from tidemark.llm.weak import ABSTAIN, NO, YES, Linear, VoteModel, fit_linear, fit_votes
 
@@ -111,8 +111,8 @@ def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return QualityModel(None, None)
     counts = table["count"].to_numpy()
     model = fit_votes(np.array([[int(c) for c in v] for v in table["votes"]]), counts, prior=PRIOR, better=3.0)
-    pick = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = docs.where(pick < min(1.0, FIT_ROWS / counts.sum())).select(F.col(text_col).alias("text"))
+    drawn = docs.select(F.col(text_col).alias("text"), row_draw(id_col, text_col).alias("pick"))
+    chosen = drawn.where(F.col("pick") < min(1.0, FIT_ROWS / counts.sum())).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,6 +36,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def row_draw(id_col: str, text_col: str) -> Column:
+    """A number from 0 to 1 by which rows are drawn, each for itself: those with one id, one text or both too."""
+    drawn = F.xxhash64(F.lit("fit"), F.col(id_col), F.col(text_col), F.monotonically_increasing_id())
+    return F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame over the written rows."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import small_batches, written
+from tidemark.llm.scratch import row_draw, small_batches, written
 from tidemark.llm.textkit import NOT_WORD, hash_spans, lowered, spans, word_hashes
 from tidemark.llm.weak import ABSTAIN, NO, YES, Linear, VoteModel, fit_linear, fit_votes
 
@@ -159,9 +159,8 @@ def train_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str =
     and FIT_ROWS.
     """
     small_batches(labelled.sparkSession)
-    pick = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col(text_col)), F.lit(FOLDS)).cast("int")
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), pick.alias("pick"), fold.alias("fold"))
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), row_draw(id_col, text_col).alias("pick"), fold.alias("fold"))
     odds = _evidence(rows)
     voted = written(_fit_rows(rows, odds), "voted")
     table = voted.groupBy("votes", "label").count().toPandas()
