@@ -32,8 +32,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``key``, binary, which no two rows share and which is never null.
+    """``key``, binary, which no two rows share and which is never null; text and source; and ``row``, the whole row.
 
+    As all given columns are in ``row``, their names clash with none of the stages'.
     Keys are ordered by doc_id, null last, then by a hash of all columns. So they
     come out alike whenever they are computed; only rows that are equal in all
     columns are written to the shared folder, with numbers of their own.
@@ -41,7 +42,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # in the order of signed numbers
     by_id = F.coalesce(F.concat(F.lit("00"), number), F.lit("01" + "0" * 16))
     hashed = F.md5(F.concat(*[F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in docs.columns]))
-    keyed = docs.withColumn("key", F.unhex(F.concat(by_id, hashed)))
+    keyed = docs.select(F.unhex(F.concat(by_id, hashed)).alias("key"), "text", "source", F.struct(*docs.columns).alias("row"))
     equal = written(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("equal")), "equal")
     if equal.isEmpty():
         return keyed
@@ -59,7 +60,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = _keyed(docs)
     found = identify_languages(keyed, train_language_model(docs), id_col="key")
-    return _without(keyed, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SHARE))).select(docs.columns)
+    return _without(keyed, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SHARE))).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null, empty and blank texts are like nothing and all stay.
     """
     keyed = _keyed(docs)
-    return _without(keyed, jaccard_components(keyed, id_col="key", width=5, percent=80).where("key <> component_id")).select(docs.columns)
+    return _without(keyed, jaccard_components(keyed, id_col="key", width=5, percent=80).where("key <> component_id")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Each row is judged by its own text, whatever its id; null and empty texts stay.
     """
     keyed = _keyed(docs)
-    return _without(keyed, find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")).select(docs.columns)
+    return _without(keyed, find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mix = mix_sources(keyed, id_col="key").select(F.col("key").alias("mixed"), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times"))
     mix = _sent(written(mix.where("times > 0"), "mix"))
     joined = keyed.join(mix, keyed["key"] == mix["mixed"])
-    return joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    return joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
