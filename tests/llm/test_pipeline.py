@@ -69,3 +69,19 @@ def targets_by_hand(sizes):
     """Weights 5 and 2 of half as much again, twice its own for a source at most."""
     first = min(2 * sizes[0], 1.5 * sum(sizes) * 5 / 7)
     return [first, min(2 * sizes[1], 1.5 * sum(sizes) - first)]
+
+
+def test_stages_with_columns_of_clashing_names(spark, tmp_path):
+    """Given columns named as the stages' own come through every stage as they were."""
+    rng = random.Random(14)
+    vocabulary = [f"{a}{b}er" for a in ("th", "wh", "st", "pr") for b in "aeioulmnrst"] + ["the", "of", "and", "with"]
+    names = ["key", "again", "times", "mixed", "nth", "gone", "equal", "row", "score", "component_id", "id", "size"]
+    rows = [(i % 30, " ".join(rng.choice(vocabulary) + str(rng.randrange(300)) for _ in range(100)), "en", "s0", 1, *[f"{n}{i}" for n in names]) for i in range(40)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([(1, "no such words here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows + rows[:2], kind)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == kind.replace(" long", "").replace(" string", "").split(", ")
+        assert set(map(tuple, docs.collect())) <= set(rows) and docs.count() >= 40
+    assert corpus_pipeline.sharding(spark, docs, str(tmp_path)).count() == docs.count()
