@@ -161,3 +161,34 @@ def test_alignment_of_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_links, r.count_sum) for r in alignment.align_tokens(spark.createDataFrame(rows, KIND), BYTES, MODEL, keep_groups=False).collect())
     assert got == [(0, 2, 4), (0, 2, 4), (3, 0, 0), (3, 0, 0)]
     assert alignment.align_tokens(spark.createDataFrame([], KIND), BYTES, MODEL).count() == 0
+
+
+def test_texts_put_together_from_words(monkeypatch):
+    """In this process, with few words kept and few pairs held at a time."""
+    for name, value in {"LINKS": 30, "WORDS": 7, "KEPT": 25, "WIDE": 3}.items():
+        monkeypatch.setattr(alignment, name, value)
+    texts, aligner, runs = some_texts(), alignment._Aligned(BYTES, MODEL), alignment._Runs(0)
+    want, links = plain_alignment(texts), Counter()
+    for at in range(0, len(texts), 9):
+        counts, spelled = aligner.texts([t or "" for t in texts[at : at + 9]], runs)
+        runs.docs += len(texts[at : at + 9])
+        got = list(zip(*(counts[c].tolist() for c in aligner.COUNTS), spelled))
+        assert got == [(*w[:4], w[-1]) for w in want[at : at + 9]]
+    for records, times in zip(runs.records, runs.times):
+        assert len(set(records.tolist())) == len(records)
+        for r, n in zip(records.tolist(), times.tolist()):
+            links[r & (1 << 22) - 1] += n
+    assert all(links[i] == w[3] for i, w in enumerate(want))
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=30).map("".join) | st.text(max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_words_are_cut_where_both_sides_cut(text):
+    side = tokenizers.Tokenizer.from_file(BYTES)
+    side.encode_special_tokens = True
+    ask_a, ask_b = alignment._aligner(BYTES, MODEL).ask_a, alignment._aligner(BYTES, MODEL).ask_b
+    if text and "▁" not in text:
+        words = alignment.blank_words(" " + text)
+        assert "".join(words) == " " + text
+        assert sum(ask_a(words), []) == side.encode(" " + text, add_special_tokens=False).ids
+        assert sum(ask_b(words), []) == LIBRARY.encode(text)

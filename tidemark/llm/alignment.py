@@ -1,5 +1,8 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes, and how often in the corpus.
 
+Both sides cut texts at blanks, so each distinct word is aligned once and texts
+are put together from their words.
+
 External counting of (pair, document) records. Tasks that tokenise write
 zstd-compressed runs, sorted by side A's id and cut by its radix. Each radix's
 runs are merged from a heap of their heads, which counts the documents of each
@@ -11,6 +14,7 @@ runs (a hot id) is sliced by run; slices are counted apart and merged.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -35,32 +39,14 @@ RUN = 1_000_000  # records in a run
 SLICE_BYTES = 16 << 20  # compressed bytes of runs that one task gets
 BLOCK_TOKENS = 400_000  # tokens of whole texts that are aligned at a time
 LINKS = 4_000_000  # links that are held at a time
+WORDS = 1_000_000  # words of texts that are looked up at a time
 WIDE = 1 << 12  # links of a group from which its repeated ids are counted first
 CHUNK = 1 << 14  # keys of a run that are merged at a time
-KEPT, LONG_WORD = 100_000, 40  # words that a worker keeps, and their characters
+KEPT = 400_000  # words that a worker keeps, and eighth of the pairs; then it begins anew
 DOC_BITS, ID_BITS = 22, 21  # a record is A id, B id and document in 64 bits
 PIECE_SPACE = "▁"
 
 
-class _Words:
-    """Ids of texts by their words, each of which the tokenizer is asked for once; it must treat them apart."""
-
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]]):
-        self.split, self.ask, self.known = split, encode, {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        words = [self.split(t) for t in texts]
-        lacking = set().union(*words) - self.known.keys()
-        if len(self.known) + len(lacking) > KEPT:
-            self.known = {}
-            lacking = set().union(*words)
-        asked = list(lacking)
-        now = dict(zip(asked, self.ask(asked)))
-        self.known.update((w, ids) for w, ids in now.items() if len(w) <= LONG_WORD)
-        of = {**self.known, **now} if any(len(w) > LONG_WORD for w in now) else self.known
-        return [list(chain.from_iterable(map(of.__getitem__, w))) for w in words]
-
-
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: visible Latin characters for themselves, the others from U+0100 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -68,12 +54,16 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-UNSURE = re.compile(r"[^\w!-~ \n][ \n]")  # a blank after a character that may be white space too
-BLANKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+UNSURE = re.compile(r"[^\w!-~ ] ")  # a blank after a character that may be white space too
+BLANKS = re.compile(r" +[^ ]*")
 
 
 def blank_words(text: str) -> list[str]:
-    """Cuts where a blank follows what is surely no white space: a byte-level pattern always cuts there too."""
+    """Cuts a text that begins with a blank where blanks follow what is surely no white space.
+
+    A byte-level pattern of letters, numbers, others and white space always cuts
+    there, and so do pieces none of which goes on with a blank.
+    """
     words = BLANKS.findall(text)
     if not UNSURE.search(text):
         return words
@@ -86,9 +76,11 @@ def blank_words(text: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=2)
-def byte_level(path: str) -> tuple[_Words, list[bytes]]:
-    """Side A: a byte-level vocabulary file; the strings of special tokens are plain text."""
+Ask = Callable[[list[str]], list[list[int]]]
+
+
+def byte_level(path: str) -> tuple[Ask, list[bytes]]:
+    """Side A: what encodes words, and the bytes of each entry of a byte-level vocabulary file. Strings of special tokens are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -103,31 +95,24 @@ def byte_level(path: str) -> tuple[_Words, list[bytes]]:
     entries = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
     for entry, i in spec["model"]["vocab"].items():
         entries[i] = bytes(map(alphabet.__getitem__, entry))
-    return _Words(blank_words, lambda ws: [e.ids for e in tokenizer.encode_batch_fast(ws, add_special_tokens=False)]), entries
+    return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], entries
 
 
-@lru_cache(maxsize=2)
-def piece_level(path: str) -> tuple[_Words, list[bytes]]:
-    """Side B: a SentencePiece model that adds a blank in front; encoded by words where no piece crosses them."""
+def piece_level(path: str) -> tuple[Ask, list[bytes]]:
+    """Side B: the same of a SentencePiece model that adds a blank in front; the first blank of a word is that one."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    entries = []
-    for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        entries.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(PIECE_SPACE, " ").encode())
-    apart = not any(PIECE_SPACE in model.id_to_piece(i).lstrip(PIECE_SPACE) for i in range(model.get_piece_size()))
-    pattern = re.compile(f"{PIECE_SPACE}+[^{PIECE_SPACE}]*")
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    if any(PIECE_SPACE in p.lstrip(PIECE_SPACE) for p in pieces):
+        raise ValueError("side B must have no piece that goes on with a blank")
+    entries = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(PIECE_SPACE, " ").encode() for i, p in enumerate(pieces)]
+    blank = model.encode("a ")[1:]  # the added blank alone
 
-    def split(text: str) -> list[str]:
-        """Words with their blanks, the first of which is the one that the model adds."""
-        if not text:
-            return []
-        return [w[1:] for w in pattern.findall(PIECE_SPACE + text.replace(" ", PIECE_SPACE))] if apart else [text]
+    def ask(words: list[str]) -> list[list[int]]:
+        return [ids or blank for ids in model.encode([w[1:] for w in words], num_threads=1)]
 
-    empty = model.encode("a" + PIECE_SPACE)[1:]  # the added blank alone
-
-    return _Words(split, lambda ws: [ids if w else empty for w, ids in zip(ws, model.encode(ws, num_threads=1))]), entries
+    return ask, entries
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -191,7 +176,7 @@ class _Runs:
         self._begin()
 
 
-def _expanded(ga: np.ndarray, gb: np.ndarray, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, groups: int) -> tuple[np.ndarray, ...]:
+def _expanded(ga: np.ndarray, gb: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Every A token with every B token of its group (both sorted by group): indexes of A, indexes of B."""
     n_b = np.bincount(gb, minlength=groups)
     start = np.cumsum(n_b) - n_b
@@ -219,7 +204,7 @@ def _records(doc_of_group: np.ndarray, ga: np.ndarray, gb: np.ndarray, a: np.nda
     for part in range(parts):
         of = slice(None) if parts == 1 else np.flatnonzero(a % parts == part)
         g, ids, w = ga[of], a[of], wa[of]
-        left, right = _expanded(g, gb, ids, b, w, wb, groups)
+        left, right = _expanded(g, gb, groups)
         keys = (_radix_first(ids)[left] << ID_BITS | b[right]) << DOC_BITS | doc_of_group[g][left] + first_doc
         order = np.argsort(keys.astype(np.uint64), kind="stable")
         keys, times = keys.astype(np.uint64)[order], (w[left] * wb[right])[order]
@@ -228,7 +213,7 @@ def _records(doc_of_group: np.ndarray, ga: np.ndarray, gb: np.ndarray, a: np.nda
 
 
 def _aligned(ids_a: list[list[int]], ids_b: list[list[int]], length_a: np.ndarray, length_b: np.ndarray) -> dict[str, np.ndarray]:
-    """Groups of some texts, all of whose token lists spell the same bytes on both sides."""
+    """Groups of some texts; token lists that do not spell the same bytes on both sides must be empty."""
     a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
     doc_a, doc_b = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (ids_a, ids_b))
     end_a, end_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
@@ -253,68 +238,139 @@ def _spelled(x: dict[str, np.ndarray], docs: int, texts: tuple[list[str], list[s
     return ["".join(map(every.__getitem__, listed[e - n : e]))[:-1] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
-def _spelling(entries: list[bytes], end: str) -> list[str]:
-    return [f"{i}," for i in range(len(entries))] + [f"{i}{end}" for i in range(len(entries))]
+DIGEST = "run long, doc int, id {id}, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, radix int, keys binary, docs binary"
 
 
-DIGEST = "run long, doc int, id {id}, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, radix int, keys binary, docs binary"
+class _Aligned:
+    """Words as both sides cut them: tokens, groups and pairs of each are found once, and texts put together from them.
+
+    Words are kept until ``KEPT`` of them (or eight times as many pairs) are
+    there; then it begins anew.
+    """
+
+    COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+    def __init__(self, model_a: str, model_b: str):
+        (self.ask_a, bytes_a), (self.ask_b, bytes_b) = byte_level(model_a), piece_level(model_b)
+        if max(len(bytes_a) // RADIX >> 15, len(bytes_b) >> ID_BITS):
+            raise ValueError("vocabularies of at most 2,097,152 entries")
+        self.bytes_a, self.bytes_b = bytes_a, bytes_b
+        self.length_a, self.length_b = (np.array([max(len(x), 1) for x in e]) for e in (bytes_a, bytes_b))
+        self.spelling = [f"{i}," for i in range(len(bytes_a))] + [f"{i}|" for i in range(len(bytes_a))], [f"{i}," for i in range(len(bytes_b))] + [f"{i};" for i in range(len(bytes_b))]
+        self._begin()
+
+    def _begin(self) -> None:
+        self.place: dict[str, int] = {}
+        self.spelled: list[str] = []
+        self.counts = {c: np.zeros(0, np.int64) for c in self.COUNTS}
+        self.bad = np.zeros(0, bool)  # words that a side does not spell
+        self.start, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        ids_a, ids_b = self.ask_a(words), self.ask_b(words)
+        entry_a, entry_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        bad = np.array([not b"".join(map(entry_a, a)) == w.encode() == b"".join(map(entry_b, b)) for w, a, b in zip(words, ids_a, ids_b)])
+        for n in np.flatnonzero(bad):
+            ids_a[n], ids_b[n] = [], []
+        x = _aligned(ids_a, ids_b, self.length_a, self.length_b)
+        links = np.bincount(x["ga"], minlength=len(x["doc"])) * np.bincount(x["gb"], minlength=len(x["doc"]))
+        count = lambda d: np.bincount(d, minlength=len(words))
+        n_links = np.zeros(len(words), np.int64)
+        np.add.at(n_links, x["doc"], links)
+        found = list(_records(x["doc"], x["ga"], x["gb"], x["a"], x["b"], 0))
+        records, times = (np.concatenate([f[k].astype(np.int64) for f in found]) for k in (0, 1))
+        word = records & (1 << DOC_BITS) - 1
+        order = np.argsort(word, kind="stable")
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.spelled += _spelled(x, len(words), self.spelling)
+        for c, values in zip(self.COUNTS, (count(x["doc_a"]), count(x["doc_b"]), count(x["doc"]), n_links)):
+            self.counts[c] = np.concatenate([self.counts[c], values])
+        self.bad = np.concatenate([self.bad, bad])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(count(word))])
+        self.pairs, self.times = np.concatenate([self.pairs, records[order] >> DOC_BITS]), np.concatenate([self.times, times[order]])
+
+    def texts(self, texts: list[str], runs: _Runs) -> tuple[dict[str, np.ndarray], list[str]]:
+        """Counts of each text and its groups; its records go to ``runs``."""
+        words = [blank_words(" " + t) if t and PIECE_SPACE not in t else [] for t in texts]
+        if len(self.place) > KEPT or len(self.pairs) > 8 * KEPT:
+            self._begin()
+        lacking = list(set().union(*words) - self.place.keys())
+        for at in range(0, len(lacking), 1 << DOC_BITS - 2):
+            self._learn(lacking[at : at + (1 << DOC_BITS - 2)])
+        sizes = np.array([len(w) for w in words])
+        flat = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        bad = np.bincount(doc, self.bad[flat], len(texts)) > 0
+        counts = {c: np.where(bad, 0, np.bincount(doc, v[flat], len(texts)).astype(np.int64)) for c, v in self.counts.items()}
+        ends, listed = np.cumsum(sizes).tolist(), flat.tolist()
+        spelled = ["" if b else ";".join(map(self.spelled.__getitem__, listed[e - n : e])) for e, n, b in zip(ends, sizes.tolist(), bad.tolist())]
+        good = ~bad[doc]
+        self._records(flat[good], doc[good] + runs.docs, runs)
+        return counts, spelled
+
+    def _records(self, flat: np.ndarray, doc: np.ndarray, runs: _Runs) -> None:
+        """Distinct (pair, document) records of all words, some pairs at a time where there are many."""
+        each = self.start[flat + 1] - self.start[flat]
+        parts = int(each.sum() // LINKS) + 1
+        for part in range(parts):
+            records, times = [], []
+            for at in range(0, len(flat), WORDS):
+                some, n = flat[at : at + WORDS], each[at : at + WORDS]
+                where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[some], n)
+                pairs = self.pairs[where]
+                of = slice(None) if parts == 1 else np.flatnonzero(pairs % parts == part)
+                records.append((pairs[of] << DOC_BITS | np.repeat(doc[at : at + WORDS], n)[of]).astype(np.uint64))
+                times.append(self.times[where[of]])
+            if records:
+                records, times = np.concatenate(records), np.concatenate(times)
+                order = np.argsort(records)
+                records, times = records[order], times[order]
+                first = np.flatnonzero(np.r_[True, records[1:] != records[:-1]])[: len(records)]
+                runs.add(records[first], np.add.reduceat(times, first) if len(first) else times)
+
+
+@lru_cache(maxsize=1)
+def _aligner(model_a: str, model_b: str) -> _Aligned:
+    """One for each Python worker."""
+    return _Aligned(model_a, model_b)
 
 
 def _tokenise(model_a: str, model_b: str, id_type: pa.DataType, keep_groups: bool) -> Callable:
     """For tasks: a row for each document, and after them the rows of runs."""
+    longs = [(c, pa.int64()) for c in _Aligned.COUNTS]
+    schema = pa.schema([("run", pa.int64()), ("doc", pa.int32()), ("id", id_type), *longs, ("groups", pa.string()), ("groups_sha256", pa.string()), ("radix", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
 
-    def schema() -> pa.Schema:
-        longs = [(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]
-        return pa.schema([("run", pa.int64()), ("doc", pa.int32()), ("id", id_type), *longs, ("groups", pa.string()), ("groups_sha256", pa.string()), ("radix", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-
-    def rows_of(runs: _Runs, ids: list, texts: list[str], sides: tuple) -> pa.RecordBatch:
-        (words_a, bytes_a, length_a), (words_b, bytes_b, length_b), spelling = sides
-        ids_a, ids_b = words_a.encode([f" {t}" if t else "" for t in texts]), words_b.encode(texts)
-        for n, t in enumerate(texts):
-            raw = f" {t}".encode()
-            if not t or b"".join(map(bytes_a.__getitem__, ids_a[n])) != raw or b"".join(map(bytes_b.__getitem__, ids_b[n])) != raw:
-                ids_a[n], ids_b[n] = [], []
-        x = _aligned(ids_a, ids_b, length_a, length_b)
-        for records, times in _records(x["doc"], x["ga"], x["gb"], x["a"], x["b"], runs.docs):
-            runs.add(records, times)
-        groups = len(x["doc"])
-        links = np.bincount(x["ga"], minlength=groups) * np.bincount(x["gb"], minlength=groups)
-        count = lambda d: np.bincount(d, minlength=len(texts))
-        n_links = np.zeros(len(texts), np.int64)
-        np.add.at(n_links, x["doc"], links)
-        spelled = _spelled(x, len(texts), spelling)
+    def rows_of(aligner: _Aligned, runs: _Runs, ids: list, texts: list[str]) -> pa.RecordBatch:
+        counts, spelled = aligner.texts(texts, runs)
+        none = [None] * len(texts)
         digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in spelled]
-        out = {"run": [runs.name] * len(texts), "doc": np.arange(runs.docs, runs.docs + len(texts)), "id": ids, "n_a": count(x["doc_a"]), "n_b": count(x["doc_b"]), "n_groups": count(x["doc"]), "n_links": n_links}
+        out = {"run": [runs.name] * len(texts), "doc": np.arange(runs.docs, runs.docs + len(texts)), "id": ids, **counts, "groups": spelled if keep_groups else none, "groups_sha256": digests, "radix": none, "keys": none, "docs": none}
         runs.docs += len(texts)
-        none = [None] * len(texts)
-        out |= {"groups": spelled if keep_groups else none, "groups_sha256": digests, "radix": none, "keys": none, "docs": none}
-        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema()], schema=schema())
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+    def closed(runs: _Runs) -> Iterator[pa.RecordBatch]:
+        runs.close()
+        for at in range(0, len(runs.rows), 16):
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in runs.rows[at : at + 16]], f.type) for f in schema], schema=schema)
+        runs.rows.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words_a, bytes_a), (words_b, bytes_b) = byte_level(model_a), piece_level(model_b)
-        if max(len(bytes_a) // RADIX >> 15, len(bytes_b) >> ID_BITS):
-            raise ValueError("vocabularies of at most 2,097,152 entries")
-        length_a, length_b = (np.array([max(len(x), 1) for x in e]) for e in (bytes_a, bytes_b))
-        sides = (words_a, bytes_a, length_a), (words_b, bytes_b, length_b), (_spelling(bytes_a, "|"), _spelling(bytes_b, ";"))
-        runs = _Runs(TaskContext.get().partitionId())
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            runs.close()
-            for at in range(0, len(runs.rows), 16):
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in runs.rows[at : at + 16]], f.type) for f in schema()], schema=schema())
-            runs.rows.clear()
-
-        for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
-            begin = size = 0
-            for n, t in enumerate(texts):
-                size += len(t) // 3
-                if size > BLOCK_TOKENS or n + 1 == len(texts):
-                    yield rows_of(runs, ids[begin : n + 1], texts[begin : n + 1], sides)
-                    begin, size = n + 1, 0
-                    if runs.held >= RUN or runs.docs >= 1 << DOC_BITS - 1:
-                        yield from flushed()
-        yield from flushed()
+        aligner, runs = _aligner(model_a, model_b), _Runs(TaskContext.get().partitionId())
+        gc.disable()  # many kept words, no cycles: walking them again and again took a quarter of the time
+        try:
+            for batch in batches:
+                ids, texts = batch.column("id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
+                begin = size = 0
+                for n, t in enumerate(texts):
+                    size += len(t) // 3
+                    if size > BLOCK_TOKENS or n + 1 == len(texts):
+                        yield rows_of(aligner, runs, ids[begin : n + 1], texts[begin : n + 1])
+                        begin, size = n + 1, 0
+                        if runs.held >= RUN or runs.docs >= 1 << DOC_BITS - 1:
+                            yield from closed(runs)
+            yield from closed(runs)
+        finally:
+            gc.enable()
 
     return run
 
