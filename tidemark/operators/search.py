@@ -101,14 +101,14 @@ def sync_index(rows: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def advanced_search(
     sessions: DataFrame, commands: DataFrame, commits: DataFrame, projects: DataFrame, query: str = "", project: str | None = None, since: int | None = None, until: int | None = None,
-    tags: DataFrame | None = None, wanted_tags: tuple[str, ...] = (), index: DataFrame | None = None, limit: int = 50, offset: int = 0,
+    tags: DataFrame | None = None, wanted_tags: tuple[str, ...] = (), index: DataFrame | None = None, limit: int | None = 50, offset: int = 0,
 ) -> DataFrame:
     """One search over sessions: query, project, range and tags narrow it; then exactness, relevance and recency rank it.
 
     An ``index`` (see ``index_rows``) is used where it has what the base has;
     else, and for a blank query, the base is searched. Bounds are inclusive.
     Returns id, start_time, tier and score (0 without an index), the ``limit``
-    rows after the first ``offset``.
+    rows (None: all) after the first ``offset``.
     """
     chosen = sessions.where(F.col("start_time").between(since if since is not None else 0, until if until is not None else FAR_FUTURE))
     if project:
@@ -120,7 +120,8 @@ def advanced_search(
     else:
         found = standard_search(chosen, commands, commits, projects, query, limit=None).withColumn("score", F.lit(0.0))
     order = [F.col("tier"), F.col("score").desc(), F.col("start_time").desc(), F.col("id").desc()]
-    return found.select("id", "start_time", F.col("tier").cast("int").alias("tier"), "score").orderBy(*order).offset(offset).limit(limit)
+    out = found.select("id", "start_time", F.col("tier").cast("int").alias("tier"), "score").orderBy(*order).offset(offset)
+    return out if limit is None else out.limit(limit)
 
 
 def index_search(rows: DataFrame, sessions: DataFrame, commands: DataFrame, projects: DataFrame, query: str, limit: int | None = 50) -> DataFrame:

@@ -67,8 +67,8 @@ r AS (SELECT id, round(ln((n - df + 0.5) / (df + 0.5) + 1 + 1e-9) * tf * 2.5 / (
 SELECT s.id, s.start_time, 1 AS tier, r.score FROM sessions s JOIN r USING (id) WHERE s.start_time <= {NOW} - 604800""")
 def _advanced_index(c: Core) -> DataFrame:
     rows = search.index_rows(c.commands, c.commits, c.sessions)
-    found = search.advanced_search(c.sessions, c.commands, linked(c), c.projects, "docker", until=NOW - 604800, index=rows, limit=1_000_000)
-    every = search.advanced_search(c.sessions, c.commands, linked(c), c.projects, "docker", index=rows, limit=1_000_000)
+    found = search.advanced_search(c.sessions, c.commands, linked(c), c.projects, "docker", until=NOW - 604800, index=rows, limit=None)
+    every = search.advanced_search(c.sessions, c.commands, linked(c), c.projects, "docker", index=rows, limit=None)
     return found.drop("score").join(every.select("id", F.round("score", 6).alias("score")), "id")
 
 
