@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.adapters import GAP, Core
-from tidemark.operators import search, sessions
+from tidemark.operators import neighbours, search, sessions
 from tidemark.operators.index import LAST, StoredIndex, stored_search
 from tidemark.plans import more  # noqa: F401  (its SQL is used here)
 from tidemark.plans.queries import BM25_SQL, KEYS, NOW, SQL, query
@@ -91,3 +91,13 @@ def _sessions_spread(c: Core) -> DataFrame:
 
 
 SQL["sessions_spread"] = SQL["sessions_gap"]
+
+
+@query("nearest_neighbours", """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, round(CASE WHEN q.n * x.n = 0 THEN 0 ELSE list_dot_product(q.e, x.e) / (q.n * x.n) END, 9) AS score FROM u q, u x WHERE q.vec_id % 50 = 0)
+SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""", bare=True)
+def _neighbours(c: Core) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, among all vectors."""
+    v = c.table("embeddings").select("vec_id", "embedding")
+    found = neighbours.nearest_neighbours(neighbours.build_cells(v, "vec_id", "embedding"), v.where("vec_id % 50 = 0"), "vec_id", "embedding")
+    return found.withColumn("score", F.round("score", 6))
