@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import numbered
-from tidemark.tables import written
+from tidemark.tables import small_batches, written
 
 SAMPLE = 20_000  # vectors, on average, from which the cells are trained
 ROUNDS = 8
-BLOCK = 512  # vectors of a block
-QUERIES = 128  # queries that meet a block at a time
+BLOCK_BYTES = 1 << 16  # of the vectors of a block, and of the queries that meet it at a time
+PRODUCT = 512  # vectors that meet all centres at a time
 HELD = 20_000  # queries whose best a task holds before it passes them on
 DIGITS = 9  # scores that agree so far are ties, and the smaller id is nearer
 
@@ -63,10 +63,10 @@ def _nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarra
     """The cell of each vector and its distance from the centre, by blocked products."""
     cell, far = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
     half = (centres**2).sum(1) / 2
-    for at in range(0, len(vectors), BLOCK):
-        v = vectors[at : at + BLOCK]
-        cell[at : at + BLOCK] = best = np.argmax(v @ centres.T - half, axis=1)
-        far[at : at + BLOCK] = np.linalg.norm(v - centres[best], axis=1)
+    for at in range(0, len(vectors), PRODUCT):
+        v = vectors[at : at + PRODUCT]
+        cell[at : at + PRODUCT] = best = np.argmax(v @ centres.T - half, axis=1)
+        far[at : at + PRODUCT] = np.linalg.norm(v - centres[best], axis=1)
     return cell, far
 
 
@@ -76,6 +76,7 @@ def build_cells(vectors: DataFrame, id_col: str, vector_col: str, cells: int = 2
     ``cells`` is a parameter, not a function of the table; null vectors are in no
     cell. Ids are whole numbers; repeated rows are in the index each.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     count = rows.count()
     drawn = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, count)))
@@ -93,7 +94,7 @@ def build_cells(vectors: DataFrame, id_col: str, vector_col: str, cells: int = 2
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell), pa.array(far), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "cell", "far", "v"])
 
     placed = numbered(rows.mapInArrow(place, "id long, cell long, far double, v binary"), ["cell"], ["far", "id"])
-    cut = placed.groupBy("cell", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.max("far").alias("reach"), F.array_sort(F.collect_list(F.struct("place", "id", "v"))).alias("x"))  # at most BLOCK
+    cut = placed.groupBy("cell", F.floor(F.col("place") / _together(centres)).alias("block")).agg(F.max("far").alias("reach"), F.array_sort(F.collect_list(F.struct("place", "id", "v"))).alias("x"))  # at most BLOCK_BYTES of vectors
     blocks = written(cut.select("cell", "block", "reach", F.col("x.id").alias("ids"), F.col("x.v").alias("vectors")), "cells")
     radius = np.full(len(centres), -np.inf)
     for r in blocks.groupBy("cell").agg(F.max("reach").alias("r")).collect():  # a row for each cell
@@ -101,6 +102,11 @@ def build_cells(vectors: DataFrame, id_col: str, vector_col: str, cells: int = 2
     return Cells(centres, radius, blocks)
 
 
+def _together(centres: np.ndarray) -> int:
+    """Vectors in BLOCK_BYTES."""
+    return max(8, BLOCK_BYTES // (8 * max(1, centres.shape[1])))
+
+
 def _matrix(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs)).reshape(len(blobs), -1)
 
@@ -110,10 +116,10 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _scored(blocks: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _scored(blocks: DataFrame, pairs: DataFrame, k: int, together: int) -> DataFrame:
     """(q, id, score): the k best of each query over the cells that ``pairs`` (q, v, cell, dot, least) name."""
-    dealt = numbered(pairs, ["cell"], ["q"]).groupBy("cell", F.floor(F.col("place") / QUERIES).alias("part"))
-    dealt = dealt.agg(F.collect_list(F.struct("q", "v", "dot", "least")).alias("asked"))  # at most QUERIES
+    dealt = numbered(pairs, ["cell"], ["q"]).groupBy("cell", F.floor(F.col("place") / together).alias("part"))
+    dealt = dealt.agg(F.collect_list(F.struct("q", "v", "dot", "least")).alias("asked"))  # at most `together`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -179,10 +185,10 @@ def nearest_neighbours(index: Cells, queries: DataFrame, id_col: str, vector_col
         return run
 
     kind = "q long, v binary, cell long, dot double, least double"
-    found = written(_scored(index.blocks, asked.mapInArrow(cells(True), kind), k), "near")
+    found = written(_scored(index.blocks, asked.mapInArrow(cells(True), kind), k, _together(centres)), "near")
     if exact:
         least = found.groupBy("q").agg(F.min("score").alias("s"), F.count("*").alias("n"))
         bound = F.when(F.col("n") >= k, F.col("s") - 10.0**-DIGITS).otherwise(F.lit(float("-inf")))
         again = asked.join(least, "q", "left").select("q", "v", F.coalesce(bound, F.lit(float("-inf"))).alias("least"))
-        found = _top(found.unionByName(_scored(index.blocks, again.mapInArrow(cells(False), kind), k)), k)
+        found = _top(found.unionByName(_scored(index.blocks, again.mapInArrow(cells(False), kind), k, _together(centres))), k)
     return found.select(F.col("q").alias("query_id"), "id", "score")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.matching import assign_once, similar_texts
+
 YEAR = 365 * 86400
 
 
@@ -127,36 +126,13 @@ def match_key(text: Column) -> Column:
 def match_commits(commands: DataFrame, commits: DataFrame, by: list[str], threshold: float = 0.85) -> DataFrame:
     """Commit commands (message, position) and commits (message, timestamp, hash) of like messages, each commit used once.
 
-    The equal keys are messages of one repository and near length; pairs whose
-    lengths rule out the threshold are dropped in the join; the ratio and the
-    greedy choice by position, ratio and age run per repository.
+    In the order of positions (unique within the keys), each command takes the
+    unused commit with the highest ratio, of equal ones the oldest; a ratio of
+    ``threshold`` at least (over 0.7). Empty messages match nothing.
     """
-    a = commands.select(*by, "position", match_key(F.col("message")).alias("a")).withColumn("__la", F.length("a"))
-    b = commits.select(*by, "hash", F.col("timestamp").alias("t"), match_key(F.col("message")).alias("b")).withColumn("__lb", F.length("b"))
-    step = 20
-    a = a.withColumn("__band", F.explode(F.sequence(F.floor(F.col("__la") * (threshold / (2 - threshold)) / step), F.floor(F.col("__la") * ((2 - threshold) / threshold) / step))))
-    b = b.withColumn("__band", F.floor(F.col("__lb") / step))
-    bound = 2 * F.least("__la", "__lb") / (F.col("__la") + F.col("__lb")) >= threshold
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
-
-    pairs = a.join(b, [*by, "__band"]).where(bound).withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= threshold)
-    pairs = pairs.select(*by, "position", "hash", "t", "ratio")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for _, options in pdf.sort_values(["position", "ratio", "t"], ascending=[True, False, True]).groupby("position", sort=True):
-            for row in options.itertuples(index=True):
-                if row.hash not in used:
-                    used.add(row.hash)
-                    keep.append(row.Index)
-                    break
-        return pdf.loc[keep]
-
-    return pairs.groupBy(*by).applyInPandas(choose, schema)
+    asking = commands.select(*by, "position", match_key(F.col("message")).alias("a"))
+    offers = commits.select(*by, "hash", F.col("timestamp").alias("t"), match_key(F.col("message")).alias("b"))
+    return assign_once(asking, offers, similar_texts(asking, offers, by, threshold), by)
 
 
 def recover(rows: DataFrame, keys: list[str], artifacts: DataFrame, now: int) -> DataFrame:

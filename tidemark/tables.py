@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Fewer rows to a Python batch than Spark's default of 10,000, for wide rows; a setting of one's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame over the written rows, which survive the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}/{name}"
