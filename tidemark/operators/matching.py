@@ -19,13 +19,13 @@ def _pairs_of_letters(text: Column) -> Column:
 
 
 def _least_common(total: Column, threshold: float) -> Column:
-    """Neighbouring pairs that two texts of that length together must share.
+    """Neighbouring pairs that two texts of that length together, or more, must share.
 
     With M characters matched in blocks, each unmatched one of the first text
     breaks two of its pairs at most and each of the second one: 3 M - total - 1
     stay, and M is at least half the threshold of the total.
     """
-    return 3 * F.ceil(total * (threshold / 2) - 1e-9) - total - 1
+    return F.ceil(total * (1.5 * threshold - 1) - 1 - 1e-9)
 
 
 @F.pandas_udf(T.DoubleType())
