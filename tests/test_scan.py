@@ -30,8 +30,8 @@ def test_scan_is_a_window(spark, users):
     assert parts.select(scan.PART).distinct().count() > 1
     w = Window.partitionBy("user_id").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    got = scan.scan(parts, ["user_id"], order, {"p": F.col("v")}, {"r": F.col("v")}, {"l": F.col("v")}).drop(scan.PART)
-    want = rows.select("*", F.lag("v").over(w).alias("p"), F.coalesce(F.sum("v").over(upto), F.lit(0)).alias("r"), F.last("v", True).over(upto).alias("l"))
+    got = scan.scan(parts, ["user_id"], order, {"p": F.col("v")}, {"r": F.col("v")}, {"l": F.col("v")}, {"h": F.col("v")}).drop(scan.PART)
+    want = rows.select("*", F.lag("v").over(w).alias("p"), F.coalesce(F.sum("v").over(upto), F.lit(0)).alias("r"), F.last("v", True).over(upto).alias("l"), F.max("v").over(upto).alias("h"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     places = scan.numbered(rows, ["user_id"], order).collect()
     assert sorted((r.user_id or -1, r.place) for r in places) == sorted((r.user_id or -1, r.n) for r in rows.select("user_id", (F.row_number().over(w) - 1).alias("n")).collect())

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import posixpath
 import shlex
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import file_arguments, humanize_project
+from tidemark.operators.scan import parted, scan
 
 
 def ancestors(path: Column) -> Column:
@@ -112,6 +115,43 @@ def nearest_activity(sessions: DataFrame, commands: DataFrame, keys: list[str],
     return near.groupBy("id").agg(F.min_by("project_id", F.struct("gap", "os", "other")).alias("inferred"))
 
 
+def nearest_in_order(sessions: DataFrame, commands: DataFrame, keys: list[str], window: int = 3600) -> DataFrame:
+    """(keys, id, inferred): as ``nearest_activity``, but a session assigned in this pass counts for those after it.
+
+    Sessions go by (start_time, id); of equally near ones the first in that order
+    wins. A pause of ``window`` seconds since everything before cuts a log into
+    pieces that cannot reach each other; each is swept by itself, so a task
+    holds one piece, not a user.
+    """
+    git = commands.where(F.col("command").contains("git ")).select(F.col("session_id").alias("id")).distinct().withColumn("asks", F.lit(True))
+    end = F.coalesce("end_time", "start_time")
+    rows = sessions.select(*keys, "id", "start_time", end.alias("end"), F.col("project_id").cast("long").alias("project")).join(git, "id", "left")
+    order = ["start_time", "id"]
+    parts = scan(parted(rows, keys, order), keys, order, highest={"until": F.col("end")})
+    parts = scan(parts, keys, order, previous={"before": F.col("until")})
+    parts = scan(parts, keys, order, running={"piece": F.coalesce(F.col("start_time") - F.col("before") >= window, F.lit(True)).cast("long")})
+    kind = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), f"id {rows.schema['id'].dataType.simpleString()}, inferred long"])
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        start, end = pdf["start_time"].to_numpy(), pdf["end"].to_numpy()
+        known = pdf["project"].notna().to_numpy()
+        project = pdf["project"].fillna(0).astype("int64").to_numpy().copy()
+        found = []
+        for i in np.flatnonzero(~known & (pdf["asks"] == True).to_numpy()):  # noqa: E712
+            gap = np.minimum(np.abs(start[i] - end), np.abs(start - end[i]))
+            gap = np.where(known & (gap < window), gap, window)
+            j = int(np.argmin(gap))
+            if gap[j] < window:
+                project[i], known[i] = project[j], True
+                found.append(i)
+        return pdf.iloc[found].assign(inferred=project[found])[[*keys, "id", "inferred"]]
+
+    wanted = parts.groupBy(*keys, "piece").agg(F.bool_or(F.col("asks") & F.col("project").isNull()).alias("open")).where("open")
+    same = [parts[k].eqNullSafe(wanted[k]) for k in [*keys, "piece"]]
+    return parts.join(wanted, reduce(Column.__and__, same), "left_semi").groupBy(*keys, "piece").applyInPandas(sweep, kind)
+
+
 def propagate_neighbours(sessions: DataFrame, keys: list[str], window: int = 7200) -> DataFrame:
     """Fill unassigned sessions from their neighbours, in order; a filled one counts as previous for the next.
 

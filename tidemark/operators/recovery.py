@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.matching import assign_once, similar_texts
+from tidemark.operators.scan import numbered
 
 YEAR = 365 * 86400
 
@@ -84,6 +87,57 @@ def place_bursts(rows: DataFrame, keys: list[str], mtime: int, order: str = "pos
     return rows.withColumn("timestamp", (placed * 86400 + 16 * 3600 + (size - 1 - F.pmod(back, F.lit(size))) * 10).cast("long"))
 
 
+def _in_hours(t: Column) -> Column:
+    """The time itself within 9 to 18 o'clock on a working day, else 16 o'clock of the working day before it."""
+    day, hour = F.floor(t / 86400), F.floor(F.pmod(t, F.lit(86400)) / 3600)
+    on = F.when(hour < 9, day - 1).otherwise(day)
+    weekday = F.pmod(on + 3, F.lit(7))  # 0 is Monday
+    moved = (hour < 9) | (hour >= 18) | (weekday >= 5)
+    return F.when(moved, (on - F.greatest(F.lit(0), weekday - 4)) * 86400 + 16 * 3600).otherwise(t).cast("long")
+
+
+def place_bursts_apart(rows: DataFrame, keys: list[str], mtime: int, order: str = "position", size: int = 20) -> DataFrame:
+    """Times for a log without any, evenly over a year (or a day for each burst of ``size`` rows, if longer) that ends 30 days before ``mtime``.
+
+    A burst begins within working hours, its rows ten seconds apart. One that
+    would not begin after the last burst placed forwards has ended takes the next
+    free slot backwards instead: an hour before the last one, within working
+    hours. Bursts are a day apart before they are moved, and none is moved
+    further than four days, so only the few bursts before one decide on its
+    place: each burst is worked out by itself, from the last one that is surely
+    placed forwards.
+    """
+    reach, length = 8, size * 10
+    numbered_rows = numbered(rows, keys, [order], "__place")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    if keys:
+        counts = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], "__n")
+        numbered_rows = numbered_rows.join(counts, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]))
+    else:
+        numbered_rows = numbered_rows.crossJoin(F.broadcast(counts))  # one row
+    bursts = F.ceil(F.col("__n") / size)
+    span = F.greatest(bursts * 86400, F.lit(365 * 86400))
+    begin = F.lit(mtime - 30 * 86400) - span
+    wanted = lambda i: _in_hours((begin + i / bursts * span).cast("long"))
+
+    burst = F.floor(F.col("__place") / size)
+    steps = lambda n: F.array(*map(F.lit, range(n)))
+    near = F.transform(F.filter(steps(2 * reach), lambda k: burst >= k), lambda k: wanted(burst - k))  # where the burst and those before it would begin
+    some = numbered_rows.withColumn("__near", near)
+    near = F.col("__near")
+    sure = lambda k: (k < F.size(near)) & F.coalesce(F.get(near, k) > F.array_max(F.slice(near, k + 2, reach)) + length, F.lit(True))
+    first = F.filter(steps(reach), sure)[0]
+    state = F.struct(F.lit(0).cast("long").alias("ahead"), F.lit(0).cast("long").alias("behind"), F.lit(0).cast("long").alias("at"))
+
+    def step(s: Column, t: Column) -> Column:
+        hit = t <= s["ahead"]
+        at = F.when(hit, _in_hours(s["behind"] - 3600)).otherwise(t)
+        return F.struct(F.when(hit, s["ahead"]).otherwise(at + length).alias("ahead"), at.alias("behind"), at.alias("at"))
+
+    walked = F.aggregate(F.reverse(F.slice(near, F.lit(1), first + 1)), state, step)["at"]
+    return some.withColumn("timestamp", walked + F.pmod("__place", F.lit(size)) * 10).select(*rows.columns, "timestamp")
+
+
 def inline_date(command: Column) -> Column:
     """The date or epoch that a command spells out, or null."""
     stamp = F.coalesce(

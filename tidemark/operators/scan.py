@@ -42,38 +42,40 @@ def _edges(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.join(ends, parts[PART] == ends["__of"]).where(key.eqNullSafe(F.col("__low")) | key.eqNullSafe(F.col("__high"))).drop("__of", "__low", "__high")
 
 
-def scan(parts: DataFrame, keys: list[str], order: list[str], previous: dict[str, Column] | None = None, running: dict[str, Column] | None = None, latest: dict[str, Column] | None = None) -> DataFrame:
+def scan(parts: DataFrame, keys: list[str], order: list[str], previous: dict[str, Column] | None = None, running: dict[str, Column] | None = None, latest: dict[str, Column] | None = None, highest: dict[str, Column] | None = None) -> DataFrame:
     """Adds columns to ``parted`` rows.
 
     ``previous``: the value of the row before within the keys, null at the first;
     ``running``: the sum up to and including the row (of whole numbers; null
     counts as 0); ``latest``: the last value that is not null up to and including
-    the row. Null keys are keys like any other.
+    the row; ``highest``: the greatest so far. Null keys are keys like any other.
     """
-    previous, running, latest = previous or {}, running or {}, latest or {}
+    previous, running, latest, highest = previous or {}, running or {}, latest or {}, highest or {}
     w = Window.partitionBy(PART, *keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns(
         {"__first": F.row_number().over(w) == 1}
         | {n: F.lag(c).over(w) for n, c in previous.items()} | {n: F.sum(F.coalesce(c, F.lit(0))).over(upto) for n, c in running.items()}
-        | {n: F.last(c, ignorenulls=True).over(upto) for n, c in latest.items()}
+        | {n: F.last(c, ignorenulls=True).over(upto) for n, c in latest.items()} | {n: F.max(c).over(upto) for n, c in highest.items()}
     )
     place = F.struct(*order)
     ends = _edges(parts, keys).groupBy(PART, *keys).agg(
         F.count("*").alias("__n"), *[F.max_by(c, place).alias(n) for n, c in previous.items()], *[F.sum(F.coalesce(c, F.lit(0))).alias(n) for n, c in running.items()],
-        *[F.max_by(c, F.when(c.isNotNull(), place)).alias(n) for n, c in latest.items()],
+        *[F.max_by(c, F.when(c.isNotNull(), place)).alias(n) for n, c in latest.items()], *[F.max(c).alias(n) for n, c in highest.items()],
     )
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
         F.col(PART).alias(f"__{PART}"), *[F.col(k).alias(f"__{k}") for k in keys], *[F.last(n).over(before).alias(f"__in_{n}") for n in previous],
         *[F.sum(n).over(before).alias(f"__in_{n}") for n in running], *[F.last(n, ignorenulls=True).over(before).alias(f"__in_{n}") for n in latest],
+        *[F.max(n).over(before).alias(f"__in_{n}") for n in highest],
     )
     out = local.join(F.broadcast(carry), _same(local, carry, [PART, *keys]), "left")  # at most two rows for each part
     out = out.withColumns(
         {n: F.when(F.col("__first"), F.col(f"__in_{n}")).otherwise(F.col(n)) for n in previous}
         | {n: F.col(n) + F.coalesce(F.col(f"__in_{n}"), F.lit(0)) for n in running} | {n: F.coalesce(n, f"__in_{n}") for n in latest}
+        | {n: F.greatest(n, f"__in_{n}") for n in highest}
     )
-    return out.select(*parts.columns, *previous, *running, *latest)
+    return out.select(*parts.columns, *previous, *running, *latest, *highest)
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:

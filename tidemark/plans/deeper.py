@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.adapters import GAP, Core
-from tidemark.operators import neighbours, search, sessions
+from tidemark.adapters import COMMANDS_SQL, GAP, Core
+from tidemark.operators import attribution, neighbours, recovery, search, sessions
 from tidemark.operators.index import LAST, StoredIndex, stored_search
 from tidemark.plans import more  # noqa: F401  (its SQL is used here)
 from tidemark.plans.queries import BM25_SQL, KEYS, NOW, SQL, query
@@ -101,3 +101,29 @@ def _neighbours(c: Core) -> DataFrame:
     v = c.table("embeddings").select("vec_id", "embedding")
     found = neighbours.nearest_neighbours(neighbours.build_cells(v, "vec_id", "embedding"), v.where("vec_id % 50 = 0"), "vec_id", "embedding")
     return found.withColumn("score", F.round("score", 6))
+
+
+@query("nearest_in_order")
+def _nearest_in_order(c: Core) -> DataFrame:
+    """Every third session has a project; the others get theirs in order, each from what is assigned by then."""
+    sparse = c.sessions.withColumn("project_id", F.when(F.pmod("id", F.lit(3)) == 0, F.pmod("id", F.lit(4))))
+    return attribution.nearest_in_order(sparse, c.commands, KEYS, 86400)
+
+
+def _in_hours(t: str) -> str:
+    """SQL of the working hours rule."""
+    day = f"(({t}) // 86400 - CASE WHEN ({t}) % 86400 < 32400 THEN 1 ELSE 0 END)"
+    return f"CASE WHEN ({t}) % 86400 < 32400 OR ({t}) % 86400 >= 64800 OR ({day} + 3) % 7 >= 5 THEN ({day} - greatest(0, ({day} + 3) % 7 - 4)) * 86400 + 57600 ELSE {t} END"
+
+
+@query("burst_collisions", f"""{COMMANDS_SQL.rstrip().replace("WITH", "WITH RECURSIVE", 1)},
+p AS (SELECT id AS position, command, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM commands),
+z AS (SELECT *, greatest(bursts * 86400, 31536000) AS span FROM (SELECT (max(n) + 19) // 20 AS bursts FROM p)),
+b AS (SELECT i, {NOW} - 2592000 - span + trunc(i::DOUBLE / bursts * span)::BIGINT AS raw FROM z, range(bursts) r(i)),
+t AS (SELECT i, ({_in_hours("raw")})::BIGINT AS t FROM b),
+w AS (SELECT 0::BIGINT AS i, t AS "at", t + 200 AS ahead FROM t WHERE i = 0
+  UNION ALL SELECT t.i, CASE WHEN t.t <= w.ahead THEN ({_in_hours('w."at" - 3600')})::BIGINT ELSE t.t END, CASE WHEN t.t <= w.ahead THEN w.ahead ELSE t.t + 200 END FROM w JOIN t ON t.i = w.i + 1)
+SELECT position, command, w."at" + place % 20 * 10 AS timestamp FROM p JOIN w ON w.i = place // 20""", bare=True)
+def _collisions(c: Core) -> DataFrame:
+    """All commands as one log without times."""
+    return recovery.place_bursts_apart(c.commands.select(F.col("id").alias("position"), "command"), [], NOW)
