@@ -51,8 +51,20 @@ def consolidate_stream(stream: DataFrame, keys: list[str], done: DataFrame, targ
 
     Beside the chunks, a batch leaves the commands that are in none yet and the
     high-water mark of each key, starting from that of ``done``; the next one
-    reads only these. A batch that is run again writes the same folders.
+    reads only these. Commands that come at or before their key's mark are in no
+    chunk: they are kept in ``target``/late, a folder for each batch, from which
+    ``resession`` can make chunks anew. The time at which a batch is taken up is
+    kept too, so a batch that is run again writes the same folders.
     """
+    stream.sparkSession.createDataFrame([], "batch long, now long").write.mode("ignore").parquet(f"{target}/times")
+
+    def time_of(spark: SparkSession, number: int) -> int:
+        times = spark.read.schema("batch long, now long").parquet(f"{target}/times")
+        known = times.where(F.col("batch") == number).agg(F.min("now")).first()[0]
+        if known is None:
+            known = now()
+            spark.createDataFrame([(number, known)], "batch long, now long").write.mode("append").parquet(f"{target}/times")
+        return known
 
     def fold(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
@@ -60,7 +72,9 @@ def consolidate_stream(stream: DataFrame, keys: list[str], done: DataFrame, targ
         marks = spark.read.schema(marked.schema).parquet(f"{target}/marks/v{number}") if number else marked
         waiting = spark.read.schema(batch.schema).parquet(f"{target}/waiting/v{number}") if number else batch.limit(0)
         seen = waiting.unionByName(batch)
-        consolidate(seen, marks, keys, now()).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
+        late = batch.join(marks.withColumnRenamed("end_time", "__mark"), keys).where(F.col("timestamp") <= F.col("__mark")).drop("__mark")
+        late.write.mode("overwrite").parquet(f"{target}/late/batch={number}")
+        consolidate(seen, marks, keys, time_of(spark, number)).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
         fresh = spark.read.parquet(f"{target}/chunks/batch={number}").select(*keys, "end_time")
         latest = marks.unionByName(fresh).groupBy(*keys).agg(F.max("end_time").alias("end_time"))
         latest.write.mode("overwrite").parquet(f"{target}/marks/v{number + 1}")
