@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.adapters import COMMANDS_SQL, GAP, Core
-from tidemark.operators import attribution, neighbours, recovery, search, sessions
+from tidemark.operators import attribution, neighbours, recovery, search, sessions, sketches
 from tidemark.operators.index import LAST, StoredIndex, stored_search
 from tidemark.plans import more  # noqa: F401  (its SQL is used here)
-from tidemark.plans.queries import BM25_SQL, KEYS, NOW, SQL, query
+from tidemark.plans.queries import BM25_SQL, CUTOFF, KEYS, NOW, SQL, query
+from tidemark.streaming.merge import MergeTable
 from tidemark.tables import shared_dir, written
 
 
@@ -127,3 +128,39 @@ SELECT position, command, w."at" + place % 20 * 10 AS timestamp FROM p JOIN w ON
 def _collisions(c: Core) -> DataFrame:
     """All commands as one log without times."""
     return recovery.place_bursts_apart(c.commands.select(F.col("id").alias("position"), "command"), [], NOW)
+
+
+@query("merge_on_read", f"""b0 AS (SELECT user_id, start_time, end_time, 'first' AS summary FROM sessions WHERE start_time < {CUTOFF}),
+b1 AS (SELECT user_id, start_time, end_time + 1 AS end_time, 'second' AS summary FROM sessions WHERE start_time >= {CUTOFF} - 604800),
+b2 AS (SELECT user_id, start_time, end_time + 2 AS end_time, CASE WHEN id % 2 = 0 THEN 'third' END AS summary FROM sessions WHERE id % 3 = 0),
+k AS (SELECT DISTINCT user_id, start_time FROM sessions)
+SELECT k.user_id, k.start_time, coalesce(b2.end_time, b1.end_time, b0.end_time) AS end_time, coalesce(b0.summary, b1.summary, b2.summary) AS ai_summary
+FROM k LEFT JOIN b0 USING (user_id, start_time) LEFT JOIN b1 USING (user_id, start_time) LEFT JOIN b2 USING (user_id, start_time)""")
+def _merge_on_read(c: Core) -> DataFrame:
+    """Three batches of sessions, the second and third of which change some of the first; buckets with two batches are put together anew."""
+    s = written(c.sessions.select("user_id", "id", "start_time", "end_time"), "sessions")
+    part = lambda rows, later, summary: rows.select("user_id", "start_time", (F.col("end_time") + later).alias("end_time"), summary.cast("string").alias("ai_summary"), F.lit(later).alias("nth"))
+    batches = [
+        part(s.where(F.col("start_time") < CUTOFF), 0, F.lit("first")), part(s.where(F.col("start_time") >= CUTOFF - 604800), 1, F.lit("second")),
+        part(s.where("id % 3 = 0"), 2, F.when(F.col("id") % 2 == 0, "third")),
+    ]
+    table = MergeTable(c.spark, _folder(c, "merged"), batches[0].schema, ["user_id", "start_time"], {"end_time": "new", "ai_summary": "first_old"}, "nth", buckets=8, most=2)
+    for number, rows in enumerate(batches):
+        table.write(rows, number)
+    return table.read()
+
+
+@query("sketched_ranges", f"""r(first, last) AS (VALUES (DATE '2024-01-01', DATE '2024-01-07'), (DATE '2024-01-10', DATE '2024-01-31'), (DATE '2024-01-15', DATE '2024-01-15')),
+x AS (SELECT r.*, c.command FROM r JOIN commands c ON make_timestamp(c.timestamp * 1000000)::DATE BETWEEN first AND last)
+SELECT first, last, count(*) AS n, count(DISTINCT command) AS exact, true AS near FROM x GROUP BY ALL""")
+def _ranges(c: Core) -> DataFrame:
+    """Distinct commands of some ranges of days by day sketches, beside the exact number: ``near`` is within 3 %."""
+    days = written(sketches.day_sketches(c.commands, [], "timestamp", "command", "id"), "days")
+    out = None
+    for first, last in (("2024-01-01", "2024-01-07"), ("2024-01-10", "2024-01-31"), ("2024-01-15", "2024-01-15")):
+        a, b = F.lit(first).cast("date"), F.lit(last).cast("date")
+        about = sketches.over_days(days, [], a, b)
+        exact = c.commands.where(F.to_date(F.timestamp_seconds("timestamp")).between(a, b)).agg(F.countDistinct("command").alias("exact"))
+        row = about.crossJoin(F.broadcast(exact)).select(a.alias("first"), b.alias("last"), "n", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
