@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.adapters import COMMANDS_SQL, GAP, Core
@@ -12,6 +12,7 @@ from tidemark.operators import attribution, neighbours, recovery, search, sessio
 from tidemark.operators.index import LAST, StoredIndex, stored_search
 from tidemark.plans import more  # noqa: F401  (its SQL is used here)
 from tidemark.plans.queries import BM25_SQL, CUTOFF, KEYS, NOW, SQL, query
+from tidemark.sources import history
 from tidemark.streaming.merge import MergeTable
 from tidemark.tables import shared_dir, written
 
@@ -164,3 +165,33 @@ def _ranges(c: Core) -> DataFrame:
         row = about.crossJoin(F.broadcast(exact)).select(a.alias("first"), b.alias("last"), "n", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"))  # one row each
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def _history_files(c: Core, kind: str, which: int, line: Column) -> str:
+    """A third of the users' commands as history files of a shell, in order of time."""
+    rows = c.commands.where(F.pmod("user_id", F.lit(3)) == which).withColumn("shard", F.pmod("user_id", F.lit(5)))
+    folder = _folder(c, kind)
+    rows.repartition("shard").sortWithinPartitions("shard", "timestamp", "id").select("shard", line.alias("value")).write.partitionBy("shard").text(folder)
+    return folder
+
+
+@query("histories", "SELECT DISTINCT timestamp, command FROM raw")
+def _histories(c: Core) -> DataFrame:
+    """Commands written as zsh, bash and fish histories, read back, and merged by time and text."""
+    t, command = F.col("timestamp").cast("string"), F.col("command")
+    kinds = {"zsh": F.concat(F.lit(": "), t, F.lit(":0;"), command), "bash": F.concat(F.lit("#"), t, F.lit("\n"), command), "fish": F.concat(F.lit("- cmd: "), command, F.lit("\n  when: "), t)}
+    found = None
+    for which, (kind, line) in enumerate(kinds.items()):
+        rows = history.read_histories(c.spark, _history_files(c, kind, which, line), kind)
+        found = rows if found is None else found.unionByName(rows)
+    return history.merge_histories(found, []).select("timestamp", "command")
+
+
+@query("commit_log", "SELECT hash, timestamp, message FROM commits")
+def _commit_log(c: Core) -> DataFrame:
+    """Commits written as a log of ``hash|epoch|subject`` lines, some of them malformed, and read back."""
+    folder = _folder(c, "log")
+    lines = c.commits.select(F.concat_ws("|", "hash", F.col("timestamp").cast("string"), "message").alias("value"))
+    bad = c.commits.select(F.explode(F.array(F.col("hash"), F.concat("hash", F.lit("|soon|x")), F.lit(""))).alias("value"))
+    lines.union(bad).write.text(folder)
+    return history.read_commit_log(c.spark, folder)

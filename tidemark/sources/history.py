@@ -87,6 +87,9 @@ def _powershell(lines: list[str]) -> Iterator[Record]:
             yield None, None, text
 
 
+DECODERS = {"zsh": _zsh, "bash": _bash, "fish": _fish, "powershell": _powershell}
+
+
 def decoder_for(path: str):
     name = path.rsplit("/", 1)[-1].lower()
     if "zsh" in name:
@@ -98,11 +101,11 @@ def decoder_for(path: str):
     return _bash
 
 
-def read_histories(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_histories(spark: SparkSession, paths: str | list[str], kind: str | None = None) -> DataFrame:
     """path, mtime, position, timestamp, duration, command: all histories, cleaned, hooks dropped.
 
-    The format follows from the file's name, which must not start with a dot or
-    underscore, as Spark skips such files. One file is one row of the scan,
+    The format is ``kind`` (zsh, bash, fish, powershell) or follows from the file's
+    name, which must not start with a dot or underscore, as Spark skips such files. One file is one row of the scan,
     so a file must fit a task; files are spread over tasks.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", F.unix_timestamp("modificationTime").alias("mtime"), "content")
@@ -110,7 +113,7 @@ def read_histories(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, mtime, content in zip(batch["path"], batch["mtime"], batch["content"]):
-                records = list(decoder_for(path)(bytes(content).decode("utf-8", "replace").split("\n")))
+                records = list((DECODERS[kind] if kind else decoder_for(path))(bytes(content).decode("utf-8", "replace").split("\n")))
                 yield pd.DataFrame({"path": path, "mtime": mtime, "position": range(len(records)), "timestamp": pd.array([r[0] for r in records], "Int64"), "duration": pd.array([r[1] for r in records], "Int64"), "command": [r[2] for r in records]})
 
     raw = files.mapInPandas(run, "path string, mtime long, position long, timestamp long, duration long, command string")
