@@ -1,3 +1,7 @@
+import io
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import store
@@ -24,6 +28,74 @@ def test_histories(spark, tmp_path):
     assert got["ConsoleHost_history.txt"] == [(None, "Get-Item x"), (None, "dir")]
 
 
+ODD_HISTORIES = {
+    "zsh": [": 17488{0:05d}:3;git add {0}", ": 17488{0:05d}:0;echo {0} \\", "more {0}", "lost {0}", "lost {0} \\", ":: kept {0}", ":: kept {0} \\", ": 17488{0:05d}:0;", "", "__ts_hook {0}", " : 5:5;no stamp", ": 99999999999999999999:1;far {0}"],
+    "bash": ["#16985{0:05d}", " #16985{0:05d}", "make {0}", "plain {0} \\", "", "  ", "echo {0}\\", "# note {0}", "#99"],
+    "fish": ["- cmd: ls {0}", "  when: 17000{0:05d}", "  paths:", "    - a{0}", "- cmd: a\\n{0}", "- cmd: ", "  when: soon", "junk {0}"],
+    "powershell": ["Get-Item {0} `", "x{0}", "", "dir {0}", "   ", "a {0}`"],
+}
+
+
+def odd_history(kind, seed, n):
+    rng = random.Random(seed)
+    first = [": 1748800000:0;begin"] if kind == "zsh" and seed % 2 else []
+    lines = first + [rng.choice(ODD_HISTORIES[kind]).replace("__ts_hook", history.HOOKS[0]).format(rng.randrange(300)) for _ in range(n)]
+    return "\n".join(lines).encode() + rng.choice([b"", b"\n", b" \xff\xc3\n"])
+
+
+@pytest.mark.parametrize("kind", list(ODD_HISTORIES))
+def test_ranges_of_a_history_hold_each_record_once(kind, monkeypatch):
+    """Every way of cutting gives the records of the whole, also where the search for a beginning starts with few bytes."""
+    monkeypatch.setattr(history, "BACK", 8)
+    for seed in range(12):
+        content = odd_history(kind, seed, 60)
+        file = io.BytesIO(content)
+        whole = list(history.records(file, kind, 0, len(content), False))
+        assert seed > 3 or whole
+        for size in (1, 7, 40, 333):
+            if kind == "zsh" and not seed % 2:
+                break  # such a file stays whole
+            parts = [r for at in range(0, len(content), size) for r in history.records(file, kind, at, min(at + size, len(content)), kind == "zsh" and at > 0)]
+            assert parts == whole, (seed, size)
+        for end in range(0, len(content), 13):  # what is settled is never taken back
+            to = history.settled(io.BytesIO(content[:end]), end, kind)
+            stamped = kind == "zsh" and history._stamped_before(file, to)
+            assert list(history.records(io.BytesIO(content[:end]), kind, 0, to, False)) + list(history.records(file, kind, to, len(content), stamped)) == whole, (seed, end)
+
+
+def test_history_source_does_not_depend_on_ranges(spark, tmp_path):
+    for kind, name in (("zsh", ".zsh_history"), ("bash", ".bash_history"), ("fish", "fish_history"), ("powershell", "ConsoleHost_history.txt")):
+        (tmp_path / kind).mkdir()
+        write(tmp_path / kind / name, odd_history(kind, 5, 400))
+    write(tmp_path / "zsh" / "plain.zsh_history", "a\nb \\\nc\n" * 50 + ": 1748851200:3;git status\nlost\n")
+    write(tmp_path / "zsh" / "_SUCCESS", "x")
+    write(tmp_path / "zsh" / ".part.crc", "x")
+    write(tmp_path / "bash" / "empty_history", "")
+    rows = lambda n: sorted((r.path, r.position, r.timestamp or 0, r.command) for r in history.read_histories(spark, "file://" + str(tmp_path), split_bytes=n).collect())
+    whole = rows(1 << 20)
+    assert {r[0].rsplit("/", 1)[-1] for r in whole} == {".zsh_history", ".bash_history", "fish_history", "ConsoleHost_history.txt", "plain.zsh_history"}
+    assert rows(700) == whole and sum(r[0].endswith("plain.zsh_history") for r in whole) == 101
+    with pytest.raises(Exception, match="FileNotFound"):
+        history.read_histories(spark, str(tmp_path / "none")).collect()
+
+
+def test_stream_of_growing_histories(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    contents = {"a.zsh_history": odd_history("zsh", 7, 120), "fish_history": odd_history("fish", 3, 120), "u.bash_history": odd_history("bash", 4, 120) + b"end\n"}
+    rounds = 3
+    for i in range(1, rounds + 1):
+        for name, content in contents.items():
+            write(folder / name, content[: len(content) * i // rounds])
+        q = history.stream_histories(spark, str(folder), split_bytes=500).writeStream.format("parquet").option("path", str(tmp_path / "t")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    key = lambda r: (r.path, r.position, r.timestamp or 0, r.command)
+    got = sorted(key(r) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    files = [r.path for r in history.listed(str(folder), None)]
+    waits = {p: history.settled(io.BytesIO(contents[p.rsplit("/", 1)[-1]]), len(contents[p.rsplit("/", 1)[-1]]), history.kind_of(p)) for p in files}
+    assert got == sorted(k for k in map(key, history.read_histories(spark, str(folder)).collect()) if k[1] < waits[k[0]]) and len(got) > 60
+
+
 def test_merge_keeps_the_first(spark):
     df = spark.createDataFrame([("b", 1, 5, 0, "ls", 1), ("a", 1, 5, 0, "ls", 2), ("a", 2, None, 0, "ls", 3)], "path string, position long, timestamp long, duration long, command string, user_id long").drop("user_id")
     got = history.merge_histories(df, []).collect()

@@ -187,6 +187,21 @@ def _histories(c: Core) -> DataFrame:
     return history.merge_histories(found, []).select("timestamp", "command")
 
 
+@query("histories_stream", "SELECT DISTINCT timestamp, command FROM raw WHERE user_id % 3 < 2")
+def _histories_stream(c: Core) -> DataFrame:
+    """zsh and bash histories read as a stream, in ranges of 64 KB, into a table."""
+    t, command = F.col("timestamp").cast("string"), F.col("command")
+    lines = {"zsh": F.concat(F.lit(": "), t, F.lit(":0;"), command), "bash": F.concat(F.lit("#"), t, F.lit("\n"), command)}
+    target, found = _folder(c, "streamed"), None
+    for which, (kind, line) in enumerate(lines.items()):
+        rows = history.stream_histories(c.spark, _history_files(c, kind, which, line), kind, 1 << 16)
+        out = rows.writeStream.format("parquet").option("path", f"{target}/{kind}").option("checkpointLocation", f"{target}-{kind}")
+        out.trigger(availableNow=True).start().awaitTermination()
+        read = c.spark.read.schema(rows.schema).parquet(f"{target}/{kind}")
+        found = read if found is None else found.unionByName(read)
+    return history.merge_histories(found, []).select("timestamp", "command")
+
+
 @query("commit_log", "SELECT hash, timestamp, message FROM commits")
 def _commit_log(c: Core) -> DataFrame:
     """Commits written as a log of ``hash|epoch|subject`` lines, some of them malformed, and read back."""
