@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import attribution, insights, joins, predict, recovery, search, sessions, store
+from tidemark.operators import attribution, insights, joins, payloads, predict, recovery, search, sessions, store
 
 KEYS = ["user_id"]
 
@@ -201,7 +201,7 @@ def test_consolidation_adds_nothing_twice(spark):
 
 def test_snapshots_and_keyed_store(spark):
     s = spark.createDataFrame([(1, "cli", '{"a":1}', 1), (1, "cli", '{"a":1}', 2), (1, "cli", "bad", 3)], "session_id long, source string, payload string, captured_at long")
-    assert [r.payload for r in store.changed_snapshots(s).orderBy("captured_at").collect()] == ['{"a":1}', "bad"]
+    assert [r.payload for r in payloads.changed_snapshots(s).orderBy("captured_at").collect()] == ['{"a":1}', "bad"]
     k = spark.createDataFrame([("d", "x", 1), ("d", "y", 2)], "timeframe_id string, summary string, created_at long")
     assert store.latest_by_key(k, "timeframe_id", "created_at").first()["summary"] == "y"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.adapters import COMMANDS_SQL, GAP, Core
-from tidemark.operators import attribution, neighbours, recovery, search, sessions, sketches
+from tidemark.operators import attribution, neighbours, payloads, recovery, search, sessions, sketches
 from tidemark.operators.index import LAST, StoredIndex, stored_search
 from tidemark.plans import more  # noqa: F401  (its SQL is used here)
 from tidemark.plans.queries import BM25_SQL, CUTOFF, KEYS, NOW, SQL, query
@@ -167,6 +167,43 @@ def _ranges(c: Core) -> DataFrame:
     return out
 
 
+def _snapshots(c: Core) -> DataFrame:
+    """A snapshot of each event, with keys in one of two orders."""
+    k, kind = F.col("k"), F.col("event_type")
+    third = F.pmod(k, F.lit(3))
+    one = F.to_json(F.struct((k >= 50).alias("high"), F.struct(third.alias("third"), kind.alias("kind")).alias("state")))
+    other = F.format_string('{ "state" : {"kind": "%s", "third": %d.0}, "high": %s}', kind, third, (k >= 50).cast("string"))
+    return c.events.select(F.col("user_id").alias("session_id"), F.lit("shell").alias("source"), F.when(F.col("event_id") % 2 == 0, one).otherwise(other).alias("payload"), F.struct("t", "event_id").alias("captured_at"))
+
+
+SNAPSHOTS_SQL = """s AS (SELECT user_id AS session_id, event_id, t, k >= 50 AS high, k % 3 AS third, event_type AS kind FROM ev),
+l AS (SELECT *, lag(high) OVER w AS high0, lag(third) OVER w AS third0, lag(kind) OVER w AS kind0 FROM s WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id))"""
+
+
+@query("snapshots_by_value", SNAPSHOTS_SQL + " SELECT session_id, event_id FROM l WHERE high0 IS NULL OR high <> high0 OR third <> third0 OR kind <> kind0")
+def _by_value(c: Core) -> DataFrame:
+    """Equal payloads with keys in another order are no change."""
+    return payloads.changed_snapshots(_snapshots(c)).select("session_id", "captured_at.event_id")
+
+
+@query("snapshot_changes", SNAPSHOTS_SQL + """, d AS (
+SELECT session_id, event_id, '$' AS path, NULL AS before, '{"high":' || high || ',"state":{"kind":"' || kind || '","third":' || third || '}}' AS after FROM l WHERE high0 IS NULL
+UNION ALL SELECT session_id, event_id, '$.high', high0::VARCHAR, high::VARCHAR FROM l WHERE high <> high0
+UNION ALL SELECT session_id, event_id, '$.state.third', third0::VARCHAR, third::VARCHAR FROM l WHERE third <> third0
+UNION ALL SELECT session_id, event_id, '$.state.kind', '"' || kind0 || '"', '"' || kind || '"' FROM l WHERE kind <> kind0) SELECT * FROM d""")
+def _changes(c: Core) -> DataFrame:
+    """What changed from each snapshot to the next, by path."""
+    rows = payloads.field_changes(_snapshots(c), ["session_id"], ["captured_at"])
+    return rows.select("session_id", "captured_at.event_id", "path", "before", "after")
+
+
+@query("payload_fields", SNAPSHOTS_SQL + " SELECT kind, high, count(*) AS n, sum(third)::BIGINT AS thirds FROM s GROUP BY ALL")
+def _fields(c: Core) -> DataFrame:
+    """Typed fields out of payloads."""
+    rows = payloads.payload_fields(_snapshots(c), {"high": ("$.high", "boolean"), "third": ("$.state.third", "bigint"), "kind": ("$.state.kind", "string")})
+    return rows.groupBy("kind", "high").agg(F.count("*").alias("n"), F.sum("third").alias("thirds"))
+
+
 def _history_files(c: Core, kind: str, which: int, line: Column) -> str:
     """A third of the users' commands as history files of a shell, in order of time."""
     rows = c.commands.where(F.pmod("user_id", F.lit(3)) == which).withColumn("shard", F.pmod("user_id", F.lit(5)))

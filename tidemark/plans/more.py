@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.adapters import COMMANDS_SQL, Core
 from tidemark.functions import text as X
 from tidemark.functions import time as C
-from tidemark.operators import insights, joins, reports, search, sessions, store
+from tidemark.operators import insights, joins, payloads, reports, search, sessions, store
 from tidemark.plans.queries import CUTOFF, KEYS, LINKED_SQL, NOW, SQL, linked, query
 
 DAY = "make_timestamp({} * 1000000)::DATE"
@@ -243,7 +243,7 @@ SELECT session_id, count(*) AS n FROM l WHERE r = 1 OR coalesce(exit_code, -1) <
 def _snapshots(c: Core) -> DataFrame:
     payload = F.concat(F.lit('{"code": '), F.coalesce("exit_code", F.lit(-1)).cast("string"), F.lit("}"))
     rows = c.commands.select("session_id", F.lit("shell").alias("source"), payload.alias("payload"), F.struct("timestamp", "id").alias("captured_at"))
-    return store.changed_snapshots(rows).groupBy("session_id").agg(F.count("*").alias("n"))
+    return payloads.changed_snapshots(rows).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
 @query("report_kpis", f"SELECT count(*) AS sessions, count(DISTINCT project_id) AS projects, sum(duration_seconds)::BIGINT AS duration FROM sessions WHERE start_time BETWEEN {CUTOFF} AND {NOW}")
