@@ -32,6 +32,19 @@ def test_exact_with_a_filter_that_is_joined(spark, monkeypatch):
     assert sum(r.kept for r in exact.exact_duplicates(frame(spark)).collect()) == 5
 
 
+def test_exact_in_slices_reads_each_row_once(spark, monkeypatch):
+    """A filter of several slices gives the same rows, and each slice's join scans its own folder only."""
+    rows = [(i, f"text {i % 1500}") for i in range(2000)] + [(None, "text 3"), (5, None)]
+    whole = sorted(map(str, exact.exact_duplicates(frame(spark, rows)).collect()))
+    monkeypatch.setattr(exact, "SENT_WORDS", 150)
+    assert sorted(map(str, exact.exact_duplicates(frame(spark, rows)).collect())) == whole
+    hashed = scratch.written(spark.createDataFrame(rows, "id long, text string").select("id", F.sha2("text", 256).alias("text_sha256")), "hashed")
+    located = exact._located(hashed, len(rows))
+    marked = exact._marked(located, exact.repeated_filter(located))
+    plan = marked._jdf.queryExecution().toString()
+    assert plan.count("slices]") > 0 and marked.count() == len(rows) and all("slice" in line for line in plan.splitlines() if "PartitionFilters" in line and "slices]" in line)
+
+
 def test_exact_filter_marks_all_repeats_and_little_else(spark):
     texts = [f"text {i}" for i in range(6000)] + [f"again {i % 100}" for i in range(300)] + ["hot"] * 500
     hashed = spark.createDataFrame(list(enumerate(texts)), "id long, text_sha256 string")

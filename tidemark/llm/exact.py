@@ -18,7 +18,7 @@ from tidemark.llm.scratch import written
 
 CELLS, BITS = 12, 5  # of a lane
 ROWS_PER_BLOCK = 1.5
-SENT_WORDS = 1_000_000  # marked blocks sent to every task at a time (about 40 MB); a larger filter is sent in slices
+SENT_WORDS = 1_000_000  # marked blocks sent to every task at a time (about 40 MB); a larger filter is sent in slices, each to the rows of its blocks
 HOT_ROWS = 10_000  # rows of a group from which it is sent to the tasks instead of its rows to one task
 HOT_GROUPS = 1_000_000  # at most, as larger inputs have larger hot groups
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,11 +57,13 @@ def repeated_filter(located: DataFrame) -> DataFrame:
 
 def _marked(located: DataFrame, bits: DataFrame) -> DataFrame:
     """Adds ``maybe``: whether the filter has the row's digest as possibly repeated. No row is shuffled."""
-    slices = -(-bits.count() // max(1, SENT_WORDS))
-    parts = []
-    for k in range(max(1, slices)):
-        own = F.pmod("block", F.lit(max(1, slices))) == k
-        parts.append(located.where(own).join(F.broadcast(bits.where(own)), "block", "left"))
+    slices = max(1, -(-bits.count() // max(1, SENT_WORDS)))
+    own = F.pmod("block", F.lit(slices)).cast("int")
+    located, bits = located.withColumn("slice", own), bits.withColumn("slice", own)
+    if slices > 1:  # each task writes a file for each of its slices, so that a slice's join reads that slice alone
+        located, bits = written(located, "slices", by="slice"), written(bits, "words", by="slice")
+    of = lambda k: located.where(F.col("slice") == k).join(F.broadcast(bits.where(F.col("slice") == k).drop("slice")), "block", "left")
+    parts = [of(k) for k in range(slices)]
     maybe = F.expr(f"coalesce(shiftright(mask, cast(left as int)) & shiftright(mask, cast(right as int) + {CELLS}) & 1, 0) = 1")
     return reduce(DataFrame.unionByName, parts).select("id", "text_sha256", maybe.alias("maybe"))
 

@@ -42,12 +42,12 @@ def row_draw(id_col: str, text_col: str) -> Column:
     return F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a DataFrame over the written rows."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a DataFrame over the written rows, in a folder for each value of ``by`` (few values)."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.partitionBy(*[by] if by else []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
