@@ -198,7 +198,7 @@ def language_share(commands: DataFrame, languages: DataFrame) -> DataFrame:
 
 def project_languages(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """files: project_id, relpath; manifests: relpath, language, priority. The language of the first manifest found."""
-    named = files.join(F.broadcast(manifests), "relpath").groupBy("project_id").agg(F.min_by("language", "priority").alias("named"))
+    named = files.join(manifests, "relpath").groupBy("project_id").agg(F.min_by("language", "priority").alias("named"))
     by_end = X.one_of(F.col("relpath"), [(F.col("relpath").rlike(r"\.(csproj|sln)$"), "C#"), (F.col("relpath") == "Makefile", "C/C++")], "")
     other = files.withColumn("other", F.nullif(by_end, F.lit(""))).where("other IS NOT NULL").groupBy("project_id").agg(F.min("other").alias("other"))
     return named.join(other, "project_id", "full").select("project_id", F.coalesce("named", "other").alias("language"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.adapters import COMMANDS_SQL, GAP, Core
-from tidemark.operators import attribution, neighbours, payloads, recovery, search, sessions, sketches
+from tidemark.functions.text import file_arguments
+from tidemark.operators import attribution, insights, neighbours, payloads, recovery, search, sessions, sketches
 from tidemark.operators.index import LAST, StoredIndex, stored_search
 from tidemark.plans import more  # noqa: F401  (its SQL is used here)
 from tidemark.plans.queries import BM25_SQL, CUTOFF, KEYS, NOW, SQL, query
@@ -118,7 +119,10 @@ def _in_hours(t: str) -> str:
     return f"CASE WHEN ({t}) % 86400 < 32400 OR ({t}) % 86400 >= 64800 OR ({day} + 3) % 7 >= 5 THEN ({day} - greatest(0, ({day} + 3) % 7 - 4)) * 86400 + 57600 ELSE {t} END"
 
 
-@query("burst_collisions", f"""{COMMANDS_SQL.rstrip().replace("WITH", "WITH RECURSIVE", 1)},
+RECURSIVE_SQL = COMMANDS_SQL.rstrip().replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("burst_collisions", f"""{RECURSIVE_SQL},
 p AS (SELECT id AS position, command, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM commands),
 z AS (SELECT *, greatest(bursts * 86400, 31536000) AS span FROM (SELECT (max(n) + 19) // 20 AS bursts FROM p)),
 b AS (SELECT i, {NOW} - 2592000 - span + trunc(i::DOUBLE / bursts * span)::BIGINT AS raw FROM z, range(bursts) r(i)),
@@ -247,3 +251,76 @@ def _commit_log(c: Core) -> DataFrame:
     bad = c.commits.select(F.explode(F.array(F.col("hash"), F.concat("hash", F.lit("|soon|x")), F.lit(""))).alias("value"))
     lines.union(bad).write.text(folder)
     return history.read_commit_log(c.spark, folder)
+
+
+# SQL that goes row by row, for the queries of the sequential rules.
+SQL["neighbour_propagation"] = f"""{RECURSIVE_SQL},
+o AS (SELECT user_id, id, start_time, end_time, CASE WHEN id % 3 = 0 THEN id % 4 END AS p, row_number() OVER (PARTITION BY user_id ORDER BY start_time, id) AS n FROM sessions),
+f AS (SELECT *, first_value(p IGNORE NULLS) OVER w AS fp, first_value(CASE WHEN p IS NOT NULL THEN start_time END IGNORE NULLS) OVER w - end_time AS ahead
+  FROM o WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT user_id, n, id, coalesce(p, CASE WHEN ahead < 172800 THEN fp END) AS propagated, CASE WHEN p IS NOT NULL OR ahead < 172800 THEN end_time END AS until, coalesce(p, CASE WHEN ahead < 172800 THEN fp END) AS before FROM f WHERE n = 1
+  UNION ALL SELECT x.user_id, x.n, x.id, x.got, CASE WHEN x.got IS NULL THEN x.until ELSE x.end_time END, coalesce(x.got, x.before) FROM (
+    SELECT f.*, r.until, r.before, CASE WHEN f.p IS NOT NULL THEN f.p WHEN f.start_time - r.until < 172800 AND (coalesce(f.ahead >= 172800, true) OR f.start_time - r.until <= f.ahead) THEN r.before WHEN f.ahead < 172800 THEN f.fp END AS got
+    FROM r JOIN f ON f.user_id = r.user_id AND f.n = r.n + 1) x)
+SELECT id, propagated FROM r"""
+
+SQL["rebuild_clusters"] = f"""{RECURSIVE_SQL},
+b AS (SELECT user_id, timestamp AS t, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, id) AS nth FROM commands WHERE contains(command, 'npm run build')),
+r AS (SELECT user_id, nth, NULL::BIGINT AS start, 0::BIGINT AS n, [t] AS held FROM b WHERE nth = 1
+  UNION ALL SELECT x.user_id, x.nth, CASE WHEN x.inside THEN x.start WHEN len(x.wait) >= 3 THEN x.wait[1] END, CASE WHEN x.inside THEN x.n + 1 WHEN len(x.wait) >= 3 THEN len(x.wait) ELSE 0 END, x.wait FROM (
+    SELECT b.user_id, b.nth, r.start, r.n, coalesce(b.t - r.start <= 86400, false) AS inside,
+      CASE WHEN r.start IS NOT NULL AND b.t - r.start <= 86400 THEN [] WHEN r.start IS NOT NULL THEN [b.t] ELSE list_append(list_filter(r.held, lambda h: b.t - h <= 86400), b.t) END AS wait
+    FROM r JOIN b ON b.user_id = r.user_id AND b.nth = r.nth + 1) x)
+SELECT user_id, start, max(n) AS n FROM r WHERE start IS NOT NULL GROUP BY 1, 2"""
+
+PLACES_SQL = """z AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w > 86400 OR lag(timestamp) OVER w IS NULL THEN 1 ELSE 0 END AS cut FROM commands WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, id)),
+y AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY timestamp, id) AS piece FROM z),
+places AS (SELECT user_id, id, timestamp, command, '/home/dev' || coalesce(string_agg(CASE WHEN starts_with(command, 'cd ') THEN '/' || command[4:] END, '') OVER (PARTITION BY user_id, piece ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS cwd FROM y)"""
+SQL["directory_replay"] = f"{COMMANDS_SQL.rstrip()},\n{PLACES_SQL} SELECT * FROM places"
+
+
+@query("folder_roots", f"""{PLACES_SQL}, d AS (SELECT DISTINCT cwd AS path FROM places), m AS (SELECT path AS up, id % 2 = 0 AS vcs FROM projects UNION ALL SELECT path || '/project-3', true FROM projects WHERE id = 1),
+a AS (SELECT path, n, '/' || array_to_string(string_split(path[2:], '/')[1:n], '/') AS up FROM d, range(1, 200) r(n) WHERE n <= len(string_split(path[2:], '/'))),
+h AS (SELECT path, arg_max(up, n) FILTER (vcs) AS v, arg_max(up, n) FILTER (NOT vcs) AS o FROM a LEFT JOIN m USING (up) GROUP BY 1)
+SELECT path, coalesce(v, o, nullif(regexp_extract(path, '^(/home/dev(?:/[^/.][^/]*){{1,2}})', 1), '')) AS root FROM h""")
+def _roots(c: Core) -> DataFrame:
+    """Roots of all folders that commands ran in; projects of even id have version control, others a manifest, and one holds another."""
+    placed = attribution.replay_directories(c.commands.select("user_id", "id", "timestamp", "command"), KEYS, "/home/dev", reset_after=86400)
+    markers = c.projects.select("path", F.when(F.col("id") % 2 == 0, "vcs").otherwise("manifest").alias("kind"))
+    nested = c.projects.where("id = 1").select(F.concat("path", F.lit("/project-3")).alias("path"), F.lit("vcs").alias("kind"))
+    return attribution.project_roots(placed.select(F.col("cwd").alias("path")), markers.unionByName(nested), "/home/dev")
+
+
+NAMED_FILES_SQL = r"""w AS (SELECT session_id, user_id, timestamp, id, unnest(list_filter(regexp_split_to_array(trim(command), '\s+')[2:], lambda x: regexp_matches(x, '[/.]') AND NOT regexp_matches(x, '^-|://|[$=]'))) AS relpath FROM commands),
+u AS (SELECT DISTINCT relpath, '/home/dev/project-' || (length(relpath) % 3) AS root FROM w WHERE relpath LIKE '%.py' OR relpath LIKE '%.txt')"""
+
+
+def _named_files(c: Core) -> DataFrame:
+    return c.commands.select("user_id", F.explode(file_arguments(F.col("command"))).alias("relpath"))
+
+
+@query("file_argument_roots", NAMED_FILES_SQL + r""" SELECT session_id, arg_max(root, (len(string_split(relpath, '/')), -timestamp, -id)) AS root FROM w JOIN u USING (relpath) GROUP BY 1""")
+def _file_roots(c: Core) -> DataFrame:
+    """A session's project by the files that its commands name."""
+    files = _named_files(c).where(r"relpath LIKE '%.py' OR relpath LIKE '%.txt'").select("relpath", F.concat(F.lit("/home/dev/project-"), (F.length("relpath") % 3).cast("string")).alias("root")).distinct()
+    return attribution.by_file_arguments(c.commands, files)
+
+
+@query("project_languages", NAMED_FILES_SQL + r""", f AS (SELECT DISTINCT user_id AS project_id, relpath FROM w),
+m AS (SELECT DISTINCT relpath, ['Python', 'Go', 'Rust'][length(relpath) % 3 + 1] AS language, relpath AS priority FROM w WHERE relpath LIKE 'tests/%7.py')
+SELECT project_id, arg_min(language, priority) AS language FROM f JOIN m USING (relpath) GROUP BY 1""")
+def _project_languages(c: Core) -> DataFrame:
+    """A user's files as a project's, some of which count as manifests."""
+    files = _named_files(c).select(F.col("user_id").alias("project_id"), "relpath").distinct()
+    language = F.element_at(F.array(F.lit("Python"), F.lit("Go"), F.lit("Rust")), F.length("relpath") % 3 + 1)
+    manifests = files.where("relpath LIKE 'tests/%7.py'").select("relpath", language.alias("language"), F.col("relpath").alias("priority")).distinct()
+    return insights.project_languages(files, manifests)
+
+
+@query("project_names", """p AS (SELECT id, 'app ' || (id % 4) AS name, CASE WHEN id = 6 THEN '/app' ELSE path || '/app' END AS path FROM projects)
+SELECT id, CASE WHEN count(*) OVER (PARTITION BY name) > 1 AND string_split(path, '/')[-2] <> '' THEN name || ' (' || string_split(path, '/')[-2] || ')' ELSE name END AS name FROM p""")
+def _project_names(c: Core) -> DataFrame:
+    """Names that several projects share get their parent folder."""
+    path = F.when(F.col("id") == 6, "/app").otherwise(F.concat("path", F.lit("/app")))
+    shared = c.projects.select("id", F.concat(F.lit("app "), (F.col("id") % 4).cast("string")).alias("name"), path.alias("path"))
+    return attribution.disambiguate(shared).select("id", "name")
