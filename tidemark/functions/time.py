@@ -109,3 +109,31 @@ def fill_hours(per_hour: DataFrame, keys: list[str], zero: tuple[str, ...] = ("n
     whole = per_hour.select(*keys).distinct() if keys else per_hour.sparkSession.range(1).select(F.lit(1).alias("__one"))
     spine = whole.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return spine.join(per_hour, [*keys, "hour"], "left").fillna(0, list(zero)).drop("__one")
+
+
+WEEKDAY = "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
+
+
+def parse_date(text: Column, now: int | None = None) -> Column:
+    """Epoch seconds of a date or time in ISO form (also with ``_``), of a mail header or of a commit log; null for any other text.
+
+    Offsets are Z, +hhmm or +hh:mm; without one the session's time zone holds.
+    The weekday's name is not compared with the date. With ``now``, times after
+    it or more than five years of 365 days before it are null.
+    """
+    t = F.regexp_replace(F.regexp_replace(text, "Z$", "+0000"), r"([+-]\d{2}):?(\d{2})$", "$1$2")
+
+    def form(shape: str, pattern: str, prefix: str = "") -> Column:
+        bare = F.regexp_replace(t, prefix, "") if prefix else t
+        return F.when(t.rlike(prefix + shape if prefix else "^" + shape), F.unix_timestamp(F.try_to_timestamp(bare, F.lit(pattern))))
+
+    clock, zone = r"\d{1,2}:\d{1,2}:\d{1,2}", r" ?[+-]\d{4}$"
+    found = F.coalesce(
+        form(rf"\d{{4}}-\d{{1,2}}-\d{{1,2}}T{clock}$", "yyyy-M-d'T'H:m:s"),
+        form(rf"\d{{4}}-\d{{1,2}}-\d{{1,2}}T{clock}[+-]\d{{4}}$", "yyyy-M-d'T'H:m:sxx"),
+        form(r"\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+        form(r"\d{4}_\d{1,2}_\d{1,2}$", "yyyy_M_d"),
+        form(rf"\d{{1,2}} [A-Z][a-z]{{2}} \d{{4}} {clock}{zone}", "d MMM yyyy H:m:s xx", WEEKDAY + ", "),
+        form(rf"[A-Z][a-z]{{2}} \d{{1,2}} {clock} \d{{4}}{zone}", "MMM d H:m:s yyyy xx", WEEKDAY + " "),
+    )
+    return found if now is None else F.when((found <= now) & (found > now - 5 * 365 * 86400), found)

@@ -122,6 +122,18 @@ def recent_sessions(sessions: DataFrame, commands: DataFrame, n: int = 20, cut:
     return sessions.orderBy(F.col("end_time").desc_nulls_last(), F.col("start_time").desc(), F.col("id").desc()).limit(n).join(first, "id", "left").withColumn("first", short)
 
 
+def latest_session(sessions: DataFrame) -> DataFrame:
+    """The session that ended last, of equals the one that started last; open ones come after all others."""
+    return sessions.orderBy(F.col("end_time").desc_nulls_last(), F.col("start_time").desc(), F.col("id").desc()).limit(1)
+
+
+def without_legacy(sessions: DataFrame, commands: DataFrame | None = None) -> DataFrame:
+    """Sessions that are not legacy (null counts as not); with ``commands``, only those that also have one that is not."""
+    own = ~F.coalesce("is_legacy", F.lit(False))
+    kept = sessions.where(own)
+    return kept if commands is None else kept.join(commands.where(own).select(F.col("session_id").alias("id")).distinct(), "id", "left_semi")
+
+
 def tag_listing(sessions: DataFrame, commands: DataFrame, tags: DataFrame, projects: DataFrame, tag: str, limit: int = 20, cut: int = 40) -> DataFrame:
     """The newest sessions with a tag: start, display name, time in words, and summary or first command, cut; an unknown tag is an error."""
     tag = tag.strip().lower()

@@ -94,6 +94,18 @@ def index_is_current(rows: DataFrame, commands: DataFrame) -> bool:
     return same_rows(base, indexed)
 
 
+def index_differences(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(type, ref, indexed, found): references whose texts the index and ``fresh`` do not hold equally often.
+
+    The numbers count the texts that one side has more often. Both sides are
+    added up together, so a reference is one row after one shuffle.
+    """
+    side = lambda df, n: df.select("type", "ref", "text", F.lit(n).alias("n"))
+    texts = side(rows, 1).unionByName(side(fresh, -1)).groupBy("type", "ref", "text").agg(F.sum("n").alias("n")).where("n <> 0")
+    more = lambda n: F.sum(F.greatest(n, F.lit(0)))
+    return texts.groupBy("type", "ref").agg(more(F.col("n")).alias("indexed"), more(-F.col("n")).alias("found"))
+
+
 def sync_index(rows: DataFrame, fresh: DataFrame) -> DataFrame:
     """The index with all rows of the references in ``fresh`` replaced by those; other references stay untouched."""
     return rows.join(fresh.select("type", "ref").distinct(), ["type", "ref"], "left_anti").unionByName(fresh)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.adapters import COMMANDS_SQL, GAP, Core
 from tidemark.functions.text import file_arguments
-from tidemark.operators import attribution, insights, neighbours, payloads, recovery, search, sessions, sketches
+from tidemark.functions.time import parse_date
+from tidemark.operators import attribution, insights, neighbours, payloads, recovery, reports, search, sessions, sketches
 from tidemark.operators.index import LAST, StoredIndex, stored_search
 from tidemark.plans import more  # noqa: F401  (its SQL is used here)
 from tidemark.plans.queries import BM25_SQL, CUTOFF, KEYS, NOW, SQL, query
@@ -324,3 +325,37 @@ def _project_names(c: Core) -> DataFrame:
     path = F.when(F.col("id") == 6, "/app").otherwise(F.concat("path", F.lit("/app")))
     shared = c.projects.select("id", F.concat(F.lit("app "), (F.col("id") % 4).cast("string")).alias("name"), path.alias("path"))
     return attribution.disambiguate(shared).select("id", "name")
+
+
+@query("index_differences", """b AS (SELECT 'command' AS type, session_id::VARCHAR AS ref, id, command AS text, session_id % 5 = 0 AS lost FROM commands UNION ALL SELECT 'commit', hash, 0, message, false FROM commits),
+i AS (SELECT type, ref, text FROM b WHERE NOT lost UNION ALL SELECT type, ref, 'stale ' || text FROM b WHERE type = 'command' AND id % 97 = 0),
+d AS (SELECT type, ref, text, sum(n) AS n FROM (SELECT *, 1 AS n FROM i UNION ALL SELECT type, ref, text, -1 FROM b) GROUP BY ALL HAVING sum(n) <> 0)
+SELECT type, ref, sum(greatest(n, 0))::BIGINT AS indexed, sum(greatest(-n, 0))::BIGINT AS found FROM d GROUP BY ALL""")
+def _differences(c: Core) -> DataFrame:
+    """What an index lacks and what it holds wrongly, after a fifth of the sessions is lost and some stale texts came in."""
+    fresh = search.index_rows(c.commands, c.commits, c.sessions)
+    lost = fresh.where("NOT (type = 'command' AND cast(ref AS long) % 5 = 0)")
+    stale = c.commands.where("id % 97 = 0").select(F.lit("command").alias("type"), F.col("session_id").cast("string").alias("ref"), F.concat(F.lit("stale "), "command").alias("text"))
+    return search.index_differences(lost.unionByName(stale), fresh)
+
+
+@query("date_strings", """SELECT id, CASE WHEN id % 6 IN (2, 3) THEN timestamp // 86400 * 86400 WHEN id % 6 = 4 THEN timestamp - 7200 ELSE timestamp END AS parsed FROM commands WHERE id % 7 <> 0 UNION ALL SELECT id, NULL FROM commands WHERE id % 7 = 0""")
+def _date_strings(c: Core) -> DataFrame:
+    """The commands' times in six forms, one of them with an offset of two hours, and texts that are no dates; read back."""
+    at = F.timestamp_seconds("timestamp")
+    day = lambda pattern: F.date_format(at, pattern)
+    forms = [day("yyyy-MM-dd'T'HH:mm:ss"), F.concat(day("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), day("yyyy-MM-dd"), day("yyyy_M_d"), F.concat(day("E, d MMM yyyy HH:mm:ss"), F.lit(" +0200")), F.concat(day("E MMM d HH:mm:ss yyyy"), F.lit(" +0000"))]
+    text = F.when(F.col("id") % 7 == 0, F.concat(F.lit("on "), forms[0])).otherwise(F.element_at(F.array(*forms), (F.col("id") % 6 + 1).cast("int")))
+    return c.commands.select("id", parse_date(text).alias("parsed"))
+
+
+@query("latest_session", "SELECT id, start_time FROM sessions WHERE id % 5 <> 0 AND NOT is_legacy ORDER BY end_time DESC, start_time DESC, id DESC LIMIT 1")
+def _latest(c: Core) -> DataFrame:
+    """A fifth of the sessions is open, and legacy ones do not count."""
+    rows = reports.without_legacy(c.sessions).withColumn("end_time", F.when(F.col("id") % 5 != 0, F.col("end_time")))
+    return reports.latest_session(rows).select("id", "start_time")
+
+
+@query("own_sessions", "SELECT id FROM sessions s WHERE NOT is_legacy AND EXISTS (SELECT 1 FROM commands c WHERE c.session_id = s.id AND NOT c.is_legacy)")
+def _own_sessions(c: Core) -> DataFrame:
+    return reports.without_legacy(c.sessions, c.commands).select("id")
