@@ -131,3 +131,10 @@ def test_tags(spark):
     flags = [f.alias(t) for t, f in X.tag_flags(F.col("c"), False).items()]
     df = spark.createDataFrame([("pip install pytest",), ("docker push x",)], "c string").select(*flags)
     assert [[t for t in X.TAGS if r[t]] for r in df.collect()] == [["setup", "test"], ["deploy"]]
+
+
+def test_summary_line(spark):
+    cases = {
+        "[Monday]\n\n  ├─ 🔨 Built: \n• hacked:  a parser": "a parser", "plain\nmore": "plain", "\x1b[1mResult: x\x1b[0m": "Result: x", "* story: 🚀 went": "went", "[only]": "[only]", "├─ \n": "├─ \n",
+    }
+    assert values(spark, [*cases, None], X.summary_line) == [*cases.values(), None]

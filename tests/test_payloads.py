@@ -58,3 +58,16 @@ def test_odd_payloads(spark):
     assert r.malformed == 4 and r.n == 12 and payloads.payload_schema(df.where("captured_at < 2"), ["session_id"]).first().schema.startswith("OBJECT<a: ")
     empty = df.where(F.lit(False))
     assert payloads.field_changes(empty, ["session_id"], ["captured_at"]).count() == payloads.changed_snapshots(empty).count() == 0
+
+
+def test_dashboard_days(spark):
+    from tidemark.operators import insights
+
+    day = 86400
+    sessions = spark.createDataFrame(
+        [(1, 9 * day, 60, False), (2, 9 * day + 7, None, None), (3, 8 * day, 30000, False), (4, 7 * day, 0, True), (5, 2 * day, 99999, False), (6, 20 * day, 99999, False)], "id long, start_time long, duration_seconds long, is_legacy boolean"
+    )
+    commands = spark.createDataFrame([(1,)] * 3 + [(2,)] * 2 + [(3,)] * 4 + [(4,)] * 9 + [(5,)] * 30, "session_id long")
+    got = [(str(r.day), r.n, r.level, r.highlight) for r in insights.dashboard_days(sessions, commands, "1970-01-11", 5).orderBy("day").collect()]
+    assert got == [("1970-01-07", 0, 0, False), ("1970-01-08", 0, 0, False), ("1970-01-09", 4, 1, True), ("1970-01-10", 5, 2, True), ("1970-01-11", 0, 0, False)]
+    assert not any(r.highlight for r in insights.dashboard_days(sessions.where("id = 0"), commands, "1970-01-11", 5).collect())

@@ -48,6 +48,9 @@ TAGS = {
 PROJECT_GIT = ["git commit", "git push", "git pull", "git merge", "git rebase", "git checkout", "git switch", "git stash", "git add", "git diff", "git branch", "git cherry-pick", "git reset", "git tag", "git fetch"]
 PROJECT_TOOLS = ["npm", "npx", "yarn", "pnpm", "cargo", "gradle", "mvn", "docker-compose", "docker compose", "flutter", "rails", "bundle", "mix", "dotnet"]
 PROJECT_STARTS = ["make", "python manage.py", "python setup.py", "pip install -e", "pytest", "python -m pytest", "python3 -m pytest", "go build", "go run", "go test"]
+SUMMARY_LABEL = r"(?i)^(├─|└─|•|\*)\s*(🔨|🔧|🚀|🧠|🤖|📂|⌨️)?\s*(Built|Flow|Result|Story|Hacked|Tooling|Outcome|Project|Action|Pattern):\s*"
+SUMMARY_SIGNS = "├─└─•* \t🔨🔧🚀🧠🤖"
+NO_MEMORY = "Activity logged"
 # End of fixed values.
 
 
@@ -202,6 +205,14 @@ def commit_message_in(command: Column) -> Column:
     return F.when(command.rlike(r"\bgit\s+commit\b"), F.coalesce(*found))
 
 
+def summary_line(summary: Column) -> Column:
+    """A summary's first line that says something once labels and signs before it are gone, else the summary without colours."""
+    plain = strip_ansi(summary)
+    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~(x.startswith("[") & x.endswith("]")))
+    bare = F.transform(lines, lambda x: F.ltrim(F.regexp_replace(x, SUMMARY_LABEL, ""), F.lit(SUMMARY_SIGNS)))
+    return F.coalesce(F.get(F.filter(bare, lambda x: x != ""), 0), plain)
+
+
 def entropy(text: Column) -> Column:
     """Shannon bits per character; 0 for an empty text."""
     chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")

@@ -275,6 +275,21 @@ def session_memory(commands: DataFrame, linked_commits: DataFrame) -> DataFrame:
     return c.join(m, "session_id", "left").select("session_id", F.coalesce(X.clean_commit(F.col("message")), F.when(F.col("works") > 0, F.col("work")), F.col("any")).alias("memory"))
 
 
+def session_lines(sessions: DataFrame, commands: DataFrame, linked_commits: DataFrame) -> DataFrame:
+    """(id, line): the summary's line, else the first commit, the longest command that is no noise, the last command, or a fixed phrase.
+
+    Of equally long commands the first counts; null and empty summaries count as none.
+    """
+    noise, at = X.is_noise(F.col("command")), F.struct("timestamp", "id")
+    work = F.when(~noise, F.struct(F.length("command"), -F.col("timestamp"), -F.col("id")))
+    c = commands.groupBy(F.col("session_id").alias("id")).agg(F.max_by("command", work).alias("work"), F.count_if(~noise).alias("works"), F.max_by("command", at).alias("last"))
+    m = linked_commits.groupBy(F.col("session_id").alias("id")).agg(F.min_by("message", F.struct("t", "hash")).alias("message"))
+    told = F.when(F.col("ai_summary") != "", X.summary_line(F.col("ai_summary")))
+    commit = F.coalesce(F.nullif(X.clean_commit(F.col("message")), F.lit("")), "message")
+    command = X.command_memory(F.when(F.col("works") > 0, F.col("work")).otherwise(F.col("last")))
+    return sessions.join(c, "id", "left").join(m, "id", "left").select("id", F.coalesce(told, X.strip_ansi(commit), X.strip_ansi(command), F.lit(X.NO_MEMORY)).alias("line"))
+
+
 def project_report(sessions: DataFrame, memories: DataFrame) -> DataFrame:
     """Per project and day, its distinct memories in first-seen order."""
     rows = sessions.join(memories.withColumnRenamed("session_id", "id"), "id").withColumn("day", C.day(F.col("start_time")))
@@ -300,6 +315,23 @@ def highlight_days(sessions: DataFrame, commands: DataFrame, long_session: int =
     return most.union(sessions.where(F.col("duration_seconds") >= long_session).select(C.day(F.col("start_time")))).distinct()
 
 
+def dashboard_days(sessions: DataFrame, commands: DataFrame, today: str, days: int = 30, long_session: int = 8 * 3600) -> DataFrame:
+    """(day, n, level, highlight) for the ``days`` days up to ``today``, those without activity too.
+
+    A session's commands count on the day on which it began; legacy sessions do
+    not count. A day is highlighted if none in the window has more commands and
+    it has some, or if a session of ``long_session`` seconds or more began on it.
+    """
+    last = F.lit(today).cast("date")
+    own = sessions.where(~F.coalesce("is_legacy", F.lit(False))).select("id", C.day(F.col("start_time")).alias("day"), F.coalesce(F.col("duration_seconds") >= long_session, F.lit(False)).alias("long"))
+    own = own.where((F.col("day") <= last) & (F.col("day") > F.date_sub(last, days)))
+    sizes = commands.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n"))
+    per = own.join(sizes, "id", "left").groupBy("day").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.bool_or("long").alias("long"))
+    spine = sessions.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("day"))
+    rows = spine.join(per, "day", "left").fillna(0, ["n"]).withColumn("best", F.max("n").over(Window.partitionBy()))  # ``days`` rows
+    return heat_levels(rows).select("day", "n", "level", (((F.col("n") > 0) & (F.col("n") == F.col("best"))) | F.coalesce("long", F.lit(False))).alias("highlight"))
+
+
 def edited_files(commands: DataFrame) -> DataFrame:
     """How often each file was opened in an editor; its layer; flags and dots do not count."""
     editor = commands.where(X.classify_command(F.col("command")) == "vim")

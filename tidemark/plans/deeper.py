@@ -13,7 +13,7 @@ from tidemark.functions.time import parse_date
 from tidemark.operators import attribution, insights, neighbours, payloads, recovery, reports, search, sessions, sketches
 from tidemark.operators.index import LAST, StoredIndex, stored_search
 from tidemark.plans import more  # noqa: F401  (its SQL is used here)
-from tidemark.plans.queries import BM25_SQL, CUTOFF, KEYS, NOW, SQL, query
+from tidemark.plans.queries import BM25_SQL, CUTOFF, KEYS, LINKED_SQL, NOW, SQL, linked, query
 from tidemark.sources import history
 from tidemark.streaming.merge import MergeTable
 from tidemark.tables import shared_dir, written
@@ -359,3 +359,42 @@ def _latest(c: Core) -> DataFrame:
 @query("own_sessions", "SELECT id FROM sessions s WHERE NOT is_legacy AND EXISTS (SELECT 1 FROM commands c WHERE c.session_id = s.id AND NOT c.is_legacy)")
 def _own_sessions(c: Core) -> DataFrame:
     return reports.without_legacy(c.sessions, c.commands).select("id")
+
+
+@query("dashboard_days", """s AS (SELECT id, make_timestamp(start_time * 1000000)::DATE AS day, duration_seconds >= 172800 AS long, n_commands AS n FROM sessions WHERE NOT is_legacy),
+d AS (SELECT day::DATE AS day FROM generate_series(DATE '2024-01-05', DATE '2024-02-03', INTERVAL 1 DAY) g(day)),
+p AS (SELECT day, coalesce(sum(n), 0)::BIGINT AS n, coalesce(bool_or(long), false) AS long FROM d LEFT JOIN s USING (day) GROUP BY 1)
+SELECT day, n, CASE WHEN n = 0 THEN 0 WHEN n < 5 THEN 1 WHEN n < 20 THEN 2 ELSE 3 END AS level, (n > 0 AND n = max(n) OVER ()) OR long AS highlight FROM p""")
+def _dashboard(c: Core) -> DataFrame:
+    """Thirty days up to one after the last event; the quiet days at the end have no activity."""
+    return insights.dashboard_days(c.sessions, c.commands, "2024-02-03", 30, 172800)
+
+
+@query("session_lines", f"""{LINKED_SQL},
+x AS (SELECT id, CASE id % 4 WHEN 0 THEN 'kept ' || id WHEN 1 THEN 'no label' END AS told FROM sessions),
+m AS (SELECT session_id AS id, arg_min(message, (t, hash)) AS message FROM linked GROUP BY 1),
+n AS (SELECT *, starts_with(command, 'ls') OR starts_with(command, 'cd ') OR starts_with(command, 'cat ') OR command = 'git status' AS noise FROM commands),
+w AS (SELECT session_id AS id, arg_max(command, (length(command), -timestamp, -id)) FILTER (NOT noise) AS work, arg_max(command, (timestamp, id)) AS last FROM n GROUP BY 1),
+c AS (SELECT id, coalesce(work, last) AS command FROM w)
+SELECT id, coalesce(told, 'P' || regexp_extract(message, ':rocket: p(.*) \\(', 1), CASE WHEN starts_with(command, 'git commit') THEN regexp_extract(command, '"([^"]+)"', 1) WHEN contains(command, ' && ') THEN split_part(command, ' && ', 2) ELSE command END) AS line
+FROM x LEFT JOIN m USING (id) JOIN c USING (id)""")
+def _session_lines(c: Core) -> DataFrame:
+    """A fourth of the sessions has a summary with labels, another one that is a single line."""
+    labelled = F.concat(F.lit("[head]\n\n  ├─ 🔨 Built: \n• hacked: ├─ kept "), F.col("id").cast("string"), F.lit("\nmore"))
+    rows = c.sessions.withColumn("ai_summary", F.when(F.col("id") % 4 == 0, labelled).when(F.col("id") % 4 == 1, "no label").when(F.col("id") % 4 == 2, ""))
+    return insights.session_lines(rows, c.commands, linked(c))
+
+
+@query("recovered_times", f"""f AS (SELECT command[5:] AS key, min(timestamp) AS ts FROM commands WHERE starts_with(command, 'vim ') GROUP BY 1),
+a AS (SELECT user_id, c.id AS i, coalesce(CASE WHEN c.id % 3 = 0 THEN timestamp END, CASE WHEN length(key) % 2 = 0 THEN ts END) AS t FROM commands c LEFT JOIN f ON command = 'vim ' || key),
+b AS (SELECT *, last_value(CASE WHEN t IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS bi, first_value(CASE WHEN t IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ai FROM a)
+SELECT i AS id, t AS timestamp, false AS is_legacy FROM a WHERE t IS NOT NULL
+UNION ALL SELECT b.i, trunc(x.t + (y.t - x.t) * (b.i - bi) / (ai - bi))::BIGINT, true FROM b JOIN a x ON x.user_id = b.user_id AND x.i = bi JOIN a y ON y.user_id = b.user_id AND y.i = ai WHERE b.t IS NULL""")
+def _recovered(c: Core) -> DataFrame:
+    """Two thirds of the commands without a time get one from edited files (of which some are too old) or between anchors."""
+    rows = c.commands.select("user_id", F.col("id").alias("position"), "command", F.when(F.pmod("id", F.lit(3)) == 0, F.col("timestamp")).alias("timestamp"))
+    key = F.expr("substring(command, 5)")
+    files = c.commands.where("command LIKE 'vim %'").groupBy(F.lit("file").alias("type"), key.alias("key")).agg(F.min("timestamp").alias("ts"))
+    files = files.withColumn("ts", F.when(F.length("key") % 2 == 0, F.col("ts")).otherwise(F.col("ts") - 6 * 366 * 86400))
+    found = recovery.recover(rows, KEYS, files, NOW)
+    return found.where("recovery_source IS NULL OR recovery_source = 'between anchors'").where("timestamp IS NOT NULL").select(F.col("position").alias("id"), "timestamp", "is_legacy")
