@@ -51,6 +51,31 @@ PROJECT_STARTS = ["make", "python manage.py", "python setup.py", "pip install -e
 SUMMARY_LABEL = r"(?i)^(├─|└─|•|\*)\s*(🔨|🔧|🚀|🧠|🤖|📂|⌨️)?\s*(Built|Flow|Result|Story|Hacked|Tooling|Outcome|Project|Action|Pattern):\s*"
 SUMMARY_SIGNS = "├─└─•* \t🔨🔧🚀🧠🤖"
 NO_MEMORY = "Activity logged"
+COMMIT_NOISE = [
+    "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}]", r":[a-z0-9_+-]+:", r"^(?:\[[A-Z]+-\d+\]|[A-Z]+-\d+:)\s*",
+    r"^(?i:feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(?:\([^)]*\))?!?:\s*", r"\s*\(#\d+\)\s*$",
+]
+MESSAGE_FLAGS = [r"""(?:-a?s?m|--message)(?:\s+|=)["']([^"']+)["']""", r"""(?:-a?s?m|--message)(?:\s+|=)([^\s"']+)"""]
+COMMIT_MESSAGES = [r"""-[a-z]*m\s*"((?:\\.|[^"\\])*)\"""", r"-[a-z]*m\s*'([^']*)'", r'--message[= ]"([^"]*)"', r"--message[= ]'([^']*)'", r"-m\s+(\S+)"]
+GIT_WORDS = [
+    (r"(?:checkout\s+-b|switch\s+-c)\s+(\S+)", "Create branch $1"),
+    (r"(?:checkout|switch)\s+(\S+)", "Switch to branch $1"),
+    ("push", "Push changes to remote"),
+    ("pull", "Pull latest changes"),
+    (r"rebase\s+(?:-i|--interactive)\s+HEAD~0*1(?!\d)", "Interactive rebase of last commit"),
+    (r"rebase\s+(?:-i|--interactive)\s+HEAD~0*(\d+)", "Interactive rebase of last $1 commits"),
+    (r"(?s)^(?!.*HEAD~\d).*rebase\s+(?:-i|--interactive)\s+", "Interactive rebase"),
+    (r"(?<!-)rebase\s+(?:onto\s+)?(?!-i|--interactive\b)(\S+)", "Rebase onto $1"),
+    ("cherry-pick", "Cherry-pick commit"),
+    (r"reset\s+--hard\s*HEAD~0*1(?!\d)", "Hard reset to previous commit"),
+    (r"reset\s+--hard\s*HEAD~0*(\d+)", "Hard reset $1 commits back"),
+    (r"reset\s+--soft\s*HEAD~0*1(?!\d)", "Soft reset to previous commit"),
+    (r"reset\s+--soft\s*HEAD~0*(\d+)", "Soft reset $1 commits back"),
+    (r"reset\s+--mixed\s*HEAD~0*1(?!\d)", "Mixed reset to previous commit"),
+    (r"reset\s+--mixed\s*HEAD~0*(\d+)", "Mixed reset $1 commits back"),
+    (r"reset\s+HEAD~0*1(?!\d)", "Reset to previous commit"),
+    (r"reset\s+HEAD~0*(\d+)", "Reset $1 commits back"),
+]
 # End of fixed values.
 
 
@@ -141,11 +166,8 @@ def humanize_project(path: Column) -> Column:
 
 def clean_commit(message: Column) -> Column:
     """Without emoji, :codes:, ticket numbers, conventional prefix and closing pull request number; first letter capital."""
-    m = F.regexp_replace(message, "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}]", "")
-    m = F.trim(F.regexp_replace(m, r":[a-z0-9_+-]+:", ""))
-    m = F.trim(F.regexp_replace(m, r"^(?:\[[A-Z]+-\d+\]|[A-Z]+-\d+:)\s*", ""))
-    m = F.trim(F.regexp_replace(m, r"^(?i:feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(?:\([^)]*\))?!?:\s*", ""))
-    m = F.trim(F.regexp_replace(F.regexp_replace(m, r"\s*\(#\d+\)\s*$", ""), r"\s+", " "))
+    m = reduce(lambda t, pattern: F.trim(F.regexp_replace(t, pattern, "")), COMMIT_NOISE, message)
+    m = F.trim(F.regexp_replace(m, r"\s+", " "))
     return F.concat(F.upper(F.substring(m, 1, 1)), F.substr(m, F.lit(2)))
 
 
@@ -164,28 +186,10 @@ def commit_priority(message: Column) -> Column:
 
 def _memory_of_one(text: Column) -> Column:
     """A commit's message, a git command in words, or the command itself."""
-    part = lambda pattern, group=1: F.regexp_extract(text, pattern, group)
-    quoted, bare = r"""(?:-a?s?m|--message)(?:\s+|=)["']([^"']+)["']""", r"""(?:-a?s?m|--message)(?:\s+|=)([^\s"']+)"""
-    created, switched = r"(?:checkout\s+-b|switch\s+-c)\s+(\S+)", r"(?:checkout|switch)\s+(\S+)"
-    recent, interactive = r"rebase\s+(?:-i|--interactive)\s+HEAD~(\d+)", r"rebase\s+(?:-i|--interactive)\s+"
-    onto, back = r"(?<!-)rebase\s+(?:onto\s+)?(?!-i|--interactive\b)(\S+)", r"reset\s+(--hard|--soft|--mixed)?\s*HEAD~(\d+)"
-    n = lambda pattern, group=1: part(pattern, group).cast("long")
-    mode = F.initcap(F.replace(part(back), F.lit("--"), F.lit("")))
-    reset = F.when(mode == "", "Reset").otherwise(F.concat(mode, F.lit(" reset")))
-    steps = F.when(n(back, 2) == 1, "to previous commit").otherwise(F.concat(n(back, 2).cast("string"), F.lit(" commits back")))
-    ladder = [
-        (text.rlike(created), F.concat(F.lit("Create branch "), part(created))), (text.rlike(switched), F.concat(F.lit("Switch to branch "), part(switched))),
-        (text.contains("push"), F.lit("Push changes to remote")), (text.contains("pull"), F.lit("Pull latest changes")),
-        (text.rlike(recent) & (n(recent) == 1), F.lit("Interactive rebase of last commit")), (text.rlike(recent), F.concat(F.lit("Interactive rebase of last "), n(recent).cast("string"), F.lit(" commits"))),
-        (text.rlike(interactive) & ~text.rlike(r"HEAD~\d+"), F.lit("Interactive rebase")), (text.rlike(onto), F.concat(F.lit("Rebase onto "), part(onto))),
-        (text.contains("cherry-pick"), F.lit("Cherry-pick commit")), (text.rlike(back), F.concat(reset, F.lit(" "), steps)),
-    ]
-    in_words = F.lit(None).cast("string")
-    for condition, words in reversed(ladder):
-        in_words = F.when(condition, words).otherwise(in_words)
-    message = F.coalesce(F.nullif(part(quoted), F.lit("")), F.nullif(part(bare), F.lit("")))
+    told = F.coalesce(*[F.when(text.rlike(pattern), F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, words)) for pattern, words in GIT_WORDS])
+    message = F.coalesce(*[F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")) for pattern in MESSAGE_FLAGS])
     flat = F.trim(F.replace(text, F.lit("\n"), F.lit(" ")))
-    return F.when(message.isNotNull(), F.trim(message)).otherwise(F.coalesce(F.when(F.trim(text).startswith("git "), in_words), flat))
+    return F.when(message.isNotNull(), F.trim(message)).otherwise(F.coalesce(F.when(F.trim(text).startswith("git "), told), flat))
 
 
 def command_memory(text: Column) -> Column:
@@ -200,8 +204,7 @@ def command_memory(text: Column) -> Column:
 
 def commit_message_in(command: Column) -> Column:
     """The message that a commit command gives, or null; the first form that fits wins."""
-    forms = [r"""-[a-z]*m\s*"((?:\\.|[^"\\])*)\"""", r"-[a-z]*m\s*'([^']*)'", r'--message[= ]"([^"]*)"', r"--message[= ]'([^']*)'", r"-m\s+(\S+)"]
-    found = [F.nullif(F.regexp_extract(command, f, 1), F.lit("")) for f in forms]
+    found = [F.nullif(F.regexp_extract(command, f, 1), F.lit("")) for f in COMMIT_MESSAGES]
     return F.when(command.rlike(r"\bgit\s+commit\b"), F.coalesce(*found))
 
 
