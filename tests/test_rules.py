@@ -18,3 +18,16 @@ def test_neighbouring_addresses_are_all_redacted(spark):
     c.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
     assert [t for _, t in sorted(c.execute(queries.SQL["redact_addresses"]).fetchall())] == got
     assert got[0] == " ".join(["[REDACTED_IP]"] * 4)
+
+
+def test_bursts_before_1970(spark):
+    """So many bursts that a day for each goes back before the epoch."""
+    n, mtime = 3000, 10_000_000
+    rows = spark.range(n).select(F.col("id").alias("position"))
+    got = [r.timestamp for r in recovery.place_bursts_apart(rows, [], mtime).orderBy("position").collect()]
+    shift = 7 * 86400 * 1000  # whole weeks: the same rule at times after the epoch
+    assert got[0] < 0 and got == [t - shift for t in plain_bursts(n, mtime + shift)]
+    c = duckdb.connect()
+    for t in (-1, -86400 * 5 + 30000, -86400 * 3 + 40000, 0, 86400 * 9 + 70000, -250000):
+        want = spark.range(1).select(recovery._in_hours(F.lit(t))).first()[0]
+        assert c.execute(f"SELECT {deeper._in_hours('t')} FROM (SELECT {t}::BIGINT AS t)").fetchone()[0] == want

@@ -105,7 +105,7 @@ def place_bursts_apart(rows: DataFrame, keys: list[str], mtime: int, order: str
     hours. Bursts are a day apart before they are moved, and none is moved
     further than four days, so only the few bursts before one decide on its
     place: each burst is worked out by itself, from the last one that is surely
-    placed forwards.
+    placed forwards. The first one is placed forwards at any time, also before 1970.
     """
     reach, length = 8, size * 10
     numbered_rows = numbered(rows, keys, [order], "__place")
@@ -127,7 +127,7 @@ def place_bursts_apart(rows: DataFrame, keys: list[str], mtime: int, order: str
     near = F.col("__near")
     sure = lambda k: (k < F.size(near)) & F.coalesce(F.get(near, k) > F.array_max(F.slice(near, k + 2, reach)) + length, F.lit(True))
     first = F.filter(steps(reach), sure)[0]
-    state = F.struct(F.lit(0).cast("long").alias("ahead"), F.lit(0).cast("long").alias("behind"), F.lit(0).cast("long").alias("at"))
+    state = F.struct(F.lit(-(2**62)).cast("long").alias("ahead"), F.lit(0).cast("long").alias("behind"), F.lit(0).cast("long").alias("at"))
 
     def step(s: Column, t: Column) -> Column:
         hit = t <= s["ahead"]

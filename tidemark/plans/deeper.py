@@ -115,9 +115,11 @@ def _nearest_in_order(c: Core) -> DataFrame:
 
 
 def _in_hours(t: str) -> str:
-    """SQL of the working hours rule."""
-    day = f"(({t}) // 86400 - CASE WHEN ({t}) % 86400 < 32400 THEN 1 ELSE 0 END)"
-    return f"CASE WHEN ({t}) % 86400 < 32400 OR ({t}) % 86400 >= 64800 OR ({day} + 3) % 7 >= 5 THEN ({day} - greatest(0, ({day} + 3) % 7 - 4)) * 86400 + 57600 ELSE {t} END"
+    """SQL of the working hours rule; days are whole ones before 1970 also."""
+    day, second = f"floor(({t}) / 86400)::BIGINT", f"((({t}) % 86400 + 86400) % 86400)"
+    on = f"({day} - CASE WHEN {second} < 32400 THEN 1 ELSE 0 END)"
+    weekday = f"((({on} + 3) % 7 + 7) % 7)"
+    return f"CASE WHEN {second} < 32400 OR {second} >= 64800 OR {weekday} >= 5 THEN ({on} - greatest(0, {weekday} - 4)) * 86400 + 57600 ELSE {t} END"
 
 
 RECURSIVE_SQL = COMMANDS_SQL.rstrip().replace("WITH", "WITH RECURSIVE", 1)
@@ -126,7 +128,7 @@ RECURSIVE_SQL = COMMANDS_SQL.rstrip().replace("WITH", "WITH RECURSIVE", 1)
 @query("burst_collisions", f"""{RECURSIVE_SQL},
 p AS (SELECT id AS position, command, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM commands),
 z AS (SELECT *, greatest(bursts * 86400, 31536000) AS span FROM (SELECT (max(n) + 19) // 20 AS bursts FROM p)),
-b AS (SELECT i, {NOW} - 2592000 - span + trunc(i::DOUBLE / bursts * span)::BIGINT AS raw FROM z, range(bursts) r(i)),
+b AS (SELECT i, trunc({NOW} - 2592000 - span + i::DOUBLE / bursts * span)::BIGINT AS raw FROM z, range(bursts) r(i)),
 t AS (SELECT i, ({_in_hours("raw")})::BIGINT AS t FROM b),
 w AS (SELECT 0::BIGINT AS i, t AS "at", t + 200 AS ahead FROM t WHERE i = 0
   UNION ALL SELECT t.i, CASE WHEN t.t <= w.ahead THEN ({_in_hours('w."at" - 3600')})::BIGINT ELSE t.t END, CASE WHEN t.t <= w.ahead THEN w.ahead ELSE t.t + 200 END FROM w JOIN t ON t.i = w.i + 1)
