@@ -31,3 +31,14 @@ def test_bursts_before_1970(spark):
     for t in (-1, -86400 * 5 + 30000, -86400 * 3 + 40000, 0, 86400 * 9 + 70000, -250000):
         want = spark.range(1).select(recovery._in_hours(F.lit(t))).first()[0]
         assert c.execute(f"SELECT {deeper._in_hours('t')} FROM (SELECT {t}::BIGINT AS t)").fetchone()[0] == want
+
+
+def test_near_scores_are_not_ties():
+    """Scores that differ in the seventh decimal: the higher comes first, not the newer."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE f AS SELECT * FROM (VALUES (1, 10, 1000000, 'docker', 1), (2, 20, 1000001, 'docker', 1), (3, 30, 1000000, 'docker', 1)) t(id, start_time, n, term, tf)")
+    c.execute("CREATE TABLE d AS SELECT 'docker' AS term, 500 AS df")
+    c.execute("CREATE TABLE s AS SELECT 1000 AS docs, 1000000000 AS total")
+    sql = deeper.SQL["ask_sessions"]
+    got = c.execute(sql[sql.rindex("SELECT id, round(") :]).fetchall()
+    assert len({score for _, score in got}) == 1 and [i for i, _ in got] == [3, 1, 2]

@@ -184,9 +184,10 @@ def session_documents(sessions: DataFrame, commands: DataFrame, linked_commits:
 
 
 def ask(documents: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Prefix BM25 on words plus exact BM25 on word pairs, over documents with any query word; ties to the newest.
+    """Prefix BM25 on words plus exact BM25 on word pairs, over documents with any query word; ties to the newest, then the least id.
 
-    A term with an underscore counts as a pair.
+    A term with an underscore counts as a pair. Scores tie in their first nine
+    decimals: the sum's last bits depend on the order in which its parts arrive.
     """
     q = re.findall(r"\w+", query.lower())
     pairs = [f"{a}_{b}" for a, b in zip(q, q[1:])]
@@ -201,7 +202,7 @@ def ask(documents: DataFrame, query: str, limit: int = 10) -> DataFrame:
     scored = counts.join(F.broadcast(df), "i").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1 + 1e-9)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / (F.col("total") / (F.col("docs") + 1e-9))))
-    return scored.groupBy("id", "start_time").agg(F.sum(part).alias("score")).orderBy(F.col("score").desc(), F.col("start_time").desc(), "id").limit(limit)
+    return scored.groupBy("id", "start_time").agg(F.sum(part).alias("score")).orderBy(F.round("score", 9).desc(), F.col("start_time").desc(), "id").limit(limit)
 
 
 def cosine(a: Column, b: Column) -> Column:

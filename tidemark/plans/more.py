@@ -345,7 +345,7 @@ a AS (SELECT id, start_time, len(w) AS n, list_concat(w, list_transform(range(1,
 q(term, pair) AS (VALUES ('docker', false), ('build', false), ('npm', false), ('docker_build', true), ('build_npm', true)),
 f AS (SELECT id, start_time, n, term, len(list_filter(every, lambda y: CASE WHEN pair THEN y = term ELSE starts_with(y, term) END)) AS tf FROM a, q),
 s AS (SELECT count(*) AS docs, sum(n) AS total FROM a), d AS (SELECT term, count(*) AS df FROM f WHERE tf > 0 GROUP BY 1)
-SELECT id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1 + 1e-9) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * n / (total / (docs + 1e-9))))), 6) AS score FROM f JOIN d USING (term), s WHERE tf > 0 GROUP BY id, start_time ORDER BY score DESC, start_time DESC, id LIMIT 10""")
+SELECT id, round(score, 6) AS score FROM (SELECT id, start_time, sum(ln((docs - df + 0.5) / (df + 0.5) + 1 + 1e-9) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * n / (total / (docs + 1e-9))))) AS score FROM f JOIN d USING (term), s WHERE tf > 0 GROUP BY id, start_time) r ORDER BY round(r.score, 9) DESC, start_time DESC, id LIMIT 10""")
 _also("safe_context", """SELECT id, command FROM commands WHERE session_id NOT IN (SELECT session_id FROM commands WHERE starts_with(command, 'ssh')) ORDER BY timestamp DESC, id DESC LIMIT 50""")
 _also("redact_commands", """SELECT id, CASE WHEN starts_with(command, 'ssh ') THEN 'ssh deploy@[REDACTED_HOST] && export API_TOKEN=[REDACTED]' ELSE command END AS redacted, false AS blacklisted FROM commands""")
 SQL["query_expansion"] = """WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term, doc_id FROM documents), a AS (SELECT term, 'doc' || min(doc_id) AS anchor FROM t GROUP BY 1),
