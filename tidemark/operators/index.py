@@ -19,6 +19,7 @@ from tidemark.operators.scan import numbered
 from tidemark.operators.search import K1, B, exactness_tier, prefix_match, tokens
 
 RANGE = 4096  # document numbers in a block
+TASK_BYTES = 32 << 20  # of text that a task sorts or takes postings of, on average
 LAST = chr(0x10FFFF)
 BATCHES = "batch int, first long, docs long, tokens long, gone_docs long, gone_tokens long"
 DOCS = "doc long, range long, type string, ref string, n int, text string, batch int"
@@ -55,15 +56,16 @@ class StoredIndex:
 
     def _write(self, rows: DataFrame, batch: int, first: int, done: list[int], replace: bool) -> None:
         at = lambda name: f"{self.path}/{name}/b{batch}"
-        placed = numbered(rows.select("type", "ref", "text"), [], ["type", "ref", "text"], "place").withColumn("doc", F.col("place") + first)
+        parts = _parts(rows)
+        placed = numbered(rows.select("type", "ref", "text"), [], ["type", "ref", "text"], "place", parts).withColumn("doc", F.col("place") + first)
         placed = placed.select("doc", F.floor(F.col("doc") / RANGE).alias("range"), "type", "ref", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("n"), "text", F.lit(batch).alias("batch"))
         placed.write.mode("overwrite").parquet(at("docs"))
         docs = self.spark.read.schema(DOCS).parquet(at("docs"))
-        found = docs.select("doc", "range", "n", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "range", "doc", "n").agg(F.count("*").cast("int").alias("tf"))
+        found = docs.select("doc", "range", "n", F.explode(_counted(tokens(F.col("text")))).alias("x")).select("range", "doc", "n", "x.term", "x.tf").repartition(parts, "term", "range")
         entry = F.struct((F.col("doc") - F.col("range") * RANGE).cast("smallint").alias("offset"), "tf", "n")
         blocks = found.groupBy("term", "range").agg(F.count("*").cast("int").alias("docs"), F.max("tf").alias("tf_max"), F.min("n").alias("len_min"), F.array_sort(F.collect_list(entry)).alias("x"))  # at most RANGE entries
         blocks = blocks.select("term", "range", "docs", "tf_max", "len_min", F.col("x.offset").alias("offsets"), F.col("x.tf").alias("tfs"), F.col("x.n").alias("lens"), F.lit(batch).alias("batch"))
-        blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(at("postings"))
+        blocks.repartitionByRange(parts, "term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(at("postings"))
         terms = self.spark.read.schema(POSTINGS).parquet(at("postings")).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"))
         terms.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("overwrite").parquet(at("files"))
         gone = (0, 0)
@@ -172,6 +174,24 @@ class StoredIndex:
         return best.join(self._read("docs", DOCS).select("doc", "type", "ref"), "doc")
 
 
+def _parts(rows: DataFrame) -> int:
+    """Tasks for the texts: the session's shuffle partitions or, of more text, as many as keep a task's share the same."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def _counted(words: Column) -> Column:
+    """(term, tf) of each different word: runs of the sorted words, so that a text's words are counted where it is, without a shuffle."""
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  (worked out once, not for each word)
+
+    def runs(w: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        ends = lambda b, k: F.coalesce(F.get(b, k + 1), F.size(w))
+        return bound(begins, lambda b: F.transform(b, lambda at, k: F.struct(F.get(w, at).alias("term"), (ends(b, k) - at).cast("int").alias("tf"))))
+
+    return bound(F.array_sort(words), lambda w: F.when(F.size(w) > 0, runs(w)))
+
+
 def _entries(blocks: DataFrame) -> DataFrame:
     """(doc, term, tf, n) of blocks."""
     x = F.explode(F.arrays_zip("offsets", "tfs", "lens")).alias("x")

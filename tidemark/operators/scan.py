@@ -16,13 +16,14 @@ from tidemark.tables import written
 PART = "__part"
 
 
-def parted(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def parted(rows: DataFrame, keys: list[str], order: list[str], count: int | None = None) -> DataFrame:
     """``rows`` in ranges of keys and order, written once, with the number of each row's part.
 
     ``order`` should leave no ties: tied rows of a key may come in either order.
+    Without a ``count`` of parts, the session's number of shuffle partitions counts.
     """
     by = [*keys, *order]
-    return written(rows.repartitionByRange(*by).withColumn(PART, F.spark_partition_id()), "parted")
+    return written(rows.repartitionByRange(*([count] if count else []), *by).withColumn(PART, F.spark_partition_id()), "parted")
 
 
 def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
@@ -78,9 +79,9 @@ def scan(parts: DataFrame, keys: list[str], order: list[str], previous: dict[str
     return out.select(*parts.columns, *previous, *running, *latest, *highest)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
-    """``rows`` with their place within the keys, from 0."""
-    parts = parted(rows, keys, order)
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "place", count: int | None = None) -> DataFrame:
+    """``rows`` with their place within the keys, from 0; ``count``: see ``parted``."""
+    parts = parted(rows, keys, order, count)
     return scan(parts, keys, order, running={name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1).drop(PART)
 
 
