@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,28 @@ def test_leaders_do_not_depend_on_the_parts(spark):
     assert search.leader_clusters(df.where(F.lit(False)), ["g"], "v", "i").count() == 0
 
 
+def test_leaders_of_many_unlike_vectors(spark):
+    """Nearly each vector leads a cluster of its own, so all are compared with all."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4000, 24))
+    base[1000:1400] = base[:400] + 0.3 * rng.normal(size=(400, 24))  # join one of the same or an earlier block, whose mean moves
+    base[1400:1500] = base[1300:1400] + 0.5 * rng.normal(size=(100, 24))
+    base[7] = 0.0
+    rows = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(base)], "g int, i int, v array<double>")
+    begin = time.monotonic()
+    found = {r.i: r.cluster for r in search.leader_clusters(rows, ["g"], "v", "i", 0.7, 1100).collect()}
+    assert time.monotonic() - begin < 25  # a loop over the clusters of each vector takes longer
+    sums, sizes, want = np.zeros_like(base), np.zeros(len(base)), []
+    for i, v in enumerate(base):
+        mean = sums[: max(want, default=-1) + 1] / sizes[: max(want, default=-1) + 1, None]
+        with np.errstate(invalid="ignore"):
+            near = np.flatnonzero(mean @ v / (np.linalg.norm(mean, axis=1) * np.linalg.norm(v)) >= 0.7)
+        want.append(int(near[0]) if len(near) else len(mean))
+        sums[want[-1]] += v
+        sizes[want[-1]] += 1
+    assert [found[i] for i in range(len(base))] == want and 3000 < len(set(want)) < 3700
+
+
 def test_errors_and_multiplicity(spark):
     s = spark.createDataFrame([(1, 10, 20, 10, 1, False)], "id long, start_time long, end_time long, duration_seconds long, project_id long, is_legacy boolean")
     c = spark.createDataFrame([(1, 10, "make", 1, 1)], "id long, timestamp long, command string, session_id long, project_id long")

@@ -16,6 +16,8 @@ from tidemark.tables import written
 
 TOKEN = r"[\p{L}\p{N}_]+"
 K1, B = 1.5, 0.75
+FOLLOWED = 256  # vectors that are compared with all clusters of a group at once
+FOLLOWED_CELLS = 8_000_000  # numbers in such a product, at most
 
 
 def tokens(text: Column) -> Column:
@@ -276,43 +278,75 @@ def command_clusters(commands: DataFrame, by: list[str]) -> DataFrame:
     return per.groupBy(*by, word.alias("word")).agg(F.min("first").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]).alias("commands"))
 
 
+def _follow(vectors: np.ndarray, totals: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cluster of each vector in turn, and the sums and sizes of the clusters after them.
+
+    A block of vectors is multiplied with the directions of all clusters at once,
+    in single precision; those changed within the block are multiplied again for
+    each vector. What reaches the threshold, less what rounding can take, is
+    decided in double precision, so the result is that of the plain loop.
+    """
+    n, width, k = len(vectors), vectors.shape[1], len(counts)
+    sums, sizes = np.zeros((k + n, width)), np.zeros(k + n, np.int64)
+    sums[:k], sizes[:k] = totals, counts
+    length = lambda x: np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    with np.errstate(all="ignore"):
+        unit = lambda x: np.where(length(x) > 0, x / length(x), 0.0).astype(np.float32)
+        means, asked = np.zeros((k + n, width), np.float32), unit(vectors)
+        means[:k] = unit(totals / counts[:, None])
+        least = np.float32(threshold - (width + 8) * 2.4e-7)
+        out, at = np.empty(n, np.int64), 0
+        while at < n:
+            block, known = asked[at : at + max(1, min(FOLLOWED, FOLLOWED_CELLS // max(1, k)))], k
+            like = block @ means[:known].T >= least
+            moved: list[int] = []  # clusters of before the block that have changed in it
+            for j in range(len(block)):
+                v, own = vectors[at], np.flatnonzero(like[j])
+                fresh = known + np.flatnonzero(means[known:k] @ block[j] >= least)
+                for i in sorted({*own.tolist(), *moved}) + fresh.tolist():
+                    mean = sums[i] / sizes[i]
+                    scale = np.linalg.norm(mean) * np.linalg.norm(v)
+                    if scale and float(mean @ v) / scale >= threshold:
+                        break
+                else:
+                    i, k = k, k + 1
+                sums[i] += v
+                sizes[i] += 1
+                means[i] = unit(sums[i] / sizes[i])
+                if i < known and i not in moved:
+                    moved.append(i)
+                out[at] = i
+                at += 1
+    return out, sums[:k], sizes[:k]
+
+
 def leader_clusters(rows: DataFrame, by: list[str], vector_col: str, order_col: str, threshold: float = 0.6, most: int = 5000) -> DataFrame:
     """Order-dependent clusters: each vector joins the first cluster whose mean is close enough, else starts one.
 
     The rule is sequential within a group. A group is folded ``most`` rows at a
     time, all groups at once; the sums and sizes of its clusters pass from part
     to part through written tables, so the result does not depend on ``most``,
-    and a task holds one part and the clusters of one group.
+    and a task holds one part and the clusters of one group. Vectors that are
+    like nothing before are compared with every cluster, so the work grows with
+    rows times clusters; it is done in products of matrices.
     """
     part = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order_col)) - 1) / most)
     numbered = written(rows.select(*by, order_col, vector_col).withColumn("part", part), "numbered")
     parts = (numbered.agg(F.max("part")).first()[0] or 0) + 1
     kept = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in [*by, order_col])
     schema = f"{kept}, cluster int, total array<double>, n long"
+    names = [*by, order_col, "cluster", "total", "n"]
 
     def run(state: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):  # the group ended in an earlier part
+            return pd.DataFrame(columns=names)
         state, pdf = state.sort_values("cluster"), pdf.sort_values(order_col)
-        sums, counts, out = [np.array(x) for x in state["total"]], state["n"].tolist(), []
-        for v in pdf[vector_col]:
-            v = np.asarray(v, float)
-            at = -1
-            for i, (s, n) in enumerate(zip(sums, counts)):
-                scale = np.linalg.norm(s / n) * np.linalg.norm(v)
-                if scale and float(s / n @ v) / scale >= threshold:
-                    at = i
-                    break
-            if at < 0:
-                sums.append(v.copy())
-                counts.append(1)
-                at = len(sums) - 1
-            else:
-                sums[at] += v
-                counts[at] += 1
-            out.append(at)
-        names = [*by, order_col, "cluster", "total", "n"]
+        vectors = np.array(pdf[vector_col].tolist(), float)
+        totals = np.array(state["total"].tolist(), float).reshape(-1, vectors.shape[1])
+        out, sums, counts = _follow(vectors, totals, state["n"].to_numpy(np.int64), threshold)
         assigned = pdf.assign(cluster=out, total=None, n=None)[names]
-        keys = (pdf if len(pdf) else state)[by].iloc[0].to_dict()
-        after = pd.DataFrame({**{k: [v] * len(sums) for k, v in keys.items()}, order_col: None, "cluster": range(len(sums)), "total": [x.tolist() for x in sums], "n": counts})[names]
+        keys = pdf[by].iloc[0].to_dict()
+        after = pd.DataFrame({**{k: [v] * len(sums) for k, v in keys.items()}, order_col: None, "cluster": range(len(sums)), "total": list(sums), "n": counts})[names]
         return pd.concat([assigned.astype(object), after.astype(object)])
 
     state, found = numbered.sparkSession.createDataFrame([], schema), []
