@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,29 @@ def test_as_the_sequential_rule(spark, seed, n, copies, threshold):
     assert {(r.repo, r.position): r.hash for r in found.collect()} == sequential(asked, commits, threshold)
 
 
+def test_large_keys_go_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(matching, "HELD", 150)
+    asked, commits = tables(2, 60, 25)
+    a = spark.createDataFrame(asked, "repo string, position long, a string")
+    b = spark.createDataFrame(commits, "repo string, hash string, t long, b string")
+    found = matching.assign_once(a, b, matching.similar_texts(a, b, ["repo"], 0.85), ["repo"])
+    assert {(r.repo, r.position): r.hash for r in found.collect()} == sequential(asked, commits, 0.85)
+
+
+def test_texts_of_many_keys_are_compared_once(spark, monkeypatch):
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        counted.add(len(x))
+        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
+
+    monkeypatch.setattr(matching, "_ratio", ratio)
+    texts = spark.createDataFrame([(k, f"purchase {n}") for k in range(30) for n in range(10, 16)], "k int, a string")
+    got = matching.similar_texts(texts, texts.withColumnRenamed("a", "b"), ["k"], 0.85)
+    assert got.count() == 30 * 36 and counted.value == 30  # pairs of different texts
+
+
 def test_no_similar_text_is_missed(spark):
     rng = random.Random(9)
     one, two = ([(1, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 14)))) for _ in range(150)] for _ in range(2))
