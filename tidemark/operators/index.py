@@ -10,16 +10,22 @@ broken off is written anew by the next ``add``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import numbered
 from tidemark.operators.search import K1, B, exactness_tier, prefix_match, tokens
+from tidemark.tables import small_batches, written
 
 RANGE = 4096  # document numbers in a block
 TASK_BYTES = 32 << 20  # of text that a task sorts or takes postings of, on average
+RUN_TOKENS = 1_000_000  # that a task counts at a time, and what a few documents have beyond
+RUN_DOCS = 32  # documents looked at together
 LAST = chr(0x10FFFF)
 BATCHES = "batch int, first long, docs long, tokens long, gone_docs long, gone_tokens long"
 DOCS = "doc long, range long, type string, ref string, n int, text string, batch int"
@@ -61,11 +67,10 @@ class StoredIndex:
         placed = placed.select("doc", F.floor(F.col("doc") / RANGE).alias("range"), "type", "ref", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("n"), "text", F.lit(batch).alias("batch"))
         placed.write.mode("overwrite").parquet(at("docs"))
         docs = self.spark.read.schema(DOCS).parquet(at("docs"))
-        found = docs.select("doc", "range", "n", F.explode(_counted(tokens(F.col("text")))).alias("x")).select("range", "doc", "n", "x.term", "x.tf").repartition(parts, "term", "range")
-        entry = F.struct((F.col("doc") - F.col("range") * RANGE).cast("smallint").alias("offset"), "tf", "n")
-        blocks = found.groupBy("term", "range").agg(F.count("*").cast("int").alias("docs"), F.max("tf").alias("tf_max"), F.min("n").alias("len_min"), F.array_sort(F.collect_list(entry)).alias("x"))  # at most RANGE entries
-        blocks = blocks.select("term", "range", "docs", "tf_max", "len_min", F.col("x.offset").alias("offsets"), F.col("x.tf").alias("tfs"), F.col("x.n").alias("lens"), F.lit(batch).alias("batch"))
-        blocks.repartitionByRange(parts, "term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(at("postings"))
+        runs = written(_runs(docs.select("doc", "range", (F.col("doc") - F.col("range") * RANGE).cast("smallint").alias("offset"), "n", tokens(F.col("text")).alias("words"))), "runs")
+        # Dealt by range at once, so that the blocks are not shuffled again for the files.
+        blocks = _merged(runs.repartitionByRange(parts, "term", "range").sortWithinPartitions("term", "range")).withColumn("batch", F.lit(batch))
+        blocks.write.mode("overwrite").parquet(at("postings"))
         terms = self.spark.read.schema(POSTINGS).parquet(at("postings")).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"))
         terms.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("overwrite").parquet(at("files"))
         gone = (0, 0)
@@ -192,6 +197,76 @@ def _counted(words: Column) -> Column:
     return bound(F.array_sort(words), lambda w: F.when(F.size(w) > 0, runs(w)))
 
 
+def _runs(docs: DataFrame, most: int = RUN_TOKENS) -> DataFrame:
+    """(term, range, offsets, tfs, lens) from (doc, range, offset, n, words): pieces of blocks, counted where the texts are.
+
+    A task counts about ``most`` tokens at a time, so a block comes in few pieces
+    and what is shuffled are blocks, not a row for each word of a document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, RUN_DOCS):
+                part = batch.slice(at, RUN_DOCS)
+                held.append(part)
+                count += len(part.column("words").flatten())
+                if count >= most:
+                    yield _pieces(held)
+                    held, count = [], 0
+        if count:
+            yield _pieces(held)
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc", "range", "offset", "n", "words").mapInArrow(run, "term string, range long, offsets array<smallint>, tfs array<int>, lens array<int>")
+
+
+def _pieces(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held).sort_by("doc").combine_chunks()
+    area, offset, n = (table[c].to_numpy() for c in ("range", "offset", "n"))
+    words = pa.concat_arrays(table["words"].chunks)
+    coded = words.flatten().dictionary_encode()
+    at = np.repeat(np.arange(len(n)), words.value_lengths().fill_null(0).to_numpy())
+    pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(n) + at, return_counts=True)
+    code, at = pair // len(n), pair % len(n)
+    first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(area[at], prepend=-1) != 0))
+    cuts = pa.array(np.append(first, len(pair)), pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (offset[at], tf.astype(np.int32), n[at].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.array(area[at[first]]), *lists], names=["term", "range", "offsets", "tfs", "lens"])
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """Blocks (as POSTINGS, without batch) of pieces that are sorted by term and range; at most RANGE entries each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last block of a batch may go on in the next
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            term, area = table["term"].combine_chunks().dictionary_encode().indices.to_numpy(), table["range"].to_numpy()
+            first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(area, prepend=-1) != 0))
+            if len(first) > 1:
+                yield _whole(table.slice(0, first[-1]), first[:-1])
+            held = table.slice(first[-1] if len(first) else 0).combine_chunks().to_batches()
+            held = held[0] if held else None
+        if held is not None:
+            yield _whole(pa.Table.from_batches([held]), np.zeros(1, np.int64))
+
+    return runs.mapInArrow(run, "term string, range long, docs int, tf_max int, len_min int, offsets array<smallint>, tfs array<int>, lens array<int>")
+
+
+def _whole(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+    """One row for the pieces from each of ``first`` on."""
+    lists = [pa.concat_arrays(table[c].chunks) for c in ("offsets", "tfs", "lens")]
+    offset, tf, n = (x.flatten().to_numpy() for x in lists)
+    cuts = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy()))[np.append(first, len(table))]
+    of = np.repeat(np.arange(len(first)), np.diff(cuts))
+    order = np.lexsort((offset, of))  # pieces need not come in the order of their documents
+    made = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x[order])) for x in (offset, tf, n)]
+    numbers = [pa.array(x.astype(np.int32)) for x in (np.diff(cuts), np.maximum.reduceat(tf, cuts[:-1]), np.minimum.reduceat(n, cuts[:-1]))]
+    heads = table.take(pa.array(first)).combine_chunks()
+    return pa.RecordBatch.from_arrays([*(pa.concat_arrays(heads[c].chunks) for c in ("term", "range")), *numbers, *made], names=["term", "range", "docs", "tf_max", "len_min", "offsets", "tfs", "lens"])
+
+
 def _entries(blocks: DataFrame) -> DataFrame:
     """(doc, term, tf, n) of blocks."""
     x = F.explode(F.arrays_zip("offsets", "tfs", "lens")).alias("x")
