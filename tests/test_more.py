@@ -93,3 +93,15 @@ def test_search_filters_pages_and_recovers(spark):
     index = search.index_rows(c, m.select("hash", "message"), s)
     assert sorted(ids(query="doc run", index=index)) == [1, 2, 4, 5, 7, 8] and ids(query="doc run") == []
     assert ids(query="docker run", index=index.where("ref <> '8'")) == [8, 7, 5, 4, 2, 1]  # the base still finds what the index lost
+
+
+def test_search_steps_are_apart(spark):
+    """No stage of the last plan joins for more than the tiers: project, tags and hits are worked out before, each by itself."""
+    s = spark.createDataFrame([(i, 100 * i, 100 * i + 50, 50, i % 2, False) for i in range(1, 9)], "id long, start_time long, end_time long, duration_seconds long, project_id long, is_legacy boolean")
+    c = spark.createDataFrame([(i, 100 * i, "docker run" if i % 3 else "ls", i, i % 2) for i in range(1, 9)], "id long, timestamp long, command string, session_id long, project_id long")
+    m = spark.createDataFrame([], "session_id long, hash string, t long, message string")
+    p = spark.createDataFrame([(1, "one", "/x"), (0, "zero", "/y")], "id long, name string, path string")
+    tags = c.groupBy("session_id").agg(F.array(F.lit("test")).alias("tags"))
+    found = search.advanced_search(s, c, m, p, "docker", "one", tags=tags, wanted_tags=("test",))
+    assert [r.id for r in found.collect()] == [7, 5, 1]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4

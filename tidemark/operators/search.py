@@ -84,7 +84,7 @@ def standard_search(sessions: DataFrame, commands: DataFrame, commits: DataFrame
     like = f"%{query.strip()}%"
     found = commands.where(F.col("command").ilike(like)).select(F.col("session_id").alias("id"))
     found = found.union(with_project(sessions, projects).where(F.col("project_name").ilike(like)).select("id")).union(commits.where(F.col("message").ilike(like)).select("session_id"))
-    hits = chosen.join(found.distinct(), "id", "left_semi")
+    hits = written(chosen.join(found.distinct(), "id", "left_semi"), "hits")
     tier = exactness_tier(hits, commands.join(hits.select(F.col("id").alias("session_id")), "session_id", "left_semi"), projects, query)
     return _newest(hits.join(tier, "id"), [F.col("tier")], limit)
 
@@ -125,10 +125,12 @@ def advanced_search(
     rows (None: all) after the first ``offset``.
     """
     chosen = sessions.where(F.col("start_time").between(since if since is not None else 0, until if until is not None else FAR_FUTURE))
+    # Each step is written, so that no task holds the sorts of all steps at once and only what is left goes on.
     if project:
-        chosen = matches_project(chosen, commands, projects, project)
+        chosen = written(matches_project(chosen, commands, projects, project), "of_project")
     if wanted_tags:
-        chosen = with_tags(chosen, tags, list(wanted_tags))
+        of_chosen = tags.join(chosen.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+        chosen = written(with_tags(chosen, of_chosen, list(wanted_tags)), "tagged")
     if query.strip() and index is not None and index_is_current(index, commands):
         found = index_search(index, chosen, commands, projects, query, limit=None)
     else:
