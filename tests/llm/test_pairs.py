@@ -172,6 +172,14 @@ def test_banded_automaton_equals_plain_distance(spark, edits):
     assert found.count() > 200
 
 
+def test_within_edits_of_any_number(spark):
+    line = "the quick brown fox jumps over the lazy dog"
+    others = [line[2:], line[5:], line[6:], line[:10] + "éé😀" + line[13:-2], line[:4] + line[10:]]
+    df = spark.createDataFrame([(line, o) for o in others], "a string, b string")
+    got = [r[0] for r in df.select(L.within_edits(F.col("a"), F.col("b"), F.lit(5), 5)).collect()]
+    assert got == [distance(line, o) <= 5 for o in others] == [True, True, False, True, False]
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(3)
     letters = "abcde fghij"

@@ -4,22 +4,18 @@ A line within t edits of another keeps at least one of the other's t + 1
 segments whole, moved by few characters. So the shorter line is indexed by the
 hashes of its segments, and the longer one probes with those of its substrings
 that a segment can have moved to, given both lengths. Only keys that different
-lines share go on; their lines are compared by a banded bit-parallel automaton
-that is folded over the characters, its whole state one long.
+lines share go on; their lines are compared by Spark's bounded ``levenshtein``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import star_components
 from tidemark.llm.scratch import written
 
-EDITS = 2  # at most; the automaton's state holds up to 3
-END = 16  # characters at either end that are compared before the rest
+EDITS = 2  # at most
 CHARS_PER_EDIT = 20  # a line has an edit for each so many characters, up to EDITS
 BLANK = " \t\r\x0b\x0c"  # trimmed from both ends of a line
 BLOCK = 64  # lines that a probing line is compared with in one row
@@ -52,7 +48,7 @@ def segment_keys(lines: DataFrame) -> DataFrame:
     """
     names = ("edits", "shorter", "i", "move")
     each = F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, p)]) for p in _probes()]))
-    rows = lines.select("line", "n", F.xxhash64("line").alias("id"), each).withColumn("size", F.col("n") - F.col("shorter")).where(allowed_edits(F.col("size")) == F.col("edits"))
+    rows = lines.select("line", "n", F.xxhash64("line").alias("id")).select("*", each).withColumn("size", F.col("n") - F.col("shorter")).where(allowed_edits(F.col("size")) == F.col("edits"))
     parts = F.col("edits") + 1
     short = parts - F.pmod("size", parts)
     base = F.floor(F.col("size") / parts).cast("int")
@@ -68,47 +64,12 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.select("doc", "line_no", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
 
 
-def _any_of(xs: list[Column]) -> Column:
-    return reduce(Column.bitwiseOR, xs)
-
-
-def _state(line: Column, other: Column, edits: int) -> Column:
-    """The automaton's state after ``line``; see ``within_edits``."""
-    band, width = 2 * edits + 1, 3 * edits + 1
-    each = sum(1 << lane * width for lane in range(edits + 1))
-    mask = F.lit(((1 << band) - 1) * each).cast("long")
-    equal = lambda chars, c, i, d: F.when(F.get(chars, i + (d - edits)) == c, F.lit(each << d).cast("long")).otherwise(F.lit(0).cast("long"))
-    # An array of one binds the other line's characters, else each step would split the line again.
-    split = F.array(F.split(other, ""))
-    steps = F.transform(split, lambda chars: F.transform(F.split(line, ""), lambda c, i: _any_of([equal(chars, c, i, d) for d in range(band)])))[0]
-
-    def step(state: Column, same: Column) -> Column:
-        kept = _any_of([state.bitwiseAND(same), F.shiftleft(state, width), F.shiftleft(state, width - 1)]).bitwiseAND(mask)
-        return _any_of([kept, *(F.shiftleft(kept, n * (width + 1)).bitwiseAND(mask) for n in range(1, edits + 1))])
-
-    start = sum(1 << lane * width + edits + put for lane in range(edits + 1) for put in range(lane + 1))
-    return F.aggregate(steps, F.lit(start).cast("long"), step)
-
-
 def within_edits(line: Column, other: Column, most: Column, edits: int) -> Column:
     """Whether ``other``, which is no longer, is within ``most`` edits (``edits`` at most) of ``line``.
 
-    Lane e of the state has a bit for each diagonal of the band: whether the part
-    of ``line`` read so far can become the part of ``other`` that ends there with
-    e edits. A character keeps the diagonals on which it is equal; with an edit
-    more it may be replaced (same diagonal) or deleted (the one before), and then
-    characters may be put in (those after). ``edits`` spare bits part the lanes.
-    A fold cannot stop early, so the first END characters go first, then the last
-    ones from behind, and only lines whose state is alive after both are read as
-    a whole.
+    Beyond ``edits``, levenshtein is -1, which the modulus makes edits + 1.
     """
-    band, width = 2 * edits + 1, 3 * edits + 1
-    lane = lambda state, at: F.call_function("shiftright", state, at.cast("int"))
-    alive = lambda a, b: lane(_state(a, b, edits), most * width).bitwiseAND(F.lit((1 << band) - 1).cast("long")) > 0
-    head = alive(F.substring(line, 1, END), F.substring(other, 1, END + edits))
-    tail = alive(F.reverse(F.substring(line, -END, END)), F.reverse(F.substring(other, -END - edits, END + edits)))
-    whole = lane(_state(line, other, edits), most * width + F.char_length(other) - F.char_length(line) + edits)
-    return head & tail & (whole.bitwiseAND(F.lit(1).cast("long")) == 1)
+    return F.pmod(F.levenshtein(line, other, edits), F.lit(edits + 2)) <= most
 
 
 def _links(rows: DataFrame) -> DataFrame:
